@@ -9,7 +9,7 @@ from tallyframe.operators.sampling import (
     sample_range,
     uniform_point,
 )
-from tallyframe.operators.skew import join_spreading_hot_keys
+from tallyframe.operators.skew import join_splitting_hot_keys
 from tallyframe.operators.tokens import explode_tokens, token_counts
 
 __all__ = [
@@ -19,7 +19,7 @@ __all__ = [
     "explode_tokens",
     "filtered_sum",
     "group_count",
-    "join_spreading_hot_keys",
+    "join_splitting_hot_keys",
     "limit_rows",
     "map_and_sum",
     "quasi_random_point",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.operators.skew import HOT_KEY_ROWS, join_spreading_hot_keys
+from tallyframe.operators.skew import join_splitting_hot_keys
 
 _EXACT = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)
 
@@ -24,14 +24,12 @@ def rated_by_group(
     votes: str = "votes",
     rate: str = "rate",
     more_votes_than: int | None = None,
-    hot_key_rows: int = HOT_KEY_ROWS,
 ) -> DataFrame:
     """``votes`` and ``rate`` (mean of ``value``) per ``group`` of ``items``.
 
-    Same rows as joining ``items`` to ``facts`` and then grouping, but both
-    sides are aggregated first: facts to one row per key, items to one row per
-    key and group with a multiplicity. Only those small results are joined, and
-    a popular key or group is already collapsed on the map side.
+    Same rows as joining ``items`` to ``facts`` and then grouping, but the facts
+    are first aggregated to one row per key, which collapses a popular key on
+    the map side, and only that row is joined.
 
     ``how`` is ``inner`` or ``left``. ``count="rows"`` counts joined rows, so an
     item without facts counts 1 in a left join; ``count="values"`` counts values
@@ -39,8 +37,8 @@ def rated_by_group(
     ``group``: items with different keys and the same group merge. A string
     ``value`` is read as a number, and text that is none counts as missing.
     """
-    if count not in ("rows", "values"):
-        raise ValueError(f"count must be 'rows' or 'values', not {count!r}")
+    if how not in ("inner", "left") or count not in ("rows", "values"):
+        raise ValueError(f"unsupported: how={how!r}, count={count!r}")
     measure = F.col(value)
     if not isinstance(facts.select(value).schema[0].dataType, _EXACT):
         measure = measure.try_cast("double")
@@ -53,20 +51,16 @@ def rated_by_group(
             F.sum(measure).alias("_total"),
         )
     )
-    per_item = items.groupBy(F.col(item_key).alias("_key"), F.col(group).alias("_group")).agg(
-        F.count(F.lit(1)).alias("_items")
-    )
-    joined = join_spreading_hot_keys(
-        per_item, per_key, "_key", [F.col("_group")], how, hot_key_rows=hot_key_rows
-    )
-    present = F.sum(F.col("_items") * F.coalesce("_values", F.lit(0)))
-    joined_rows = F.sum(F.col("_items") * F.coalesce("_rows", F.lit(1)))
+    per_item = items.select(F.col(item_key).alias("_key"), F.col(group).alias("_group"))
+    joined = join_splitting_hot_keys(per_item, per_key, "_key", how)
+    present = F.sum(F.coalesce("_values", F.lit(0)))
+    joined_rows = F.sum(F.coalesce("_rows", F.lit(1)))
     result = (
         joined.groupBy(F.col("_group").alias(group))
         .agg(
             (joined_rows if count == "rows" else present).alias(votes),
             present.alias("_present"),
-            F.sum(F.col("_items") * F.col("_total")).alias("_sum"),
+            F.sum("_total").alias("_sum"),
         )
         .select(group, votes, F.try_divide(F.col("_sum").cast("double"), "_present").alias(rate))
     )

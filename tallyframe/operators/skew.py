@@ -2,49 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
-# More rows than this under one key are spread over several tasks. It also
-# bounds the broadcast below: at most one key per million left rows can be hot.
-HOT_KEY_ROWS = 1_000_000
-HOT_KEY_TASKS = 64
-
-
-def join_spreading_hot_keys(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    spread_by: list[Column],
-    how: str = "inner",
-    hot_key_rows: int = HOT_KEY_ROWS,
-    hot_key_tasks: int = HOT_KEY_TASKS,
-) -> DataFrame:
-    """Join ``left`` to a ``right`` that has at most one row per ``key``.
-
-    Rows of a key with more than ``hot_key_rows`` left rows are divided over
-    ``hot_key_tasks`` slices by a hash of ``spread_by``; the single right row
-    of that key is repeated once per slice, so every left row still meets it
-    exactly once. Null keys match nothing and are divided in the same way.
-    Adaptive skew handling cannot do this here, because ``right`` usually comes
-    out of an aggregate in the same stage as the join.
+
+def _key_type(left: DataFrame, right: DataFrame, key: str) -> DataType:
+    """The type in which Spark would compare the two key columns."""
+    types = [df.select(key).schema[0].dataType for df in (left, right)]
+    if types[0] == types[1]:
+        return types[0]
+    both = F.coalesce(*[F.lit(None).cast(t) for t in types])
+    return left.select(both.alias(key)).schema[0].dataType
+
+
+def join_splitting_hot_keys(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join on ``key`` where ``right`` is an aggregate with one row per key.
+
+    Adaptive execution splits a hot or null key of ``left`` over several tasks,
+    but only if both inputs reach the join through a shuffle of their own. An
+    aggregate is already partitioned by its key and would be joined in place,
+    with no split. A hash of the key as a second join column is met by no
+    existing partitioning, so the one row per key moves once more and the split
+    becomes possible. A ``right`` that turns out small is broadcast instead.
+
+    Keys of different types are compared as Spark compares them, except that
+    text which is no number matches nothing instead of failing the job.
     """
-    if how not in ("inner", "left"):
-        raise ValueError(f"unsupported join type: {how}")
-    hot = (
-        left.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_left_rows"))
-        .where(F.col("_left_rows") > hot_key_rows)
-        .select(key, F.lit(True).alias("_hot"))
-    )
-    slice_of_row = F.pmod(F.xxhash64(*spread_by), F.lit(hot_key_tasks)).cast("int")
-    every_slice = F.sequence(F.lit(0), F.lit(hot_key_tasks - 1))
-    spread_left = left.join(F.broadcast(hot), key, "left").withColumn(
-        "_slice",
-        F.when(F.col("_hot") | F.col(key).isNull(), slice_of_row).otherwise(F.lit(0)),
-    )
-    spread_right = right.join(F.broadcast(hot), key, "left").withColumn(
-        "_slice", F.explode(F.when(F.col("_hot"), every_slice).otherwise(F.array(F.lit(0))))
-    )
-    return spread_left.drop("_hot").join(spread_right.drop("_hot"), [key, "_slice"], how).drop("_slice")
+    # Equal numbers of different types have different hashes, so cast first.
+    kind = _key_type(left, right, key)
+    sides = [
+        df.withColumn(key, F.col(key).try_cast(kind)).withColumn("_hash", F.xxhash64(key))
+        for df in (left, right)
+    ]
+    return sides[0].join(sides[1], [key, "_hash"], how).drop("_hash")
