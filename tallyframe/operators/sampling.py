@@ -19,8 +19,12 @@ def sample_range(spark: SparkSession, n: int, partitions: int | None = None) ->
 
 
 def uniform_point(seed: int) -> tuple[Column, Column]:
-    """Independent uniform coordinates in [-1, 1), repeatable for a seed."""
-    return F.rand(seed) * 2 - 1, F.rand(seed + 1) * 2 - 1
+    """Independent uniform coordinates in [-1, 1), repeatable for a seed.
+
+    Spark adds the partition number to the seed, so the two seeds are further
+    apart than there can be partitions.
+    """
+    return F.rand(seed) * 2 - 1, F.rand(seed + (1 << 32)) * 2 - 1
 
 
 def quasi_random_point(index: Column) -> tuple[Column, Column]:
@@ -52,4 +56,6 @@ def map_and_sum(df: DataFrame, fn: Callable, columns: list[str], out: str = "tot
             total += int(fn(*[batch[c] for c in columns]).sum())
         yield pd.DataFrame({"part": [total]})
 
-    return df.select(*columns).mapInPandas(partial_sums, "part bigint").agg(F.sum("part").alias(out))
+    return df.select(*columns).mapInPandas(partial_sums, "part bigint").agg(
+        F.coalesce(F.sum("part"), F.lit(0)).alias(out)
+    )

@@ -97,6 +97,6 @@ def pi_estimate(
     spark: SparkSession, n: int, partitions: int | None = None, seed: int | None = None
 ) -> DataFrame:
     """Estimate of pi from ``n`` points; random with a ``seed``, else evenly spread."""
-    points = sample_range(spark, n, partitions)
     x, y = quasi_random_point(F.col("id")) if seed is None else uniform_point(seed)
-    return ratio_estimate(points, x * x + y * y <= 1)
+    points = sample_range(spark, n, partitions).select(x.alias("x"), y.alias("y"))
+    return ratio_estimate(points, F.col("x") * F.col("x") + F.col("y") * F.col("y") <= 1)

@@ -1,13 +1,31 @@
-"""Overwriting writes to a directory. Never write to a path the frame reads from."""
+"""Overwriting writes to a directory."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, DataFrameWriter
 
 # The CSV writer trims blanks at both ends unless told not to.
 KEEP_BLANKS = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
+def refuse_own_input(df: DataFrame, path: str) -> None:
+    """Raise if ``path`` holds files that ``df`` reads.
+
+    Spark would delete them before reading them. Write to a new path and switch
+    readers over instead.
+    """
+    reader = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True)
+    try:
+        present = set(reader.load(path).inputFiles())
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return
+    if present and not present.isdisjoint(df.inputFiles()):
+        raise ValueError(f"{path} is an input of the frame to be written there")
+
+
 def _csv(df: DataFrame, sep: str, header: bool, options: dict[str, str] | None) -> DataFrameWriter:
     return (
         df.write.mode("overwrite")
@@ -24,6 +42,7 @@ def write_csv(
 
     CSV does not keep the difference between an empty string and null.
     """
+    refuse_own_input(df, path)
     _csv(df, sep, header, options).csv(path)
 
 
@@ -33,9 +52,11 @@ def write_single_csv(df: DataFrame, path: str, sep: str = ",", header: bool = Fa
     The rows meet in one task only after an exchange, so the aggregate behind
     a report keeps its own parallelism, which ``coalesce(1)`` would take away.
     """
+    refuse_own_input(df, path)
     _csv(df.repartition(1), sep, header, None).csv(path)
 
 
 def write_directory(df: DataFrame, path: str, fmt: str = "parquet", options: dict[str, str] | None = None) -> None:
     """Replace the data set at ``path``; ``fmt`` may be ``delta`` where installed."""
+    refuse_own_input(df, path)
     df.write.format(fmt).mode("overwrite").options(**(options or {})).save(path)

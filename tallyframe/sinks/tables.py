@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tallyframe.catalog import quoted
-from tallyframe.sinks.files import KEEP_BLANKS
+from tallyframe.sinks.files import KEEP_BLANKS, refuse_own_input
 
 
 def refresh_table(df: DataFrame, table: str, fmt: str = "parquet") -> None:
@@ -17,5 +17,6 @@ def write_external_table(
     df: DataFrame, table: str, path: str, fmt: str = "csv", options: dict[str, str] | None = None
 ) -> None:
     """Write ``df`` to ``path`` and point ``table`` at it; dropping it keeps the files."""
+    refuse_own_input(df, path)
     settings = {**(KEEP_BLANKS if fmt == "csv" else {}), **(options or {})}
     df.write.format(fmt).mode("overwrite").options(**settings).option("path", path).saveAsTable(quoted(table))
