@@ -386,20 +386,18 @@ def scan_parquet(spark, d):
     )
 
 
-@query(f"""WITH {MOVIES}, lines AS (
-  SELECT substring(title, -5, 4) AS year, movieId || '@' || title || '@' || genres AS line FROM movies)
-SELECT year, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes FROM lines GROUP BY year""")
+@query(f"""WITH {MOVIES}, {TAGS}, lines AS (
+  SELECT 'movies' AS prefix, movieId || '@' || title || '@' || genres AS line FROM movies
+  UNION ALL SELECT 'tags', userId || '@' || movieId || '@' || tag || '@' || "timestamp" FROM tags)
+SELECT prefix, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes FROM lines GROUP BY prefix""")
 def list_files(spark, d):
-    """Files of a listing, summed by the folder they are in."""
+    """Files of a listing, summed by the prefix they are under."""
     path = scratch_path(spark, "listing")
-    lines = movies(spark, d).select(
-        functions.suffix_window("title", 5, 4).alias("year"),
-        F.concat_ws("@", "movieId", "title", "genres").alias("line"),
-    )
-    lines.write.partitionBy("year").text(path)
-    folder = F.regexp_extract("path", r"/year=([^/]*)/", 1)
+    for prefix, frame in (("movies", movies(spark, d)), ("tags", tags(spark, d))):
+        frame.select(F.concat_ws("@", *frame.columns)).write.text(f"{path}/{prefix}")
+    prefix = F.element_at(F.split("path", "/"), -2)
     found = sources.list_files(spark, path, "part-*")
-    return found.groupBy(folder.alias("year")).agg(F.sum("bytes").alias("bytes"))
+    return found.groupBy(prefix.alias("prefix")).agg(F.sum("bytes").alias("bytes"))
 
 
 @query(f"""WITH {MOVIES} SELECT * FROM movies ORDER BY title, movieId LIMIT 10""")
@@ -475,7 +473,6 @@ UNION ALL SELECT 'tags', count(*), CAST(sum(movieId) AS BIGINT) FROM tags""")
 def ctas_refresh(spark, d):
     """Managed tables, refreshed twice: the second run replaces the first."""
     frames = {"movies": movies(spark, d), "ratings": ratings(spark, d), "tags": tags(spark, d)}
-    path = scratch_path(spark, "refreshed")
     with temporary_schema(spark) as schema:
         for name, frame in [*frames.items(), ("movies", frames["movies"])]:
             sinks.refresh_table(frame, f"{schema}.{name}")
@@ -486,8 +483,7 @@ def ctas_refresh(spark, d):
             for name in frames
         ]
         # Dropping a managed table removes its files, so the totals are stored first.
-        sinks.write_directory(totals[0].union(totals[1]).union(totals[2]), path)
-    return sources.read_parquet(spark, path)
+        return sinks.store_once(totals[0].union(totals[1]).union(totals[2]), "totals")
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS count FROM lineitem GROUP BY ALL")
@@ -505,6 +501,20 @@ def sink_external_table(spark, d):
         return spark.table(f"{schema}.pairs")
 
 
+@query("""SELECT 'csv' AS output, l_returnflag, l_linestatus, count(*) AS count FROM lineitem GROUP BY ALL
+UNION ALL SELECT 'table', l_returnflag, l_linestatus, count(*) FROM lineitem GROUP BY ALL""")
+def sink_twice(spark, d):
+    """One aggregate behind two outputs, computed once."""
+    counts = sinks.store_once(group_count(spark, d), "counts")
+    csv, external = scratch_path(spark, "csv"), scratch_path(spark, "table")
+    sinks.write_single_csv(counts, csv)
+    with temporary_schema(spark) as schema:
+        sinks.write_external_table(counts, f"{schema}.pairs", external)
+        stored = spark.table(f"{schema}.pairs")
+    file = sources.read_delimited(spark, csv, counts.schema)
+    return file.select(F.lit("csv").alias("output"), "*").union(stored.select(F.lit("table").alias("output"), "*"))
+
+
 @query(f"WITH {MOVIES} SELECT * FROM movies")
 def sink_csv_header(spark, d):
     path = scratch_path(spark, "export")
@@ -546,11 +556,16 @@ def _rows_per_table(spark: SparkSession, schema: str) -> DataFrame:
     return result
 
 
-@query("SELECT 'clicks' AS view, event_type, count(*) AS n FROM events GROUP BY event_type")
+@query(f"""WITH {MOVIES}
+SELECT word, count(*) AS titles FROM (SELECT unnest(string_split(genres, '|')) AS word FROM movies) GROUP BY word""")
 def view_query(spark, d):
-    name = f"clicks_{uuid.uuid4().hex}"
-    catalog.register_view(clicks(spark, d), name)
-    counted = spark.sql(f"SELECT 'clicks' AS view, event_type, count(1) AS n FROM {name} GROUP BY event_type")
+    """SQL text over a session view."""
+    name = f"movies_{uuid.uuid4().hex}"
+    catalog.register_view(movies(spark, d), name)
+    counted = spark.sql(
+        f"SELECT word, count(1) AS titles FROM (SELECT explode(split(GENRES, '[|]')) AS word FROM {name}) "
+        "GROUP BY word ORDER BY titles DESC, word"
+    )
     spark.catalog.dropTempView(name)
     return counted
 

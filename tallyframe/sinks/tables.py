@@ -1,11 +1,12 @@
-"""Overwriting writes to catalog tables."""
+"""Writes to catalog tables and to the shared folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
 from tallyframe.catalog import quoted
-from tallyframe.sinks.files import KEEP_BLANKS, refuse_own_input
+from tallyframe.session import scratch_path
+from tallyframe.sinks.files import KEEP_BLANKS, refuse_own_input, write_directory
 
 
 def refresh_table(df: DataFrame, table: str, fmt: str = "parquet") -> None:
@@ -20,3 +21,15 @@ def write_external_table(
     refuse_own_input(df, path)
     settings = {**(KEEP_BLANKS if fmt == "csv" else {}), **(options or {})}
     df.write.format(fmt).mode("overwrite").options(**settings).option("path", path).saveAsTable(quoted(table))
+
+
+def store_once(df: DataFrame, label: str) -> DataFrame:
+    """``df`` computed now and read back from the shared folder.
+
+    For a frame that feeds several outputs, each of which would compute it
+    again. What is stored outlives lost executors; it stays until the folder is
+    cleaned, as checkpoints do.
+    """
+    path = scratch_path(df.sparkSession, label)
+    write_directory(df, path)
+    return df.sparkSession.read.parquet(path)
