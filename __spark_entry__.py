@@ -253,7 +253,8 @@ def limit_rows(spark, d):
 
 @query("SELECT l_returnflag, sum(l_quantity) AS l_quantity FROM lineitem GROUP BY l_returnflag")
 def chart_aggregate(spark, d):
-    return operators.chart_aggregate(table(spark, d, "lineitem"), ["l_returnflag"], ["l_quantity"])
+    spec = {"keys": [{"name": "l_returnflag"}], "groups": [], "values": [{"name": "l_quantity", "aggr": "sum"}]}
+    return operators.chart_from_spec(table(spark, d, "lineitem"), spec)
 
 
 @query("""SELECT l_returnflag, sum(l_quantity) FILTER (l_linestatus = 'F') AS "F",
@@ -581,8 +582,8 @@ def cat_catalogs(spark, d):
         _register_given(spark, d, schema, "part")
         rows = spark.table(f"spark_catalog.{schema}.part").agg(F.count(F.lit(1)).alias("n"))
         listed = catalog.list_catalogs(spark).where(F.col("catalog").isin("spark_catalog", REMOTE))
-        found = rows.withColumn("catalog", F.lit("spark_catalog"))
-        return listed.join(found, "catalog", "left").select("catalog", F.coalesce("n", F.lit(0)).alias("n"))
+        found = listed.select("catalog", F.lit(0).alias("n")).union(rows.select(F.lit("spark_catalog"), "n"))
+        return found.groupBy("catalog").agg(F.sum("n").alias("n"))
 
 
 @query("SELECT 'spark_catalog' AS catalog, count(*) AS n FROM orders")
@@ -641,17 +642,20 @@ def cat_tables(spark, d):
         return _rows_per_table(spark, schema)
 
 
-@query("""SELECT 'n_nationkey' AS column_name, 'int' AS data_type, count(n_nationkey) AS present FROM nation
-UNION ALL SELECT 'n_name', 'string', count(n_name) FROM nation
-UNION ALL SELECT 'n_regionkey', 'int', count(n_regionkey) FROM nation""")
+@query("""SELECT 'o_orderkey' AS column_name, 'bigint' AS data_type, count(o_orderkey) AS present FROM orders
+UNION ALL SELECT 'o_custkey', 'bigint', count(o_custkey) FROM orders
+UNION ALL SELECT 'o_orderstatus', 'string', count(o_orderstatus) FROM orders
+UNION ALL SELECT 'o_totalprice', 'double', count(o_totalprice) FROM orders
+UNION ALL SELECT 'o_orderdate', 'timestamp_ntz', count(o_orderdate) FROM orders
+UNION ALL SELECT 'o_orderpriority', 'string', count(o_orderpriority) FROM orders""")
 def cat_describe(spark, d):
     """Described columns with their number of values."""
     with temporary_schema(spark) as schema:
-        _register_given(spark, d, schema, "nation")
-        described = catalog.describe_table(spark, f"{schema}.nation")
-        nation = spark.table(f"{schema}.nation")
-        present = nation.agg(*[F.count(c).alias(c) for c in nation.columns]).unpivot(
-            [], nation.columns, "column_name", "present"
+        _register_given(spark, d, schema, "orders")
+        described = catalog.describe_table(spark, f"{schema}.orders")
+        orders = spark.table(f"{schema}.orders")
+        present = orders.agg(*[F.count(c).alias(c) for c in orders.columns]).unpivot(
+            [], orders.columns, "column_name", "present"
         )
         types = described.select(F.col("col_name").alias("column_name"), "data_type")
         return types.join(present, "column_name")

@@ -1,4 +1,4 @@
-from tallyframe.operators.charts import chart_aggregate
+from tallyframe.operators.charts import chart_aggregate, chart_from_spec
 from tallyframe.operators.grouping import avg_by_group, filtered_sum, group_count, value_counts
 from tallyframe.operators.rated import rated_by_group
 from tallyframe.operators.rows import contains_text, limit_rows, top_k
@@ -15,6 +15,7 @@ from tallyframe.operators.tokens import explode_tokens, token_counts
 __all__ = [
     "avg_by_group",
     "chart_aggregate",
+    "chart_from_spec",
     "contains_text",
     "explode_tokens",
     "filtered_sum",

@@ -23,3 +23,15 @@ def chart_aggregate(
     if series is not None:
         grouped = grouped.pivot(series, series_values)
     return grouped.agg(*[F.sum(v).alias(v) for v in values])
+
+
+def chart_from_spec(df: DataFrame, spec: dict, series_values: list | None = None) -> DataFrame:
+    """The table for a saved chart: lists ``keys``, ``groups`` and ``values`` of named columns.
+
+    Values are summed, and at most one group column makes the series.
+    """
+    keys, groups, values = ([field["name"] for field in spec.get(k) or []] for k in ("keys", "groups", "values"))
+    other = {field.get("aggr", "sum") for field in spec.get("values") or []} - {"sum"}
+    if other or len(groups) > 1:
+        raise ValueError(f"unsupported chart: aggregates {sorted(other)}, groups {groups}")
+    return chart_aggregate(df, keys, values, groups[0] if groups else None, series_values)

@@ -13,22 +13,27 @@ SHUFFLE_TASK_BYTES = 128 * 1024 * 1024
 _local_scratch: str | None = None
 
 
-def shuffle_partitions_for(cores: int, shuffle_bytes: int = 0) -> int:
+# Spark's own default, for a cluster of unknown size.
+DEFAULT_PARTITIONS = 200
+
+
+def shuffle_partitions_for(cores: int | None = None, shuffle_bytes: int = 0) -> int:
     """Partitions for the largest expected shuffle, never fewer than the cores."""
-    return max(cores, -(-shuffle_bytes // SHUFFLE_TASK_BYTES))
+    return max(cores or DEFAULT_PARTITIONS, -(-shuffle_bytes // SHUFFLE_TASK_BYTES))
 
 
 def build_session(
     app_name: str = "tallyframe",
     master: str | None = None,
-    cores: int = 8,
+    cores: int | None = None,
     shuffle_bytes: int = 0,
     settings: dict[str, str] | None = None,
 ) -> SparkSession:
     """Create a session with the settings the reports rely on.
 
-    ``shuffle_bytes`` is the size of the largest expected shuffle; adaptive
-    execution merges what turns out to be too small. The session zone is UTC so
+    ``shuffle_bytes`` is the size of the largest expected shuffle and ``cores``
+    the cluster's; adaptive execution merges partitions that turn out too
+    small, so a high number costs little. The session zone is UTC so
     that epoch columns do not depend on where the cluster runs.
     """
     builder = SparkSession.builder.appName(app_name)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, DataFrameWriter
+from pyspark.sql import Column, DataFrame, DataFrameWriter
 
 # The CSV writer trims blanks at both ends unless told not to.
 KEEP_BLANKS = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
@@ -46,14 +46,18 @@ def write_csv(
     _csv(df, sep, header, options).csv(path)
 
 
-def write_single_csv(df: DataFrame, path: str, sep: str = ",", header: bool = False) -> None:
+def write_single_csv(
+    df: DataFrame, path: str, *order: str | Column, sep: str = ",", header: bool = False
+) -> None:
     """One CSV file in a directory, for reports small enough to be one file.
 
     The rows meet in one task only after an exchange, so the aggregate behind
     a report keeps its own parallelism, which ``coalesce(1)`` would take away.
+    Lines are sorted by ``order``; an order that ``df`` had before is lost.
     """
     refuse_own_input(df, path)
-    _csv(df.repartition(1), sep, header, None).csv(path)
+    single = df.repartition(1)
+    _csv(single.sortWithinPartitions(*order) if order else single, sep, header, None).csv(path)
 
 
 def write_directory(df: DataFrame, path: str, fmt: str = "parquet", options: dict[str, str] | None = None) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 
 FETCH_ROWS = 10_000
@@ -12,6 +14,11 @@ def _reader(spark: SparkSession, url: str, properties: dict[str, str] | None) ->
     return spark.read.format("jdbc").option("url", url).options(**settings)
 
 
+def _bound(value) -> str:
+    """Bounds only place the cuts between ranges, so a whole number will do."""
+    return str(int(value) if isinstance(value, (float, Decimal)) else value)
+
+
 def _read_divided(spark, url, relation, column, partitions, bounds, properties) -> DataFrame:
     if bounds is None:
         limits = f"SELECT min({column}) AS lo, max({column}) AS hi FROM {relation}"
@@ -22,8 +29,8 @@ def _read_divided(spark, url, relation, column, partitions, bounds, properties)
     if bounds is not None:
         reader = (
             reader.option("partitionColumn", column)
-            .option("lowerBound", str(bounds[0]))
-            .option("upperBound", str(bounds[1]))
+            .option("lowerBound", _bound(bounds[0]))
+            .option("upperBound", _bound(bounds[1]))
             .option("numPartitions", str(partitions))
         )
     return reader.load()

@@ -1,4 +1,5 @@
 import os
+from decimal import Decimal
 from unittest import mock
 
 import pytest
@@ -59,6 +60,13 @@ def test_single_csv_is_one_file_and_replaces(spark, tmp_path):
     assert sources.read_delimited(spark, path, "id bigint, n bigint").count() == 7
 
 
+def test_single_csv_may_be_sorted(spark, tmp_path):
+    path = tmp_path / "sorted"
+    sinks.write_single_csv(spark.range(0, 50, 1, 8), str(path), F.desc("id"), header=True)
+    (name,) = data_files(path)
+    assert (path / name).read_text().split() == ["id", *[str(i) for i in range(49, -1, -1)]]
+
+
 def test_parquet_scan_reads_named_columns_only(spark, tmp_path):
     from conftest import plan_of
 
@@ -232,6 +240,9 @@ def test_remote_table_is_read_in_ranges(spark):
         "format": "jdbc", "url": "jdbc:x:y", "fetchsize": "10000", "dbtable": "movies",
         "partitionColumn": "id", "lowerBound": "1", "upperBound": "900", "numPartitions": "9",
     }
+    session, loads = recorded_reader((Decimal("0.5"), 7.9))
+    sources.read_jdbc_table(session, "jdbc:x:y", "movies", partition_column="id")
+    assert (loads[1]["lowerBound"], loads[1]["upperBound"]) == ("0", "7")
     session, loads = recorded_reader((None, None))
     sources.read_jdbc_table(session, "jdbc:x:y", "movies", partition_column="id")
     assert "partitionColumn" not in loads[1]
@@ -266,5 +277,5 @@ def test_machine_local_scratch_only_in_local_mode(master, allowed):
 
 
 def test_shuffle_partitions_grow_with_the_data():
-    assert shuffle_partitions_for(8) == 8
+    assert shuffle_partitions_for(8) == 8 and shuffle_partitions_for() == 200
     assert shuffle_partitions_for(8, 128 * 1024 * 1024 * 1000 + 1) == 1001

@@ -84,6 +84,15 @@ def test_chart_tables(spark):
     assert found.columns == ["k", "F_v", "F_w", "O_v", "O_w"]
 
 
+def test_chart_from_a_saved_spec(spark):
+    df = spark.createDataFrame([("x", "F", 1), ("x", "O", 2)], "k string, s string, v int")
+    spec = {"keys": [{"name": "k"}], "groups": [{"name": "s"}], "values": [{"name": "v", "aggr": "sum"}]}
+    assert pairs(operators.chart_from_spec(df, spec, ["F", "O"])) == [("x", 1, 2)]
+    assert pairs(operators.chart_from_spec(df, {**spec, "groups": []})) == [("x", 3)]
+    with pytest.raises(ValueError):
+        operators.chart_from_spec(df, {**spec, "values": [{"name": "v", "aggr": "avg"}]})
+
+
 def test_pi_estimates(spark):
     spread = plans.pi_estimate(spark, 100_000, 8).first()
     assert spread.n == 100_000 and abs(spread.estimate - 3.14159) < 0.001
