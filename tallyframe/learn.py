@@ -9,6 +9,14 @@ from pyspark.ml.classification import (
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def _vector(df: DataFrame, features: str) -> Column:
+    """The array column as a vector; rows of a nested array are put end to end."""
+    kind = df.select(features).schema[0].dataType
+    nested = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.ArrayType)
+    return array_to_vector(F.flatten(features) if nested else F.col(features))
 
 
 def held_out(key: Column | str, share: float = 0.2) -> Column:
@@ -28,31 +36,33 @@ def fit_classifier(
 ) -> MultilayerPerceptronClassificationModel:
     """Train ``inputs`` → ``hidden`` → ``classes`` on an array column.
 
+    Nested arrays, such as rows of pixels, are flattened first.
+
     Runs Spark jobs: each iteration is a distributed pass whose tasks send back
     one gradient. Hidden units are sigmoid and the optimiser is L-BFGS; there
     is no dropout.
     """
     classifier = MultilayerPerceptronClassifier(
         layers=[inputs, hidden, classes],
-        featuresCol="features",
+        featuresCol="_vector",
         labelCol="label",
         maxIter=max_iter,
         seed=seed,
     )
     rows = df.select(
-        array_to_vector(features).alias("features"), F.col(label).cast("double").alias("label")
+        _vector(df, features).alias("_vector"), F.col(label).cast("double").alias("label")
     )
     return classifier.fit(rows)
 
 
 def score(model: MultilayerPerceptronClassificationModel, df: DataFrame, features: str) -> DataFrame:
     """``df`` with ``prediction`` and the arrays ``logits`` and ``probabilities``."""
-    scored = model.transform(df.withColumn("features", array_to_vector(features)))
+    scored = model.transform(df.withColumn("_vector", _vector(df, features)))
     return (
         scored.withColumn("logits", vector_to_array("rawPrediction"))
         .withColumn("probabilities", vector_to_array("probability"))
         .withColumn("prediction", F.col("prediction").cast("int"))
-        .drop("features", "rawPrediction", "probability")
+        .drop("_vector", "rawPrediction", "probability")
     )
 
 

@@ -31,7 +31,7 @@ def avg_by_group(
     doubles depends on the order in which tasks finish; ``exact_scale`` adds up
     decimals with that many places instead, which gives the same mean each run.
     """
-    kind = "double" if exact_scale is None else f"decimal(18,{exact_scale})"
+    kind = "double" if exact_scale is None else f"decimal(28,{exact_scale})"
     number = F.col(value).try_cast(kind)
     mean = F.try_divide(F.sum(number).cast("double"), F.count(number))
     return df.groupBy(key).agg(mean.alias(out)).orderBy(key)

@@ -25,6 +25,8 @@ def join_splitting_hot_keys(left: DataFrame, right: DataFrame, key: str, how: st
     with no split. A hash of the key as a second join column is met by no
     existing partitioning, so the one row per key moves once more and the split
     becomes possible. A ``right`` that turns out small is broadcast instead.
+    Both the split and the second shuffle are Spark's defaults
+    (``spark.sql.adaptive.enabled``, ``spark.sql.requireAllClusterKeysForCoPartition``).
 
     Keys of different types are compared as Spark compares them, except that
     text which is no number matches nothing instead of failing the job.

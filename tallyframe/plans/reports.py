@@ -35,7 +35,7 @@ def top_rated_items(
         items, facts, item_key=key, fact_key=key, group=title, value=value,
         more_votes_than=more_votes_than,
     )
-    return top_k(rated, k, "rate", title)
+    return top_k(rated, k, "rate", title).select(title, "rate", "votes")
 
 
 def rated_items(

@@ -11,7 +11,8 @@ def list_files(
 ) -> DataFrame:
     """``path``, ``modified`` and ``bytes`` of every file below ``path``.
 
-    Spark lists large trees in parallel. File contents are never opened.
+    Spark lists large trees in parallel. File contents are never opened, and
+    names that begin with ``_`` or ``.`` are left out.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).options(**(options or {}))
     if pattern:

@@ -19,7 +19,15 @@ def _bound(value) -> str:
     return str(int(value) if isinstance(value, (float, Decimal)) else value)
 
 
-def _read_divided(spark, url, relation, column, partitions, bounds, properties) -> DataFrame:
+def _read_divided(
+    spark: SparkSession,
+    url: str,
+    relation: str,
+    column: str,
+    partitions: int,
+    bounds: tuple | None,
+    properties: dict[str, str] | None,
+) -> DataFrame:
     if bounds is None:
         limits = f"SELECT min({column}) AS lo, max({column}) AS hi FROM {relation}"
         found = _reader(spark, url, properties).option("query", limits).load().first()

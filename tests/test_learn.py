@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyframe import learn
+from tallyframe.functions import scale_vector
 
 
 @pytest.fixture(scope="module")
@@ -37,3 +38,18 @@ def test_held_out_rows_stay_the_same(spark):
     share = df.where(learn.held_out("id", 0.3)).count() / 10_000
     assert abs(share - 0.3) < 0.03
     assert df.repartition(7).where(learn.held_out("id", 0.3)).count() / 10_000 == share
+
+
+def test_rows_of_pixels_are_flattened_and_scaled(spark):
+    rnd = np.random.default_rng(2)
+    images = []
+    for i in range(200):
+        image = rnd.integers(0, 40, size=(4, 4))
+        image[i % 2 * 2:i % 2 * 2 + 2] += 200
+        images.append((i, image.tolist(), i % 2))
+    df = spark.createDataFrame(images, "id int, image array<array<int>>, label int")
+    scaled = df.withColumn("pixels", F.transform("image", lambda row: scale_vector(row, 255)))
+    model = learn.fit_classifier(scaled, "pixels", "label", 16, 2, hidden=8, max_iter=30)
+    scored = learn.score(model, scaled, "pixels")
+    assert scored.columns == ["id", "image", "label", "pixels", "prediction", "logits", "probabilities"]
+    assert learn.evaluate(scored, "label").first().accuracy > 0.95

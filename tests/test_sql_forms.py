@@ -43,7 +43,7 @@ REPORTS = {
         """SELECT title, mean(rating) AS rate, count(*) AS votes FROM movies INNER JOIN ratings
            ON ratings.MOVIEID = movies.movieid GROUP BY title HAVING votes > 3
            ORDER BY rate DESC, title ASC LIMIT 10""",
-        lambda f: plans.top_rated_items(f["movies"], f["ratings"], more_votes_than=3).select("title", "rate", "votes"),
+        lambda f: plans.top_rated_items(f["movies"], f["ratings"], more_votes_than=3),
     ),
     "titles by values": (
         """SELECT title, count(rating) AS votes, mean(rating) AS rate FROM movies LEFT OUTER JOIN ratings
