@@ -17,7 +17,7 @@ def rated_by_group(
     *,
     item_key: str,
     fact_key: str,
-    group: str,
+    group: str | list[str],
     value: str,
     how: str = "inner",
     count: str = "rows",
@@ -34,8 +34,9 @@ def rated_by_group(
     ``how`` is ``inner`` or ``left``. ``count="rows"`` counts joined rows, so an
     item without facts counts 1 in a left join; ``count="values"`` counts values
     that are present, so it counts 0. Groups are formed by the value of
-    ``group``: items with different keys and the same group merge. A string
-    ``value`` is read as a number, and text that is none counts as missing.
+    ``group``: items with different keys and the same title merge, unless the
+    key is one of the group columns. A string ``value`` is read as a number, and
+    text that is none counts as missing.
     """
     if how not in ("inner", "left") or count not in ("rows", "values"):
         raise ValueError(f"unsupported: how={how!r}, count={count!r}")
@@ -51,17 +52,18 @@ def rated_by_group(
             F.sum(measure).alias("_total"),
         )
     )
-    per_item = items.select(F.col(item_key).alias("_key"), F.col(group).alias("_group"))
+    groups = [group] if isinstance(group, str) else group
+    per_item = items.select(F.col(item_key).alias("_key"), *groups)
     joined = join_splitting_hot_keys(per_item, per_key, "_key", how)
     present = F.sum(F.coalesce("_values", F.lit(0)))
     joined_rows = F.sum(F.coalesce("_rows", F.lit(1)))
     result = (
-        joined.groupBy(F.col("_group").alias(group))
+        joined.groupBy(*groups)
         .agg(
             (joined_rows if count == "rows" else present).alias(votes),
             present.alias("_present"),
             F.sum("_total").alias("_sum"),
         )
-        .select(group, votes, F.try_divide(F.col("_sum").cast("double"), "_present").alias(rate))
+        .select(*groups, votes, F.try_divide(F.col("_sum").cast("double"), "_present").alias(rate))
     )
     return result if more_votes_than is None else result.where(F.col(votes) > more_votes_than)

@@ -33,6 +33,14 @@ def test_inner_join_keeps_rated_titles_only(movies, ratings):
     }
 
 
+def test_grouping_by_key_and_title_keeps_items_apart(movies, ratings):
+    names = {**NAMES, "group": ["movieId", "title"]}
+    rated = rated_by_group(movies, ratings, **names, how="left", count="rows")
+    assert rated.columns == ["movieId", "title", "votes", "rate"]
+    found = {r.movieId: r.votes for r in rated.where("title LIKE 'Toy%'").collect()}
+    assert found == {1: 2, 6: 1}
+
+
 def test_names_match_in_any_case(movies, ratings):
     rated = rated_by_group(
         movies, ratings, item_key="movieid", fact_key="MOVIEID", group="Title", value="RATING"
