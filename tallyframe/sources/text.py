@@ -20,6 +20,7 @@ def read_delimited(
     infer_ratio: float = 1.0,
     quote: str = '"',
     escape: str = "\\",
+    multiline: bool = False,
     options: dict[str, str] | None = None,
 ) -> DataFrame:
     """Scan separated text.
@@ -28,7 +29,9 @@ def read_delimited(
     query needs. Without one Spark infers types, which is an extra pass over
     ``infer_ratio`` of the lines when this function is called; ``names`` then
     replaces the column names by position. A line with a bad value keeps its
-    other columns. Pass ``quote=""`` for text without quoting rules.
+    other columns. Pass ``quote=""`` for text without quoting rules, and
+    ``multiline`` if quoted fields hold line breaks: each file is then read by
+    one task, so write such text in files of moderate size.
     """
     reader = (
         spark.read.option("sep", sep)
@@ -36,8 +39,12 @@ def read_delimited(
         .option("encoding", encoding)
         .option("quote", quote)
         .option("escape", escape)
-        .options(**(options or {}))
+        .option("multiLine", multiline)
     )
+    if multiline:
+        # Otherwise the separator is guessed from the first line end in the text.
+        reader = reader.option("lineSep", "\n")
+    reader = reader.options(**(options or {}))
     if schema is not None:
         df = reader.schema(schema).csv(path)
     else:

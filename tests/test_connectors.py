@@ -52,6 +52,14 @@ def test_csv_round_trip_with_header(spark, movies, tmp_path):
     assert set(back.collect()) == set(movies.collect())
 
 
+def test_line_breaks_and_quote_marks_survive_with_doubled_quotes(spark, tmp_path):
+    texts = ['say "hi"', "two\nlines", "cr\r\nlf", "comma, and \\ slash\\", '"', " blanks ", "\n", 'a"\n"b,c']
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string").coalesce(1)
+    sinks.write_csv(df, str(tmp_path / "t"), options={"escape": '"'})
+    back = sources.read_delimited(spark, str(tmp_path / "t"), df.schema, header=True, escape='"', multiline=True)
+    assert dict(back.collect()) == dict(enumerate(texts))
+
+
 def test_empty_text_becomes_null_in_csv(spark, tmp_path):
     sinks.write_csv(spark.createDataFrame([("", 1), (None, 2)], "t string, n int"), str(tmp_path / "e"))
     back = sources.read_delimited(spark, str(tmp_path / "e"), "t string, n int", header=True)
