@@ -1,4 +1,5 @@
 import os
+import random
 from decimal import Decimal
 from unittest import mock
 
@@ -7,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tallyframe import catalog, sinks, sources
-from tallyframe.session import scratch_path, shuffle_partitions_for
+from tallyframe.session import scan_split_bytes, scratch_path, shuffle_partitions_for
 
 
 @pytest.fixture
@@ -52,6 +53,18 @@ def test_csv_round_trip_with_header(spark, movies, tmp_path):
     assert set(back.collect()) == set(movies.collect())
 
 
+@pytest.mark.parametrize("options", [{}, {"sep": "@"}, {"escape": '"'}])
+def test_random_text_survives_a_csv_round_trip(spark, tmp_path, options):
+    rnd = random.Random(str(options))
+    texts = ["".join(rnd.choices('ab",\\@ #|é', k=rnd.randint(1, 8))) for _ in range(500)]
+    df = spark.createDataFrame([(t, n) for n, t in enumerate(texts)], "t string, n int")
+    sep = options.get("sep", ",")
+    escape = {k: v for k, v in options.items() if k == "escape"}
+    sinks.write_csv(df, str(tmp_path / "r"), sep=sep, options=escape)
+    back = sources.read_delimited(spark, str(tmp_path / "r"), df.schema, sep=sep, header=True, **escape)
+    assert {r.n: r.t for r in back.collect()} == dict(enumerate(texts))
+
+
 def test_line_breaks_and_quote_marks_survive_with_doubled_quotes(spark, tmp_path):
     texts = ['say "hi"', "two\nlines", "cr\r\nlf", "comma, and \\ slash\\", '"', " blanks ", "\n", 'a"\n"b,c']
     df = spark.createDataFrame(list(enumerate(texts)), "n int, t string").coalesce(1)
@@ -291,6 +304,12 @@ def test_machine_local_scratch_only_in_local_mode(master, allowed):
             scratch_path(session, "x")
 
 
+def test_scan_tasks_grow_with_the_table():
+    mib = 1024 * 1024
+    assert scan_split_bytes() == scan_split_bytes(10**12) == 128 * mib
+    assert scan_split_bytes(200_000 * 500 * mib) == 500 * mib and scan_split_bytes(10**18) == 1024 * mib
+
+
 def test_shuffle_partitions_grow_with_the_data():
     assert shuffle_partitions_for(8) == 8 and shuffle_partitions_for() == 200
     assert shuffle_partitions_for(8, 128 * 1024 * 1024 * 1000 + 1) == 1001
