@@ -29,7 +29,7 @@ def spark(tmp_path_factory):
     shared = tmp_path_factory.mktemp("shared")
     session = build_session(
         "tests",
-        "local[4]",
+        "local[4,3]",  # a failed task is tried again
         4,
         settings={
             "spark.ui.enabled": "false",

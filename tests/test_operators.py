@@ -108,6 +108,18 @@ def test_python_function_is_summed_per_task(spark, n):
     assert total == sum(i % 3 * 2 for i in range(n))
 
 
+def test_a_lost_task_is_repeated_and_counted_once(spark):
+    def fails_at_first(ids):
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        if task.attemptNumber() == 0 and task.partitionId() % 2:
+            raise RuntimeError("lost")
+        return ids
+
+    assert operators.map_and_sum(spark.range(0, 1000, 1, 4), fails_at_first, ["id"]).first().total == 499_500
+
+
 def test_a_hot_group_is_collapsed_before_the_shuffle(spark):
     df = spark.range(0, 30_000, 1, 8).select(F.when(F.col("id") % 3 > 0, "hot").otherwise("cold").alias("genres"))
     counts = plans.items_per_token(df)
