@@ -29,7 +29,7 @@ def refuse_own_input(df: DataFrame, path: str) -> None:
 def _csv(df: DataFrame, sep: str, header: bool, options: dict[str, str] | None) -> DataFrameWriter:
     return (
         df.write.mode("overwrite")
-        .options(**KEEP_BLANKS, **(options or {}))
+        .options(**{**KEEP_BLANKS, **(options or {})})
         .option("sep", sep)
         .option("header", header)
     )
