@@ -1,3 +1,4 @@
+from tallyframe.functions.numbers import numeric
 from tallyframe.functions.text import split_tokens, suffix_window, title_year
 from tallyframe.functions.times import epoch_seconds, epoch_year
 from tallyframe.functions.vectors import cross_entropy_loss, scale_vector, softmax
@@ -6,6 +7,7 @@ __all__ = [
     "cross_entropy_loss",
     "epoch_seconds",
     "epoch_year",
+    "numeric",
     "scale_vector",
     "softmax",
     "split_tokens",

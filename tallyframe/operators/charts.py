@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.functions.numbers import numeric
+
 
 def chart_aggregate(
     df: DataFrame,
@@ -17,12 +19,13 @@ def chart_aggregate(
 
     Give ``series_values`` when they are known: otherwise Spark runs one more
     job to find them. A series column is named after the series value, and
-    carries the value name too when there is more than one value column.
+    carries the value name too when there is more than one value column. Text
+    values are read as numbers.
     """
     grouped = df.groupBy(*keys)
     if series is not None:
         grouped = grouped.pivot(series, series_values)
-    return grouped.agg(*[F.sum(v).alias(v) for v in values])
+    return grouped.agg(*[F.sum(numeric(df, v)).alias(v) for v in values])
 
 
 def chart_from_spec(df: DataFrame, spec: dict, series_values: list | None = None) -> DataFrame:

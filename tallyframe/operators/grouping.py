@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.functions.numbers import numeric
+
 
 def group_count(df: DataFrame, *keys: str | Column, out: str = "count") -> DataFrame:
     """Rows per combination of ``keys``."""
@@ -17,9 +19,13 @@ def value_counts(df: DataFrame, key: Column, name: str, out: str = "count") -> D
 
 
 def filtered_sum(df: DataFrame, key: str, value: Column | str, below: int | float, out: str) -> DataFrame:
-    """Sum of ``value`` per ``key`` under ``below``, in key order; null keys drop."""
-    total = F.sum(F.col(value) if isinstance(value, str) else value)
-    return df.where(F.col(key) < below).groupBy(key).agg(total.alias(out)).orderBy(key)
+    """Sum of ``value`` per ``key`` under ``below``, in key order; null keys drop.
+
+    Text columns are read as numbers.
+    """
+    total = F.sum(numeric(df, value) if isinstance(value, str) else value)
+    number = numeric(df, key)
+    return df.where(number < below).groupBy(number.alias(key)).agg(total.alias(out)).orderBy(key)
 
 
 def avg_by_group(

@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tallyframe.functions.numbers import numeric
 from tallyframe.operators.skew import join_splitting_hot_keys
 
-_EXACT = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)
-
 
 def rated_by_group(
     items: DataFrame,
@@ -40,9 +38,7 @@ def rated_by_group(
     """
     if how not in ("inner", "left") or count not in ("rows", "values"):
         raise ValueError(f"unsupported: how={how!r}, count={count!r}")
-    measure = F.col(value)
-    if not isinstance(facts.select(value).schema[0].dataType, _EXACT):
-        measure = measure.try_cast("double")
+    measure = numeric(facts, value)
     per_key = (
         facts.where(F.col(fact_key).isNotNull())
         .groupBy(F.col(fact_key).alias("_key"))

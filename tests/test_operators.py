@@ -49,6 +49,15 @@ def test_filtered_sum_drops_null_keys(spark):
     assert pairs(plans.amount_per_zone(df, "zone", "amount")) == [(1, 5.0), (2, None)]
 
 
+def test_text_columns_are_summed_as_numbers(spark):
+    rows = [("3", "1.5"), ("3", "2"), ("30", "9"), ("x", "5"), ("10", "bad"), (None, "1")]
+    df = spark.createDataFrame(rows, "zone string, amount string")
+    assert pairs(plans.amount_per_zone(df, "zone", "amount")) == [(3.0, 3.5), (10.0, None)]
+    assert set(pairs(operators.chart_aggregate(df, ["zone"], ["amount"]))) == {
+        ("3", 3.5), ("30", 9.0), ("x", 5.0), ("10", None), (None, 1.0),
+    }
+
+
 def test_group_count_keeps_null_groups(spark):
     df = spark.createDataFrame([(1, 1), (1, None), (1, None)], "a int, b int")
     assert set(pairs(plans.trips_per_pair(df, "a", "b"))) == {(1, 1, 1), (1, None, 2)}
