@@ -1,8 +1,14 @@
 from tallyframe.sinks.files import write_csv, write_directory, write_single_csv
-from tallyframe.sinks.tables import refresh_table, store_once, write_external_table
+from tallyframe.sinks.tables import (
+    refresh_table,
+    rewrite_external_table,
+    store_once,
+    write_external_table,
+)
 
 __all__ = [
     "refresh_table",
+    "rewrite_external_table",
     "store_once",
     "write_csv",
     "write_directory",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tallyframe.catalog import quoted
+from tallyframe.catalog import quoted, sql_text
 from tallyframe.session import scratch_path
 from tallyframe.sinks.files import KEEP_BLANKS, refuse_own_input, write_directory
 
@@ -23,6 +23,19 @@ def write_external_table(
     df.write.format(fmt).mode("overwrite").options(**settings).option("path", path).saveAsTable(quoted(table))
 
 
+def rewrite_external_table(df: DataFrame, table: str, path: str, fmt: str = "parquet") -> None:
+    """Write ``df`` to a new ``path``, then switch ``table`` over to it.
+
+    Unlike an overwrite this works when ``df`` reads ``table`` itself, and a
+    failed write leaves the table as it was. ``df`` must have the table's
+    columns and ``fmt`` its format. The old files stay.
+    """
+    write_directory(df, path, fmt)
+    spark = df.sparkSession
+    spark.sql(f"ALTER TABLE {quoted(table)} SET LOCATION {sql_text(path)}")
+    spark.catalog.refreshTable(quoted(table))
+
+
 def store_once(df: DataFrame, label: str) -> DataFrame:
     """``df`` computed now and read back from the shared folder.
 

@@ -167,6 +167,14 @@ def test_refresh_replaces_rows_and_columns(spark, schema):
     assert spark.table(f"{schema}.t").columns == ["other"] and spark.table(f"{schema}.t").count() == 2
 
 
+def test_a_table_may_be_rewritten_from_itself(spark, schema, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "v1"))
+    table = sources.create_table_at(spark, f"{schema}.r", str(tmp_path / "v1"))
+    sinks.rewrite_external_table(table.where("id > 1"), f"{schema}.r", str(tmp_path / "v2"))
+    assert sorted(r.id for r in spark.table(f"{schema}.r").collect()) == [2, 3, 4]
+    assert spark.read.parquet(str(tmp_path / "v1")).count() == 5
+
+
 def test_dropping_an_external_table_keeps_its_files(spark, schema, tmp_path):
     path = str(tmp_path / "ext")
     sinks.write_external_table(spark.range(4), f"{schema}.e", path)
@@ -278,6 +286,14 @@ def test_remote_table_is_read_in_ranges(spark):
         sources.read_jdbc_table(session, "jdbc:x:y", "movies")
 
 
+def test_remote_table_may_be_read_by_conditions():
+    session = mock.Mock()
+    sources.read_jdbc_table(session, "jdbc:x:y", "t", predicates=["k = 7", "k <> 7"], properties={"user": "u"})
+    session.read.jdbc.assert_called_once_with(
+        "jdbc:x:y", "t", predicates=["k = 7", "k <> 7"], properties={"fetchsize": "10000", "user": "u"}
+    )
+
+
 def test_remote_query_is_sent_as_it_is_or_divided(spark):
     session, loads = recorded_reader(None)
     sources.read_jdbc_query(session, "jdbc:x:y", "SELECT 1")

@@ -54,3 +54,9 @@ def test_queries_leave_the_session_as_it_was(spark):
 
 def test_entry_has_rows(spark):
     assert registry.entry(spark).count() > 0
+
+
+def test_bench_runs_registered_queries():
+    import bench
+
+    assert set(bench.HEADLINE) <= set(registry.queries())
