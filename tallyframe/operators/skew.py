@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
 
 
-def _key_type(left: DataFrame, right: DataFrame, key: str) -> DataType:
-    """The type in which Spark would compare the two key columns."""
+def _comparable(left: DataFrame, right: DataFrame, key: str) -> Column:
+    """The key in the type in which Spark would compare the two columns."""
     types = [df.select(key).schema[0].dataType for df in (left, right)]
     if types[0] == types[1]:
-        return types[0]
+        return F.col(key)
     both = F.coalesce(*[F.lit(None).cast(t) for t in types])
-    return left.select(both.alias(key)).schema[0].dataType
+    return F.col(key).try_cast(left.select(both.alias(key)).schema[0].dataType)
 
 
 def join_splitting_hot_keys(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
@@ -32,9 +31,6 @@ def join_splitting_hot_keys(left: DataFrame, right: DataFrame, key: str, how: st
     text which is no number matches nothing instead of failing the job.
     """
     # Equal numbers of different types have different hashes, so cast first.
-    kind = _key_type(left, right, key)
-    sides = [
-        df.withColumn(key, F.col(key).try_cast(kind)).withColumn("_hash", F.xxhash64(key))
-        for df in (left, right)
-    ]
-    return sides[0].join(sides[1], [key, "_hash"], how).drop("_hash")
+    common = _comparable(left, right, key)
+    hashed = {key: common, "_hash": F.xxhash64(common)}
+    return left.withColumns(hashed).join(right.withColumns(hashed), list(hashed), how).drop("_hash")
