@@ -301,8 +301,8 @@ def mc_ratio_udf(spark, d):
 # ---- vectors and learning ---------------------------------------------------
 
 
-@query("""SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, embedding[i]::DOUBLE / 255.0::DOUBLE AS value
-FROM embeddings, range(1, 65) t(i)""")
+@query("""SELECT vec_id, CAST(pos AS INTEGER) AS pos, v::DOUBLE / 255.0::DOUBLE AS value
+FROM (SELECT vec_id, unnest(range(len(embedding))) AS pos, unnest(embedding) AS v FROM embeddings)""")
 def vector_scale(spark, d):
     scaled = functions.scale_vector(F.col("embedding"), 255.0)
     return table(spark, d, "embeddings").select("vec_id", F.posexplode(scaled).alias("pos", "value"))
@@ -310,8 +310,8 @@ def vector_scale(spark, d):
 
 @query("""WITH weights AS (
   SELECT vec_id, [exp(v::DOUBLE - list_max(embedding)::DOUBLE) FOR v IN embedding] AS w FROM embeddings)
-SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, round(w[i] / list_sum(w), 6) AS value
-FROM weights, range(1, 65) t(i)""")
+SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(v / total, 6) AS value
+FROM (SELECT vec_id, list_sum(w) AS total, unnest(range(len(w))) AS pos, unnest(w) AS v FROM weights)""")
 def vector_softmax(spark, d):
     probabilities = functions.softmax(F.col("embedding"))
     unrolled = table(spark, d, "embeddings").select("vec_id", F.posexplode(probabilities).alias("pos", "value"))
