@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 
 def limit_rows(df: DataFrame, n: int, *order: str | Column) -> DataFrame:
-    """First ``n`` rows; without an order, any ``n`` rows (a preview)."""
+    """First ``n`` rows; without an order, any ``n`` rows (a preview).
+
+    The ``n`` rows meet in one task, so this is for previews and reports.
+    """
     return (df.orderBy(*order) if order else df).limit(n)
 
 

@@ -52,9 +52,17 @@ def read_delimited(
     return df.toDF(*names) if names else df
 
 
-def read_parquet(spark: SparkSession, path: str | list[str], options: dict[str, str] | None = None) -> DataFrame:
-    """Scan parquet; the schema comes from the files."""
-    return spark.read.options(**(options or {})).parquet(*([path] if isinstance(path, str) else path))
+def read_parquet(
+    spark: SparkSession,
+    path: str | list[str],
+    schema: StructType | str | None = None,
+    options: dict[str, str] | None = None,
+) -> DataFrame:
+    """Scan parquet; the schema comes from one file's footer unless it is given."""
+    reader = spark.read.options(**(options or {}))
+    if schema is not None:
+        reader = reader.schema(schema)
+    return reader.parquet(*([path] if isinstance(path, str) else path))
 
 
 def frame_from_rows(spark: SparkSession, rows: Iterable, schema: StructType | str) -> DataFrame:

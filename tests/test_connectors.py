@@ -87,6 +87,11 @@ def test_single_csv_is_one_file_and_replaces(spark, tmp_path):
     assert sources.read_delimited(spark, path, "id bigint, n bigint").count() == 7
 
 
+def test_an_empty_report_can_be_written_and_read(spark, tmp_path):
+    sinks.write_single_csv(spark.range(0), str(tmp_path / "none"))
+    assert sources.read_delimited(spark, str(tmp_path / "none"), "id bigint").count() == 0
+
+
 def test_single_csv_may_be_sorted(spark, tmp_path):
     path = tmp_path / "sorted"
     sinks.write_single_csv(spark.range(0, 50, 1, 8), str(path), F.desc("id"), header=True)
@@ -101,6 +106,7 @@ def test_parquet_scan_reads_named_columns_only(spark, tmp_path):
     df = sources.read_parquet(spark, [str(tmp_path / "p")])
     assert "ReadSchema: struct<id:bigint>" in plan_of(df.where("id > 3").select("id"))
     assert "GreaterThan(id,3)" in plan_of(df.where("id > 3").select("id"))
+    assert sources.read_parquet(spark, str(tmp_path / "p"), "id bigint").columns == ["id"]
 
 
 def test_overwriting_the_path_being_read_is_refused(spark, tmp_path):
