@@ -103,7 +103,8 @@ def test_equals_brute_force_with_hot_keys_nulls_and_duplicates(spark, conf, how,
     assert as_dict(rated) == brute_force(items, facts, how, count)
 
 
-def test_hot_item_key_is_split_over_tasks(spark, conf):
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_item_key_is_split_over_tasks(spark, conf, how):
     """A third of the items share one key and another third have none."""
     conf("spark.sql.autoBroadcastJoinThreshold", "-1")
     conf("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "1.0")
@@ -116,7 +117,7 @@ def test_hot_item_key_is_split_over_tasks(spark, conf):
         F.concat(F.lit("t"), F.col("id") % 1000).alias("title"),
     )
     facts = spark.range(0, n).select((F.col("id") % 100).alias("movieId"), F.lit(1.0).alias("rating"))
-    rated = rated_by_group(items, facts, **NAMES, how="left", count="values")
+    rated = rated_by_group(items, facts, **NAMES, how=how, count="values")
     expected = n // 3 * 600 + sum(600 for k in range(100) if k % 3 == 1)
     assert sum(r.votes for r in rated.collect()) == expected
     assert "skew=true" in plan_of(rated)
