@@ -227,9 +227,9 @@ def avg_by_group(spark, d):
 
 
 @query("""WITH lines AS (
-  SELECT l_shipdate, CASE WHEN l_returnflag = 'R' THEN 'n/a' WHEN l_linenumber = 1 THEN NULL
-              ELSE CAST(l_quantity AS VARCHAR) END AS rating,
-         l_linestatus || l_returnflag AS kind
+  SELECT l_linestatus || l_returnflag AS kind,
+         CASE WHEN l_returnflag = 'R' THEN 'n/a' WHEN l_linenumber = 1 THEN NULL
+              ELSE CAST(l_quantity AS VARCHAR) END AS rating
   FROM lineitem)
 SELECT kind, avg(TRY_CAST(rating AS DOUBLE)) AS rating FROM lines GROUP BY kind""")
 def avg_of_strings(spark, d):
