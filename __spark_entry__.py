@@ -21,6 +21,14 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from tallyframe import catalog, functions, learn, operators, plans, sinks, sources  # noqa: E402
 from tallyframe.session import scratch_path  # noqa: E402
 
+try:  # the training-data operators are an optional part
+    import corpus_pipeline  # noqa: F401, E402
+    from tallyframe.llm import registry as llm  # noqa: E402
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "tallyframe.llm", "tallyframe.llm.registry"):
+        raise
+    llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
@@ -45,11 +53,11 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return {**_QUERIES, **(llm.queries() if llm else {})}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {**_SQL, **(llm.oracle_sql() if llm else {})}
 
 
 # ---- the given tables in the shapes the reports expect ----------------------

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -10,9 +9,6 @@ from pyspark.sql import SparkSession
 # One shuffle task should hold about this much data and still fit in memory.
 SHUFFLE_TASK_BYTES = 128 * 1024 * 1024
 
-_local_scratch: str | None = None
-
-
 # Spark's own default, for a cluster of unknown size.
 DEFAULT_PARTITIONS = 200
 # More scan tasks than this keep the driver busy with scheduling alone.
@@ -64,18 +60,10 @@ def build_session(
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the cluster's shared folder (``spark.checkpoint.dir``).
+    """A fresh path below a folder that all executors reach.
 
-    Executors on other machines must see what is written there, so a
-    machine-local folder is used only when Spark itself runs in local mode and
-    the setting is absent.
+    That is the cluster's ``spark.checkpoint.dir`` or, where it is unset, the
+    warehouse. A machine-local folder is never used.
     """
-    global _local_scratch
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        if _local_scratch is None:
-            _local_scratch = tempfile.mkdtemp(prefix="tallyframe-")
-        root = _local_scratch
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/tallyframe/{label}-{uuid.uuid4().hex}"
