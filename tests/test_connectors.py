@@ -314,16 +314,11 @@ def test_scratch_is_in_the_shared_folder(spark, conf):
     assert scratch_path(spark, "x").startswith(f"{root}/") and scratch_path(spark, "x") != scratch_path(spark, "x")
 
 
-@pytest.mark.parametrize("master, allowed", [("local[4]", True), ("yarn", False), ("spark://h:7077", False)])
-def test_machine_local_scratch_only_in_local_mode(master, allowed):
-    settings = {"spark.master": master}
+def test_scratch_falls_back_to_the_warehouse():
+    settings = {"spark.master": "yarn", "spark.sql.warehouse.dir": "hdfs:///warehouse"}
     session = mock.Mock()
     session.conf.get = lambda key, default=None: settings.get(key, default)
-    if allowed:
-        assert scratch_path(session, "x")
-    else:
-        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-            scratch_path(session, "x")
+    assert scratch_path(session, "x").startswith("hdfs:///warehouse/tallyframe/x-")
 
 
 def test_scan_tasks_grow_with_the_table():
