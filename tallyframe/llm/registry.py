@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import packing, sharding
+from tallyframe.llm import packing, sharding, toxicity
 from tallyframe.sources import read_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,15 @@ def op2_sharding(spark, d):
     )
 
 
+@query
+def op8_toxicity(spark, d):
+    """Every document's toxicity, learned from the labels that are not held out."""
+    docs = table(spark, d, "documents")
+    sample = toxicity.labelled_sample(docs, table(spark, d, "labels"))
+    scored = toxicity.score_toxicity(docs.select("doc_id", "text"), toxicity.fit_toxicity(sample))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 @query
 def op10_packing(spark, d):
     """All documents into sequences of 1024 tokens."""
