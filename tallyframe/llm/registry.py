@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import packing, sharding, toxicity
+from tallyframe.llm import packing, sharding, simhash, toxicity
 from tallyframe.sources import read_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,14 @@ def op2_sharding(spark, d):
     )
 
 
+@query
+def op4_simhash(spark, d):
+    """All documents in components of fingerprints with at most two differing bits."""
+    groups = simhash.simhash_groups(table(spark, d, "documents"), most=2)
+    digits = F.lower(F.lpad(F.hex("code"), 16, "0"))
+    return groups.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
 @query
 def op8_toxicity(spark, d):
     """Every document's toxicity, learned from the labels that are not held out."""
