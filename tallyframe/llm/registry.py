@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import packing, sharding, simhash, toxicity
+from tallyframe.llm import packing, sharding, simhash, substring, toxicity
 from tallyframe.sources import read_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,14 @@ def op4_simhash(spark, d):
     return groups.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+@query
+def op5_substring(spark, d):
+    """All documents without the 13-word windows that an earlier document has."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    done = substring.remove_repeats(docs, window=13)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query
 def op8_toxicity(spark, d):
     """Every document's toxicity, learned from the labels that are not held out."""
