@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import packing, sharding, simhash, substring, toxicity
+from tallyframe.llm import packing, pii, sharding, simhash, substring, toxicity
 from tallyframe.sources import read_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,20 @@ def op5_substring(spark, d):
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query
+def op7_pii(spark, d):
+    """Personal data of all documents, and the terms that reveal it."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    found = pii.sanitise(docs)
+    count = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
+    return found.select(
+        "doc_id",
+        *(count(k) for k in pii.KINDS),
+        F.sha2(pii.span_list(F.col("base_spans")), 256).alias("base_sha256"),
+        pii.span_list(F.concat("base_spans", "term_spans")).alias("spans"),
+    )
+
+
 @query
 def op8_toxicity(spark, d):
     """Every document's toxicity, learned from the labels that are not held out."""
