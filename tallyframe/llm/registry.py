@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import packing, pii, sharding, simhash, substring, toxicity
+from tallyframe.llm import packing, pii, quality, sharding, simhash, substring, toxicity
 from tallyframe.sources import read_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,13 @@ def op5_substring(spark, d):
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query
+def op6_quality(spark, d):
+    """All documents judged by weakly supervised rules."""
+    judged = quality.judge_quality(table(spark, d, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
+
+
 @query
 def op7_pii(spark, d):
     """Personal data of all documents, and the terms that reveal it."""
