@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import packing, pii, quality, sharding, simhash, substring, toxicity
+from tallyframe.llm import embeddings, packing, pii, quality, sharding, simhash, substring, toxicity
 from tallyframe.sources import read_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,6 +109,12 @@ def op8_toxicity(spark, d):
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+@query
+def op9_embeddings(spark, d):
+    """All vectors in components of cosine 0.9 or more."""
+    return embeddings.near_duplicates(table(spark, d, "embeddings"), least=0.9)
+
+
 @query
 def op10_packing(spark, d):
     """All documents into sequences of 1024 tokens."""
