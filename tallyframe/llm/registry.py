@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import embeddings, packing, pii, quality, sharding, simhash, substring, toxicity
+from tallyframe.llm import embeddings, packing, pieces, pii, quality, sharding, simhash, substring, toxicity, urls
 from tallyframe.sources import read_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,79 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return read_parquet(spark, f"{d}/{name}.parquet")
 
 
+FIRST_DAY = "2024-01-01"
+
+
+def url_list(pages: DataFrame) -> DataFrame:
+    """Dated list entries from the hosts and paths of the pages; they grow with the table."""
+    places = pages.where("url is not null").select(urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"))
+    places = places.where("host <> ''").select("host", F.regexp_extract("path", "^/([^/]+)", 1).alias("part")).distinct()
+    number = lambda c: F.conv(F.substring(F.md5(c.cast("binary")), 1, 4), 16, 10).cast("int")
+    hosts = places.select("host").distinct().withColumn("x", number(F.col("host")))
+    day = lambda n: F.date_add(F.lit(FIRST_DAY).cast("date"), n)
+
+    def dated(frame: DataFrame, every: int, kind: str, pattern, action: str, n) -> DataFrame:
+        return frame.where(F.col("x") % every == 0).select(
+            F.lit(kind).alias("kind"), pattern.alias("pattern"), F.lit(action).alias("action"), day(n).alias("dated")
+        )
+
+    x, host = F.col("x"), F.col("host")
+    parent = F.regexp_replace(host, "^[^.]*\\.", "")
+    paths = places.where("part <> ''").withColumn("pattern", F.concat_ws("/", "host", "part"))
+    paths = paths.withColumn("x", number(F.col("pattern")))
+    return (
+        dated(hosts, 3, "domain", host, "block", x % 300)
+        .union(dated(hosts, 6, "domain", host, "delist", x % 300 + 60))
+        .union(dated(hosts, 12, "domain", host, "block", x % 300 + 150))
+        .union(dated(hosts, 40, "domain", parent, "block", x % 500))
+        .union(dated(paths, 5, "prefix", F.col("pattern"), "allow", x % 200))
+    )
+
+
+_SQL["op1_urls"] = f"""WITH captures AS (
+  SELECT page_id, url, DATE '{FIRST_DAY}' + CAST(page_id % 500 AS INTEGER) AS day,
+         rtrim(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.') AS host,
+         regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+places AS (SELECT DISTINCT host, regexp_extract(path, '^/([^/]+)', 1) AS part FROM captures WHERE host <> ''),
+hosts AS (SELECT DISTINCT host, CAST('0x' || substr(md5(host), 1, 4) AS INTEGER) AS x FROM places),
+paths AS (SELECT host || '/' || part AS pattern, CAST('0x' || substr(md5(host || '/' || part), 1, 4) AS INTEGER) AS x
+          FROM places WHERE part <> ''),
+listed AS (
+  SELECT 'domain' AS kind, host AS pattern, 'block' AS action, x % 300 AS n FROM hosts WHERE x % 3 = 0
+  UNION ALL SELECT 'domain', host, 'delist', x % 300 + 60 FROM hosts WHERE x % 6 = 0
+  UNION ALL SELECT 'domain', host, 'block', x % 300 + 150 FROM hosts WHERE x % 12 = 0
+  UNION ALL SELECT 'domain', regexp_replace(host, '^[^.]*\\.', ''), 'block', x % 500 FROM hosts WHERE x % 40 = 0
+  UNION ALL SELECT 'prefix', pattern, 'allow', x % 200 FROM paths WHERE x % 5 = 0),
+daily AS (
+  SELECT kind, pattern, DATE '{FIRST_DAY}' + n AS dated,
+         arg_max(action, list_position(['delist', 'allow', 'block'], action)) AS action
+  FROM listed GROUP BY ALL),
+intervals AS (
+  SELECT *, lead(dated) OVER (PARTITION BY kind, pattern ORDER BY dated) AS ended FROM daily),
+active AS (
+  SELECT DISTINCT url, day, kind, pattern, action FROM captures JOIN intervals
+    ON action <> 'delist' AND day >= dated AND (ended IS NULL OR day < ended)
+   AND CASE kind WHEN 'domain' THEN host = pattern OR ends_with(host, '.' || pattern)
+       ELSE starts_with(host || path || '/', pattern || '/') END),
+judged AS (
+  SELECT url, day, arg_max(action, (kind = 'prefix')::INT * 100000 + length(pattern)) AS action,
+         arg_max(pattern, (kind = 'prefix')::INT * 100000 + length(pattern)) AS pattern, count(*) AS n
+  FROM active GROUP BY url, day)
+SELECT page_id, host, coalesce(action, 'allow') AS verdict, pattern AS decided_by, coalesce(n, 0) AS n_active
+FROM captures LEFT JOIN judged USING (url, day)"""
+
+
+@query
+def op1_urls(spark, d):
+    """All pages against the list of the day they were fetched; the days come from the page ids."""
+    pages = table(spark, d, "pages").select("page_id", "url")
+    fetched = F.date_add(F.lit(FIRST_DAY).cast("date"), (F.col("page_id") % 500).cast("int"))
+    judged = urls.filter_urls(pages.withColumn("fetched", fetched), url_list(pages))
+    host = F.coalesce(urls.host_of(F.col("url")), F.lit(""))
+    return judged.select("page_id", host.alias("host"), "verdict", "decided_by", "n_active")
+
+
 SHARDS = 40
 
 
@@ -63,6 +136,13 @@ def op2_sharding(spark, d):
     )
 
 
+@query
+def op3_pieces(spark, d):
+    """All documents in SentencePiece pieces, with their four best segmentations."""
+    encoded = pieces.encode_pieces(table(spark, d, "documents"), most=4, keep_ids=False)
+    return encoded.select("doc_id", F.col("nbest.score").alias("scores"), F.col("nbest.n_ids").alias("n_ids"), F.col("nbest.ids_crc32").alias("ids_crc32"), "round_trip")
+
+
 @query
 def op4_simhash(spark, d):
     """All documents in components of fingerprints with at most two differing bits."""
