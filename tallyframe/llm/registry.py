@@ -156,7 +156,7 @@ def op5_substring(spark, d):
     """All documents without the 13-word windows that an earlier document has."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     done = substring.remove_repeats(docs, window=13)
-    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 @query

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -122,6 +123,27 @@ class SuffixAutomaton:
         return found
 
 
+def _compressed(docs: DataFrame, text_at: int) -> DataFrame:
+    """The same columns with the text as a compressed block, the form in which it is shuffled."""
+    fields = list(docs.schema.fields)
+    fields[text_at] = T.StructField(fields[text_at].name, T.BinaryType())
+
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            blocks = [pack((t or "").encode()) for t in batch.column(text_at).to_pylist()]
+            columns = list(batch.columns)
+            columns[text_at] = pa.array(blocks, pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return docs.mapInArrow(compress, T.StructType(fields))
+
+
+def _words(blocks: pa.Array) -> Iterator[list[bytes]]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return (unpack(b).split() for b in blocks.to_pylist())
+
+
 def _held_anchors(texts: DataFrame, window: int) -> DataFrame:
     """``anchor`` and ``k1`` for the distinct anchors of each text."""
 
@@ -145,13 +167,11 @@ def _passages(candidates: DataFrame, window: int, text_at: int) -> DataFrame:
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text_at).to_pylist()
             keys1, keys2 = batch.column(batch.num_columns - 5).to_pylist(), batch.column(batch.num_columns - 4).to_pylist()
             repeated = batch.column(batch.num_columns - 3)
             hot, firsts = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1).to_pylist()
             rows: list[tuple] = []
-            for r, text in enumerate(texts):
-                words = text.encode().split()
+            for r, words in enumerate(_words(batch.column(text_at))):
                 own = anchors(words, window)
                 inside = np.isin(own, repeated[r].values.to_numpy())
                 if not inside.any():
@@ -212,7 +232,7 @@ def _lowest_ids(references: DataFrame, window: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """All columns of ``docs``, and ``kept_text``, ``n_words``, ``n_removed``.
+    """The columns of ``docs`` with what is left of the text, and ``n_words``, ``n_removed``.
 
     A word goes if one of the windows that cover it, ``window`` consecutive
     words, also starts in a document with a smaller id; windows are judged on
@@ -223,15 +243,16 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     nothing. Columns of the input with the added names, in any case, are
     replaced. An empty table gives no rows.
     """
-    added = ("kept_text", "n_words", "n_removed")
+    added = ("n_words", "n_removed")
     names = [c for c in docs.columns if c.lower() not in added]
     id_at, text_at = names.index(id_col), names.index(text_col)
     plain = docs.select(*(col(docs, c).alias(f"_{i}") for i, c in enumerate(names)))
     text = F.coalesce(f"_{text_at}", F.lit(""))
-    keyed = plain.withColumns({"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(window), text)})
+    plain = plain.withColumns({"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(window), text)})
+    keyed = _compressed(plain, text_at)
     number = F.col(f"_{id_at}").cast("bigint")
 
-    held = _held_anchors(keyed.select(text.alias("text"), "k1"), window)
+    held = _held_anchors(plain.select(text.alias("text"), "k1"), window)
     counted = held.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("k1").alias("lo"), F.max("k1").alias("hi"))
     shared = stored(counted.where("lo <> hi").select("anchor", (F.col("n") > hot).alias("hot")), "anchors")
 
@@ -239,12 +260,12 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     repeated = repeated.groupBy("k1").agg(
         F.collect_set("anchor").alias("repeated"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot")
     )
-    first = keyed.groupBy("k1", "k2").agg(F.coalesce(F.min(number), F.lit(NEVER)).alias("first_id"))
+    first = plain.groupBy("k1", "k2").agg(F.coalesce(F.min(number), F.lit(NEVER)).alias("first_id"))
     first = first.select(F.col("k1").alias("f1"), F.col("k2").alias("f2"), "first_id")
     per_text = repeated.join(first, F.col("k1") == F.col("f1")).select("f1", "f2", "repeated", "hot", "first_id")
 
     candidates = keyed.join(per_text, (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")))
-    kept_order = [*plain.columns, "k1", "k2", "repeated", "hot", "first_id"]
+    kept_order = [*plain.columns, "repeated", "hot", "first_id"]
     found = _passages(candidates.select(*kept_order), window, text_at).withColumn("pk", F.xxhash64("passage"))
     references = found.groupBy("shard", "pk", "passage").agg(F.min("first_id").alias("first_id"))
     lows = _lowest_ids(references, window).withColumnsRenamed({"shard": "s", "pk": "p"})
@@ -256,15 +277,14 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
 
     judged = keyed.join(first, (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")), "left")
     judged = judged.join(hits, (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2")), "left")
-    judged = judged.select(*plain.columns, number.alias("number"), "first_id", "at")
+    judged = judged.select(*plain.columns[: len(names)], number.alias("number"), "first_id", "at")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = len(names)
         for batch in batches:
-            texts, numbers, firsts = (batch.column(i).to_pylist() for i in (text_at, width, width + 1))
+            numbers, firsts = (batch.column(i).to_pylist() for i in (width, width + 1))
             out, n_words, n_removed = [], [], []
-            for r, (value, own, earliest) in enumerate(zip(texts, numbers, firsts, strict=True)):
-                words = (value or "").encode().split()
+            for r, (words, own, earliest) in enumerate(zip(_words(batch.column(text_at)), numbers, firsts, strict=True)):
                 n = len(words)
                 if own is not None and own > earliest and n >= window:
                     kept = []
@@ -279,10 +299,10 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
                 out.append(b" ".join(kept).decode())
                 n_words.append(n)
                 n_removed.append(n - len(kept))
-            columns = [*batch.columns[:width], pa.array(out, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
+            columns = [*batch.columns[:width], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
+            columns[text_at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:width], *added])
 
-    fields = [*plain.schema.fields, T.StructField("kept_text", T.StringType())]
-    fields += [T.StructField(n, T.LongType()) for n in added[1:]]
+    fields = [*plain.schema.fields[: len(names)], *(T.StructField(n, T.LongType()) for n in added)]
     done = judged.mapInArrow(remove, T.StructType(fields))
     return done.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(names)), *added)
