@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tallyframe.llm import embeddings, packing, pieces, pii, quality, sharding, simhash, substring, toxicity, urls
 from tallyframe.sources import read_parquet
 
@@ -201,3 +202,13 @@ def op10_packing(spark, d):
     return packing.pack_documents(table(spark, d, "documents")).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )
+
+
+@query
+def pipeline(spark, d):
+    """Toxicity, near copies, repeated windows, personal data, packing: each on what the last kept."""
+    return corpus_pipeline.run(spark, d)
+
+
+if corpus_pipeline.ORACLE_SQL is not None:
+    _SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -111,8 +111,11 @@ def numbered(df: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
 
 def place(row_number: Column, n: int, shards: int, seed: int = 0) -> tuple[Column, Column]:
     """Shard and slot of a row number: shards differ by one row at most, slots have no gap."""
-    to = permuted(row_number, n, seed)
-    return F.pmod(to, F.lit(shards)).cast("int"), (to - F.pmod(to, F.lit(shards))).try_divide(shards)
+    both = F.transform(
+        F.array(permuted(row_number, n, seed)),
+        lambda to: F.struct(F.pmod(to, F.lit(shards)).cast("int").alias("shard"), F.call_function("div", to, F.lit(shards)).alias("slot")),
+    )[0]
+    return both["shard"], both["slot"]
 
 
 def row_at(shard: Column, slot: Column, n: int, shards: int, seed: int = 0) -> Column:
@@ -129,10 +132,5 @@ def shard_rows(df: DataFrame, columns: list[str], shards: int, seed: int = 0) ->
     columns of the frame, whatever their names, are not read.
     """
     rows, n = numbered(df, columns)
-    to = rows.withColumn("_to", permuted(F.col("row_number"), n, seed))
-    return to.select(
-        *(F.col(f"`{c}`") for c in columns),
-        "row_number",
-        F.pmod("_to", F.lit(shards)).cast("int").alias("shard"),
-        F.expr(f"_to div {shards}").alias("slot"),
-    )
+    shard, slot = place(F.col("row_number"), n, shards, seed)
+    return rows.select(*(F.col(f"`{c}`") for c in columns), "row_number", shard.alias("shard"), slot.alias("slot"))

@@ -109,33 +109,46 @@ class GrayTree:
         raise AssertionError
 
 
+class _Labels:
+    """The smallest member that each of ``n`` members is joined with so far."""
+
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        label = self.of
+        while True:
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+            if not len(a):
+                break
+            low = np.minimum(label[a], label[b])
+            np.minimum.at(label, label[a], low)
+            np.minimum.at(label, label[b], low)
+            while (label != label[label]).any():
+                label = label[label]
+        self.of = label
+
+    def moved(self) -> np.ndarray:
+        return np.flatnonzero(self.of != np.arange(len(self.of)))
+
+
 def linked(codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that span the components of distinct codes with at most ``most`` differing bits."""
     tree = GrayTree(codes)
     n = len(codes)
-    label = np.arange(n)
+    labels = _Labels(n)
     step = max(1, FRONTIER // (n + FANOUT))
     for start in range(0, n, step):
         a, b = tree.within(tree.codes[start : start + step], most)
         a = a + start
-        a, b = a[a < b], b[a < b]
-        while len(a):
-            low = np.minimum(label[a], label[b])
-            apart = label[a] != label[b]
-            if not apart.any():
-                break
-            a, b, low = a[apart], b[apart], low[apart]
-            np.minimum.at(label, label[a], low)
-            np.minimum.at(label, label[b], low)
-            while (label != label[label]).any():
-                label = label[label]
-    moved = np.flatnonzero(label != np.arange(n))
-    return tree.codes[moved], tree.codes[label[moved]]
+        labels.join(a[a < b], b[a < b])
+    moved = labels.moved()
+    return tree.codes[moved], tree.codes[labels.of[moved]]
 
 
-def _patterns(code: Column, most: int) -> Column:
+def _patterns(code: Column, most: int, blocks: int) -> Column:
     """The masked patterns of a code, each with the number of its mask."""
-    blocks = most + 2
     bounds = [64 * i // blocks for i in range(blocks + 1)]
     masks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(bounds, bounds[1:], strict=False)]
     wanted = [sum(masks[i] for i in kept) for kept in combinations(range(blocks), blocks - most)]
@@ -143,24 +156,36 @@ def _patterns(code: Column, most: int) -> Column:
     return F.array(*(F.xxhash64(F.lit(i), code.bitwiseAND(F.lit(m))) for i, m in enumerate(signed)))
 
 
-def near_links(codes: DataFrame, most: int = 2, tile: int = TILE) -> DataFrame:
+def _dealt(rows: DataFrame, key: str, member: str, tile: int) -> DataFrame:
+    """Rows of keys with several members, by ``grp``: the key, or two of its tiles.
+
+    A key with more than ``tile`` members is dealt into tiles by hash, and
+    every two tiles form a group, so a group never exceeds about two tiles.
+    """
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    sizes = sizes.select(F.col(key).alias("sized"), F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    met = rows.join(sizes, F.col(key) == F.col("sized"))
+    own = F.pmod(F.xxhash64(member, F.lit(7)), F.col("tiles")).cast("int")
+    other = F.explode(F.when(F.col("tiles") > 1, F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(F.lit(0))))
+    dealt = met.withColumn("own", own).withColumn("other", other).where("own <> other or tiles = 1")
+    group = F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other")).alias("grp")
+    parts = dealt.select(group, *(c for c in rows.columns if c != key))
+    return parts.repartition(shuffle_partitions(rows.sparkSession), "grp").sortWithinPartitions("grp")
+
+
+def near_links(codes: DataFrame, most: int = 2, tile: int = TILE, blocks: int | None = None) -> DataFrame:
     """Links ``a``, ``b`` that connect exactly the codes reachable over differences of ``most`` bits.
 
-    ``codes`` has distinct longs in ``code``. A pattern with more than ``tile``
+    ``codes`` has distinct longs in ``code``. The 64 bits are cut into
+    ``blocks`` (``most + 2`` by default), and a pattern is any ``blocks -
+    most`` of them; more blocks make longer patterns, hence smaller groups and
+    more copies of each code. A pattern with more than ``tile``
     codes is dealt into tiles by hash, and every two tiles meet in a task, so
     no task holds more than about two tiles. A task gives links that span its
     components, fewer than its codes, and never all pairs.
     """
-    spark = codes.sparkSession
-    spread = codes.select("code", F.explode(_patterns(F.col("code"), most)).alias("pattern"))
-    sizes = spread.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    sizes = sizes.select(F.col("pattern").alias("p"), F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    met = spread.join(sizes, F.col("pattern") == F.col("p"))
-    own = F.pmod(F.xxhash64("code", F.lit(7)), F.col("tiles")).cast("int")
-    other = F.explode(F.when(F.col("tiles") > 1, F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(F.lit(0))))
-    dealt = met.withColumn("own", own).withColumn("other", other).where("own <> other or tiles = 1")
-    group = F.xxhash64("pattern", F.least("own", "other"), F.greatest("own", "other")).alias("grp")
-    parts = dealt.select(group, "code").repartition(shuffle_partitions(spark), "grp").sortWithinPartitions("grp")
+    spread = codes.select("code", F.explode(_patterns(F.col("code"), most, blocks or most + 2)).alias("pattern"))
+    parts = _dealt(spread, "pattern", "code", tile)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((0, 2), "int64")
@@ -207,18 +232,118 @@ def simhash_groups(docs: DataFrame, most: int = 2, id_col: str = "doc_id", text_
     return coded.join(named, F.col("code") == F.col("k")).select("doc_id", "code", "component", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, most: int = 2) -> DataFrame:
-    """The rows of ``docs`` with one document of each group: the one with the smallest id.
+SKETCH = 512
+_SEEDS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) for k in range(SKETCH // 64)], "uint64")
+
 
-    Where the group's smallest id is carried by several rows, the one with the
-    smallest fingerprint stays, and one of rows that agree in both.
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """The majority bits over the rows of hashes, as unsigned longs."""
+    counts = np.zeros(64 * hashes.shape[1], "int64")
+    for i in range(0, len(hashes), 1 << 12):
+        block = np.ascontiguousarray(hashes[i : i + (1 << 12)])
+        counts += np.unpackbits(block.view("uint8"), axis=1, bitorder="little").sum(axis=0, dtype="int64")
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("uint64")
+
+
+def sketch(text: str, size: int = 5) -> tuple[int, bytes]:
+    """The SimHash of the distinct words, and a SimHash of ``SKETCH`` bits of the distinct word shingles."""
+    words = text.encode().lower().split()
+    if not words:
+        return 0, bytes(SKETCH // 8)
+    distinct = set(words)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), "uint64", len(distinct))
+    code = int(_majority(hashes[:, None])[0])
+    size = min(size, len(words))
+    known = dict(zip(distinct, hashes.tolist(), strict=True))
+    each = np.fromiter(map(known.__getitem__, words), "uint64", len(words))
+    shingles = each[: len(words) - size + 1].copy()
+    for j in range(1, size):
+        shingles = (shingles ^ (shingles >> np.uint64(29))) * _SEEDS[0] + each[j : len(words) - size + 1 + j]
+    mixed = np.unique(shingles)[:, None] * _SEEDS
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return code, _majority(mixed ^ (mixed >> np.uint64(32))).tobytes()
+
+
+def _similar(nodes: DataFrame, similarity: float, tile: int) -> DataFrame:
+    """Links that span the nodes of one ``component`` whose sketches show the similarity."""
+    shared = 2 * similarity / (1 + similarity)  # the cosine of two sets of one size
+    most = int(SKETCH * np.arccos(shared) / np.pi)
+    parts = _dealt(nodes.select("component", "node", "sketch"), "component", "node", tile)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[-1][0] != row[0]:
+                    yield links(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield links(held)
+
+    def links(held: list[tuple]) -> pa.RecordBatch:
+        ids = np.array([h[1] for h in held])
+        bits = np.frombuffer(b"".join(h[2] for h in held), "uint64").reshape(len(held), -1)
+        labels = _Labels(len(held))
+        step = max(1, FRONTIER // (8 * len(held)))
+        for i in range(0, len(held), step):
+            apart = np.bitwise_count(bits[i : i + step, None, :] ^ bits[None, :, :]).sum(axis=2, dtype="int32")
+            a, b = np.nonzero(apart <= most)
+            a += i
+            labels.join(a[a < b], b[a < b])
+        moved = labels.moved()
+        return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[labels.of[moved]])], ["a", "b"])
+
+    return parts.mapInArrow(compare, "a bigint, b bigint")
+
+
+def near_copy_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, most: int = 7, blocks: int = 9, tile: int = TILE) -> DataFrame:
+    """One row per document: ``doc_id``, ``text_key`` and ``group``, for groups of similar texts.
+
+    Documents whose distinct words have fingerprints within ``most`` bits are
+    candidates, found with the Gray-order index; few changed words change few
+    of these bits. Candidates are linked if sketches of their ``size``-word
+    shingles show a similarity of ``similarity`` or more. The sketch has 512
+    bits, which tells similarities near 0.8 apart to about 0.04; of texts that
+    are 0.8 alike about one pair in ten exceeds ``most``. Nulls, copies and
+    empty tables as in ``simhash_groups``.
+    """
+    picked = docs.select(col(docs, "doc_id").alias("doc_id"), F.coalesce(col(docs, "text"), F.lit("")).alias("text"))
+    picked = picked.withColumn("text_key", F.xxhash64("text"))
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sketch(t, size) for t in batch.column(1).to_pylist()]
+            codes = pa.array(np.array([f[0] for f in found], "uint64").view("int64"))
+            columns = [batch.column(0), batch.column(2), codes, pa.array([f[1] for f in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "code", "sketch"])
+
+    kind = picked.schema["doc_id"].dataType.simpleString()
+    coded = stored(picked.mapInArrow(sketches, f"doc_id {kind}, text_key bigint, code bigint, sketch binary"), "sketches")
+    nodes = coded.groupBy("code", "sketch").agg(F.count(F.lit(1)).alias("n"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    codes = stored(nodes.select("code").distinct(), "codes")
+    candidates = components(codes.select(F.col("code").alias("node")), near_links(codes, most, tile, blocks))
+    candidates = candidates.withColumnRenamed("node", "c")
+    near = nodes.join(candidates, F.col("code") == F.col("c"))
+    groups = components(nodes.select("node"), stored(_similar(near, similarity, tile), "links"))
+    groups = groups.select(F.col("node").alias("g"), F.col("component").alias("group"))
+    named = nodes.join(groups, F.col("node") == F.col("g")).select(F.col("code").alias("k"), F.col("sketch").alias("s"), "group")
+    found = coded.join(named, (F.col("code") == F.col("k")) & (F.col("sketch") == F.col("s")))
+    return found.select("doc_id", "text_key", "group")
+
+
+def drop_near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
+    """The rows of ``docs`` with one document of each group of ``near_copy_groups``: the smallest id.
+
+    Of rows that share it the text with the smallest hash stays, and one of
+    equal rows. A null id stays only in a group without any other.
     """
-    groups = simhash_groups(docs, most)
-    # Null ids come last, so a group of null ids keeps one of them.
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", "code")
-    kept = groups.groupBy("component").agg(F.min(first).alias("kept"))
-    kept = kept.select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.code").alias("kept_code"))
-    coded = with_fingerprint(docs, name="__code")
-    same = col(coded, "doc_id").eqNullSafe(F.col("kept_id")) & (F.col("__code") == F.col("kept_code"))
-    rows = coded.join(kept, same, "left_semi")
-    return rows.dropDuplicates(["doc_id", "__code"]).select(*(col(rows, c) for c in docs.columns))
+    groups = near_copy_groups(docs, similarity, size)
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    kept = groups.groupBy("group").agg(F.min(first).alias("kept"))
+    kept = kept.select(F.col("kept.doc_id").alias("__id"), F.col("kept.text_key").alias("__kept"))
+    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(col(docs, "text"), F.lit(""))))
+    same = col(keyed, "doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__kept"))
+    rows = keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__key"])
+    return rows.select(*(col(rows, c) for c in docs.columns))

@@ -1,0 +1,57 @@
+from pyspark.sql import functions as F
+
+from tallyframe.llm import sharding
+
+SCHEMA = "doc_id long, text string, shard string, row_number string"
+
+
+def dealt(spark, rows, shards, seed=1):
+    df = spark.createDataFrame([(i, t, "x", None) for i, t in rows], SCHEMA)
+    return sharding.shard_rows(df, ["doc_id", "text"], shards, seed).collect()
+
+
+def test_every_row_has_a_place_of_its_own(spark):
+    rows = [(i % 50, "a" * (i % 7)) for i in range(400)] + [(None, None)] * 30 + [(7, "")] * 25
+    found = dealt(spark, rows, 7)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in found) == sorted(
+        (i is None, i or 0, t or "") for i, t in rows
+    )
+    by_shard = {}
+    for r in found:
+        by_shard.setdefault(r.shard, []).append(r.slot)
+    sizes = [len(s) for s in by_shard.values()]
+    assert len(by_shard) == 7 and max(sizes) - min(sizes) <= 1
+    assert all(sorted(s) == list(range(len(s))) for s in by_shard.values())
+    assert sorted(r.row_number for r in found) == list(range(len(rows)))
+
+
+def test_places_depend_on_the_values_alone(spark):
+    rows = [(i, f"text {i}") for i in range(200)]
+    key = lambda found: sorted((r.doc_id, r.shard, r.slot) for r in found)
+    assert key(dealt(spark, rows, 5)) == key(dealt(spark, rows[::-1], 5))
+    assert key(dealt(spark, rows, 5)) != key(dealt(spark, rows, 5, seed=2))
+
+
+def test_small_and_empty_tables(spark):
+    assert dealt(spark, [], 4) == []
+    assert [(r.shard, r.slot) for r in dealt(spark, [(1, "a")], 4)] == [(0, 0)]
+    for n in (2, 3, 5, 17):
+        found = dealt(spark, [(i, "x") for i in range(n)], 4)
+        assert sorted(r.slot * 4 + r.shard for r in found) == list(range(n))
+
+
+def test_equal_rows_above_a_block(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK", 10)
+    found = dealt(spark, [(1, "same")] * 95 + [(2, "b")] * 3, 3)
+    assert sorted(r.slot * 3 + r.shard for r in found) == list(range(98))
+
+
+def test_permutation_and_its_inverse(spark):
+    for n in (1, 2, 6, 64, 1000, 4097):
+        x = F.col("id")
+        there = sharding.permuted(x, n, 3)
+        rows = spark.range(n).select("id", there.alias("to"), sharding.permuted(there, n, 3, backwards=True).alias("back")).collect()
+        assert sorted(r.to for r in rows) == list(range(n)) and all(r.back == r.id for r in rows)
+    row = spark.range(1000).select("id", *(c.alias(k) for c, k in zip(sharding.place(F.col("id"), 1000, 9, 4), "ab", strict=True)))
+    back = row.select("id", sharding.row_at(F.col("a"), F.col("b"), 1000, 9, 4).alias("r"))
+    assert back.where("id <> r").count() == 0

@@ -1,0 +1,129 @@
+import random
+import re
+
+import numpy as np
+import xxhash
+
+from tallyframe.llm import simhash
+
+
+def reference(text):
+    text = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    parts = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] * bool(words)
+    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def components(values, near):
+    label = list(range(len(values)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a in range(len(values)):
+        for b in range(a):
+            if near(values[a], values[b]):
+                x, y = sorted((root(a), root(b)))
+                label[y] = x
+    return [root(i) for i in range(len(values))]
+
+
+def test_fingerprints():
+    rng = random.Random(1)
+    texts = ["", " \n ", "One", "Two words", "Ünï cödé Ä É", "a\x1cb\x85c d e f", "x " * 70_000]
+    texts += [" ".join(rng.choice("aBcDé") for _ in range(rng.randint(1, 30))) for _ in range(80)]
+    assert [simhash.fingerprint(t) for t in texts] == [reference(t) for t in texts]
+
+
+def test_gray_neighbours_differ_in_one_bit():
+    codes = np.arange(256, dtype="uint64")
+    order = codes[np.argsort(simhash.gray_rank(codes))]
+    assert all(int(a ^ b).bit_count() == 1 for a, b in zip(order, order[1:], strict=False))
+
+
+def test_tree_finds_every_near_code():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 40, dtype="uint64")
+    flips = [np.uint64(1 << int(a)) | np.uint64(1 << int(b)) for a, b in rng.integers(0, 64, (40, 2))]
+    codes = np.unique(np.concatenate([base, base ^ np.array(flips), base ^ np.uint64(7), rng.integers(0, 64, 40, dtype="uint64")]))
+    tree = simhash.GrayTree(codes)
+    for most in (0, 1, 2, 5):
+        a, b = tree.within(tree.codes, most)
+        want = {(int(x), int(y)) for x in codes for y in codes if int(x ^ y).bit_count() <= most}
+        assert {(int(tree.codes[i]), int(tree.codes[j])) for i, j in zip(a, b, strict=True)} == want
+
+
+def test_links_across_tiles(spark):
+    rng = random.Random(4)
+    values = {0, 1, 3, 7, 15, 1 << 63, (1 << 63) | 1}
+    for _ in range(60):
+        x = rng.getrandbits(64)
+        values |= {x, x ^ (1 << rng.randrange(64)), x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64))}
+    values = sorted(values)
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    codes = spark.createDataFrame([(s,) for s in signed], "code long")
+    want = components(values, lambda a, b: (a ^ b).bit_count() <= 2)
+    for tile in (4096, 2):
+        links = simhash.near_links(codes, 2, tile)
+        found = simhash.components(codes.selectExpr("code as node"), links).collect()
+        groups = {}
+        for r in found:
+            groups.setdefault(r.component, set()).add(signed.index(r.node))
+        by_root = {}
+        for i, r in enumerate(want):
+            by_root.setdefault(r, set()).add(i)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, by_root.values()))
+
+
+def test_documents(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["the", "a", "fox", "dog"]) for _ in range(rng.randint(0, 8))) for _ in range(150)]
+    rows = [(i % 140, t) for i, t in enumerate(texts)] + [(None, None), (None, "alone here now"), (500, ""), (3, texts[3])]
+    df = spark.createDataFrame([(i, t, "c", 1) for i, t in rows], "doc_id long, text string, code string, component int")
+    found = simhash.simhash_groups(df).collect()
+    codes = [reference(t) for _, t in rows]
+    root = components(codes, lambda a, b: (a ^ b).bit_count() <= 2)
+    low = {}
+    for r, (i, _) in zip(root, rows, strict=True):
+        low[r] = min((x for x in (low.get(r), i) if x is not None), default=None)
+    want = [(i, c, low[r]) for (i, _), c, r in zip(rows, codes, root, strict=True)]
+    got = [(r.doc_id, r.code % (1 << 64), r.component_id) for r in found]
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert simhash.simhash_groups(df.limit(0)).collect() == []
+
+
+def story(seed, n=200):
+    rng = random.Random(seed)
+    return ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(n)]
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_one_of_each_group_of_near_copies_stays(spark):
+    rows, near = [], {}
+    for g in range(30):
+        words = story(g)
+        rows.append((100 * g + 50, " ".join(words)))
+        for c in range(3):
+            changed = list(words)
+            changed[20 + 60 * c] = f"other{c}"
+            assert jaccard(words, changed) > 0.9
+            rows.append((100 * g + 10 * c, " ".join(changed)))
+        half = words[:100] + story(1000 + g, 100)
+        rows.append((100 * g + 90, " ".join(half)))
+    rows += [(9000, None), (9001, ""), (9002, "Two words"), (9003, "two words"), (9003, "two words"), (None, "no id"), (None, "no id")]
+    df = spark.createDataFrame([(i, t, i) for i, t in rows], "doc_id long, text string, code long")
+    kept = simhash.drop_near_copies(df)
+    assert kept.columns == df.columns
+    ids = sorted(r.doc_id if r.doc_id is not None else -1 for r in kept.collect())
+    assert ids == sorted([100 * g for g in range(30)] + [100 * g + 90 for g in range(30)] + [9000, 9002, -1])
+    assert simhash.drop_near_copies(df.limit(0)).collect() == []
+    tiled = simhash.near_copy_groups(df, tile=2).groupBy("group").count().count()
+    assert tiled == simhash.near_copy_groups(df).groupBy("group").count().count()
