@@ -99,7 +99,13 @@ _word_length, _symbols = _share("word_chars", "n_words"), _share("n_symbols", "n
 _same_lines, _same_words = _share("n_dup_lines", "n_lines"), _share("n_repeat_words", "n_words")
 _capitals, _lettered, _ended = _share("n_upper", "n_distinct"), _share("n_lettered", "n_distinct"), _share("n_ended", "n_lines")
 
-# A defect votes bad and its absence says nothing; what clean prose has in common votes good.
+
+def _typical(m: pd.DataFrame) -> pd.Series:
+    tidy = (m["n_words"] >= 50) & (_symbols(m) <= 0.1) & (_capitals(m) <= 0.2) & (_lettered(m) >= 0.8)
+    return tidy & _word_length(m).between(2.5, 13)
+
+
+# A defect votes bad and its absence says nothing; what prose has in common votes good.
 RULES = (
     Rule("too_short", bad=lambda m: m["n_words"] < 50),
     Rule("odd_words", bad=lambda m: (_word_length(m) < 2) | (_word_length(m) > 15)),
@@ -108,9 +114,9 @@ RULES = (
     Rule("same_words", bad=lambda m: _same_words(m) > 0.5),
     Rule("capitals", bad=lambda m: _capitals(m) > 0.4),
     Rule("no_letters", bad=lambda m: _lettered(m) < 0.6),
-    Rule("sentences", good=lambda m: (m["n_words"] >= 50) & (_ended(m) >= 0.4) & (_symbols(m) <= 0.1)),
-    Rule("prose", good=lambda m: _word_length(m).between(3, 11) & (_capitals(m) <= 0.2) & (_lettered(m) >= 0.8) & (_symbols(m) <= 0.1)),
-    Rule("variety", good=lambda m: (_same_lines(m) <= 0.15) & (_same_words(m) <= 0.3) & (_symbols(m) <= 0.1)),
+    Rule("unended", bad=lambda m: (_ended(m) < 0.05) & (m["n_lines"] >= 5)),
+    Rule("prose", good=lambda m: _typical(m) & (_ended(m) >= 0.3)),
+    Rule("varied_prose", good=lambda m: _typical(m) & (_same_words(m) <= 0.2)),
 )
 
 
@@ -140,7 +146,8 @@ def fit_votes(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> VoteM
     It starts from the view that a document with any bad vote is bad with
     probability 0.9, and any other good with 0.9, and estimates for both
     classes how often each rule casts each vote, so a rule that votes good on
-    everything carries no weight. A bad vote never counts in favour and a good
+    everything carries no weight. That first view also enters as half a document
+    per vote, so rules that never vote together with another keep it. A bad vote never counts in favour and a good
     vote never against. The share of good documents stays between 0.05 and
     0.95. Without votes there is no model.
     """
@@ -151,8 +158,8 @@ def fit_votes(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> VoteM
     model = None
     for _ in range(rounds):
         tables = []
-        for weight in (counts * good, counts * (1 - good)):
-            seen = np.einsum("p,prv->rv", weight, cast) + 0.5
+        for weight, first in ((counts * good, (0.05, 0.5, 0.45)), (counts * (1 - good), (0.45, 0.5, 0.05))):
+            seen = np.einsum("p,prv->rv", weight, cast) + np.array(first)
             tables.append(seen / seen.sum(axis=1, keepdims=True))
         model = VoteModel(*tables, float(np.clip(counts @ good / counts.sum(), 0.05, 0.95)))
         after = model.posterior(votes)
