@@ -115,27 +115,37 @@ def disclosing_terms(
 ) -> DataFrame:
     """Pairs of an entity's ``value`` and a ``term`` that reveals it, with the ``disclosure``.
 
-    ``mentions`` has ``value``, ``context`` (a hash of the words around) and
-    ``terms``. Contexts count once per entity however many copies hold them,
+    ``mentions`` has ``key`` (the document), ``value``, ``context`` (a hash of
+    the words around) and ``terms``. Contexts count once per entity however many copies hold them,
     so copied texts alone reveal nothing. ``support`` is the number of
     distinct contexts a pair needs.
 
     disclosure = log2(N n(e,t) / (n(e) n(t))) / log2(N / n(e)), where N is the
     number of documents, n(t) those that hold the term, and n(e), n(e,t) the
-    contexts of the entity and those with the term.
+    contexts of the entity and those with the term. The documents that mention
+    a term near any entity are a lower bound of n(t), which rules out common
+    words before the corpus is searched for the others.
     """
     contexts = mentions.groupBy("value", "context").agg(F.max("terms").alias("terms"))
     entities = contexts.groupBy("value").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= support)
     pairs = contexts.select("value", F.explode("terms").alias("term")).groupBy("value", "term")
-    pairs = stored(pairs.agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support), "pairs")
+    pairs = pairs.agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support)
+    near = mentions.select("key", F.explode("terms").alias("near")).distinct().groupBy("near")
+    near = near.agg(F.count(F.lit(1)).alias("least"))
+    n = F.lit(float(documents))
+
+    def disclosure(n_t: Column) -> Column:
+        share = F.log2(n * F.col("n_et") / (F.col("n_e") * n_t)) / F.log2(n / F.col("n_e"))
+        return F.when(F.col("n_e") < documents, share).otherwise(0.0)
+
+    pairs = pairs.join(entities.withColumnRenamed("value", "entity"), F.col("value") == F.col("entity"))
+    pairs = pairs.join(near, F.col("term") == F.col("near")).where(disclosure(F.col("least")) >= threshold)
+    pairs = stored(pairs.select("value", "term", "n_e", "n_et"), "pairs")
     wanted = pairs.select(F.col("term").alias("w")).distinct()
-    seen = texts.select(F.explode(_terms(F.col("text"))).alias("term")).join(wanted, F.col("term") == F.col("w"))
+    seen = texts.select(F.explode(_terms(F.col("text"))).alias("t")).join(wanted, F.col("t") == F.col("w"))
     seen = seen.groupBy(F.col("w").alias("seen")).agg(F.count(F.lit(1)).alias("n_t"))
-    joined = pairs.join(entities.withColumnRenamed("value", "entity"), F.col("value") == F.col("entity"))
-    joined = joined.join(seen, F.col("term") == F.col("seen"))
-    n = F.lit(float(documents))
-    share = F.log2(n * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log2(n / F.col("n_e"))
-    scored = joined.select("value", "term", F.when(F.col("n_e") < documents, share).otherwise(0.0).alias("disclosure"))
+    scored = pairs.join(seen, F.col("term") == F.col("seen"))
+    scored = scored.select("value", "term", disclosure(F.col("n_t")).alias("disclosure"))
     return scored.where(F.col("disclosure") >= threshold)
 
 
@@ -203,15 +213,16 @@ def sanitise(
     right = F.when(F.length(right) > reach, F.regexp_replace(right, "[^\\x20\\x09-\\x0D]+$", "")).otherwise(right)
     around = F.concat(left, F.lit(" "), right)
     found = spans.select("_key", F.concat_ws(":", "s.kind", "s.value").alias("value"), around.alias("around"))
-    mentions = found.select("_key", "value", F.xxhash64("around").alias("context"), _terms(F.col("around")).alias("terms"))
+    mentions = found.select(F.col("_key").alias("key"), "value", F.xxhash64("around").alias("context"), _terms(F.col("around")).alias("terms"))
     mentions = stored(mentions, "mentions")
     revealing = disclosing_terms(mentions, plain.select(F.col("_text").alias("text")), plain.count(), threshold, support)
     revealing = revealing.select(F.col("value").alias("v"), F.col("term").alias("t"))
-    own = mentions.select("_key", "value", F.explode("terms").alias("term"))
+    own = mentions.select("key", "value", F.explode("terms").alias("term"))
     own = own.join(revealing, (F.col("value") == F.col("v")) & (F.col("term") == F.col("t")))
-    own = own.groupBy(F.col("_key").alias("k")).agg(F.collect_set("term").alias("terms"))
+    # Stored, so that its size is known: texts are shuffled only where it is too large to send around.
+    own = stored(own.groupBy("key").agg(F.collect_set("term").alias("terms")), "terms")
 
-    judged = plain.join(own, F.col("_key") == F.col("k"), "left")
+    judged = plain.join(own, F.col("_key") == F.col("key"), "left")
     based = judged.select("*", F.concat(*(by_kind[k] for k in KINDS)).alias("base_spans"))
     terms = F.when(F.col("terms").isNotNull(), _term_spans(F.col("_text"), F.col("terms"), F.col("base_spans")))
     based = based.withColumn("term_spans", F.coalesce(terms, F.array().cast(SPAN)))
