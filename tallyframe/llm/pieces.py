@@ -76,18 +76,18 @@ class Pieces:
             self.longest[piece[:2]] = max(self.longest.get(piece[:2], 0), len(piece))
         self.known: dict[str, tuple] = {}
         self.searched: dict[tuple, list] = {}
-        self.tables = {n: self._table(n) for n in {len(p) for p in self.ids}}
+        self.tables = {n: self._table(n) for n in range(1, max(map(len, self.ids)) + 1)}
         self.score_of = np.array([*self.score, self.unknown])
 
     def _table(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pieces of one length, by hash: hashes, letters, ids."""
-        found = [p for p in self.ids if len(p) == length]
+        """All beginnings of this length of pieces, by hash: hashes, letters, and the id where it is a piece."""
+        found = sorted({p[:length] for p in self.ids if len(p) >= length})
         letters = _letters(found, length)
         hashes = letters[:, 0].astype("uint64")
         for k in range(1, length):
             hashes = _mix(hashes, letters[:, k])
         order = np.argsort(hashes, kind="stable")
-        return hashes[order], letters[order], np.array([self.ids[p] for p in found], "int64")[order]
+        return hashes[order], letters[order], np.array([self.ids.get(p, -1) for p in found], "int64")[order]
 
     def edges(self, word: str) -> list[list[tuple]]:
         """For each end in the word the pieces that stop there: start, score, ids."""
@@ -148,22 +148,24 @@ class Pieces:
         score: dict[tuple, np.ndarray] = {}
         piece: dict[tuple, np.ndarray] = {}
         for i in range(n):
-            hashes = letters[:, i].astype("uint64")
+            going, hashes = np.arange(rows), letters[:, i].astype("uint64")
             for k in range(1, min(lengths[0], n - i) + 1):
                 if k > 1:
-                    hashes = _mix(hashes, letters[:, i + k - 1])
-                if k not in self.tables:
-                    continue
+                    hashes = _mix(hashes, letters[going, i + k - 1])
                 table, spelled, ids = self.tables[k]
                 at = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
                 same = table[at] == hashes
-                hit = np.flatnonzero(same)
-                same[hit] = (spelled[at[hit]] == letters[hit, i : i + k]).all(axis=1)
-                found = np.where(same, ids[at], -1)
-                if k > 1 and not same.any():
-                    continue
-                piece[i, k] = found
-                score[i, k] = self.score_of[found] if k == 1 else np.where(same, self.score_of[found], -NONE)
+                same[same] = (spelled[at[same]] == letters[going[same], i : i + k]).all(axis=1)
+                going, hashes = going[same], hashes[same]
+                found = ids[at[same]]
+                hit = found >= 0
+                if k == 1 or hit.any():
+                    piece[i, k] = np.full(rows, -1)
+                    piece[i, k][going[hit]] = found[hit]
+                    score[i, k] = np.full(rows, self.unknown if k == 1 else -NONE)
+                    score[i, k][going[hit]] = self.score_of[found[hit]]
+                if not len(going):
+                    break
         best, back = np.full((n + 1, rows), -NONE), np.full((n + 1, rows), -NONE)
         taken = np.zeros((n + 1, rows), "int64")
         best[0], back[n] = 0.0, 0.0
@@ -216,7 +218,11 @@ class Pieces:
                 self.known.update(zip(part, self.solve_many(full) if length < LONG else map(self.solve, full), strict=True))
 
     def nbest(self, word: str, most: int) -> list[tuple[float, tuple]]:
-        """The ``most`` best segmentations by backward A-star; each is found in its turn."""
+        """The ``most`` best segmentations by backward A-star; each is found in its turn.
+
+        Of equal scores the newest way goes first, so ties are followed to the
+        end one after the other and never side by side.
+        """
         ends = self.edges(word)
         best = self.forward(ends)
         agenda = [(-best[-1], 0, len(word), 0.0, None)]
@@ -231,7 +237,7 @@ class Pieces:
                 found.append((-total, tuple(ids)))
                 continue
             for i, s, ids in ends[place]:
-                heapq.heappush(agenda, (-(best[i] + s + done), made, i, s + done, (ids, path)))
+                heapq.heappush(agenda, (-(best[i] + s + done), -made, i, s + done, (ids, path)))
                 made += 1
         return found
 
@@ -333,8 +339,8 @@ def encode_pieces(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Pieces(model_file())
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for start in range(0, batch.num_rows, 2048):
+                part = batch.slice(start, 2048)
                 rows, back = [], []
                 texts = part.column(1).to_pylist()
                 model.learn({w for t in texts for w in model.words(t)})
