@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,18 +152,13 @@ def rated_left(spark, d):
     return plans.rated_items(movies(spark, d), ratings(spark, d))
 
 
-@query("""SELECT c_name, count(*) AS votes,
-       CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / nullif(count(o_totalprice), 0) AS rate
-FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 450000) o ON c_custkey = o_custkey
-GROUP BY c_name""")
+@query("""SELECT source AS title, count(*) AS votes, CAST(sum(quality) AS DOUBLE) / nullif(count(quality), 0) AS rate
+FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source HAVING count(*) > 20""")
 def rated_left_star(spark, d):
-    large = (
-        table(spark, d, "orders")
-        .where(F.col("o_totalprice") > 450000)
-        .select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
-    )
+    """Documents are counted per source whether or not one has a label."""
+    documents = table(spark, d, "documents").select("doc_id", F.col("source").alias("title"))
     return plans.rated_items(
-        table(spark, d, "customer"), large, "c_custkey", "c_name", "price", more_votes_than=None, count="rows"
+        documents, table(spark, d, "labels"), "doc_id", "title", "quality", more_votes_than=20, count="rows"
     )
 
 
@@ -199,14 +195,14 @@ def title_year_robust(spark, d):
 SELECT CAST(year(make_timestamp("timestamp" * 1000000)) AS INTEGER) AS year, count(*) AS count
 FROM ratings GROUP BY 1 ORDER BY 1 LIMIT 10""")
 def epoch_year_hist(spark, d):
-    return plans.records_per_year(ratings(spark, d))
+    return plans.records_per_year(ratings(spark, d), first=10)
 
 
 @query(f"""WITH {TAGS}
 SELECT CAST(year(make_timestamp("timestamp" * 1000000)) AS INTEGER) AS year, count(*) AS count
 FROM tags GROUP BY 1 ORDER BY 1 LIMIT 10""")
 def epoch_year_hist_tags(spark, d):
-    return plans.records_per_year(tags(spark, d))
+    return plans.records_per_year(tags(spark, d), first=10)
 
 
 @query(f"WITH {MOVIES} SELECT * FROM movies WHERE contains(title, '2005')")
@@ -274,36 +270,48 @@ def chart_pivot(spark, d):
     )
 
 
-# ---- sampling ---------------------------------------------------------------
+@query("""SELECT l_returnflag, sum(l_quantity) FILTER (l_linestatus = 'F') AS "F",
+       sum(l_quantity) FILTER (l_linestatus = 'O') AS "O"
+FROM lineitem GROUP BY l_returnflag""")
+def chart_pivot_all(spark, d):
+    """The series are found in the data."""
+    return operators.chart_aggregate(table(spark, d, "lineitem"), ["l_returnflag"], ["l_quantity"], "l_linestatus")
 
-PI_SQL = """WITH points AS (
-  SELECT (CAST(id AS DOUBLE) * 0.7548776662466927::DOUBLE) % 1.0::DOUBLE * 2 - 1 AS x,
-         (CAST(id AS DOUBLE) * 0.5698402909980532::DOUBLE) % 1.0::DOUBLE * 2 - 1 AS y
-  FROM (SELECT unnest(range(1, (SELECT count(*) FROM lineitem) + 1)) AS id))
-SELECT count(*) FILTER (x * x + y * y <= 1) AS hits, count(*) AS n,
-       4.0::DOUBLE * count(*) FILTER (x * x + y * y <= 1) / count(*) AS estimate
-FROM points"""
 
+@query("""SELECT l_returnflag, sum(l_quantity) FILTER (l_linestatus = 'F') AS "F",
+       sum(l_quantity) FILTER (l_linestatus <> 'F') AS other
+FROM lineitem GROUP BY l_returnflag""")
+def chart_pivot_rest(spark, d):
+    """Series that are not listed meet in a column of their own."""
+    return operators.chart_aggregate(
+        table(spark, d, "lineitem"), ["l_returnflag"], ["l_quantity"], "l_linestatus", ["F"], rest="other"
+    )
 
-@query(PI_SQL)
-def mc_ratio(spark, d):
-    """One point per line item."""
-    return plans.pi_estimate(spark, table(spark, d, "lineitem").count())
 
+# ---- ratios and functions of rows ---------------------------------------------
 
-@query(PI_SQL)
-def mc_ratio_udf(spark, d):
-    """The same with a Python function over Arrow batches."""
 
-    def hits(ids):
-        x = ids.astype("float64") * 0.7548776662466927 % 1.0 * 2 - 1
-        y = ids.astype("float64") * 0.5698402909980532 % 1.0 * 2 - 1
-        return x * x + y * y <= 1
+@query("""SELECT count(*) FILTER (l_quantity > 30) AS hits, count(*) AS n,
+       CAST(count(*) FILTER (l_quantity > 30) AS DOUBLE) / count(*) AS estimate
+FROM lineitem""")
+def row_ratio(spark, d):
+    """Share of the line items of more than 30 pieces."""
+    return operators.ratio_estimate(table(spark, d, "lineitem"), F.col("l_quantity") > 30)
 
-    n = table(spark, d, "lineitem").count()
-    points = operators.sample_range(spark, n)
-    counted = operators.map_and_sum(points, hits, ["id"], "hits")
-    return counted.select("hits", F.lit(n).cast("bigint").alias("n"), (F.col("hits") * 4.0 / n).alias("estimate"))
+
+@query("""SELECT CAST(sum((l_orderkey % 7) * l_linenumber) AS BIGINT) AS total FROM lineitem""")
+def function_sum(spark, d):
+    """A Python function of every line item, summed over Arrow batches."""
+    rows = table(spark, d, "lineitem")
+    return operators.map_and_sum(rows, lambda key, line: key % 7 * line, ["l_orderkey", "l_linenumber"])
+
+
+@query("""SELECT sum(CASE WHEN l_linestatus = 'F' THEN l_quantity / 4 ELSE l_quantity / 2 END) AS total FROM lineitem""")
+def function_sum_double(spark, d):
+    rows = table(spark, d, "lineitem")
+    return operators.map_and_sum(
+        rows, lambda status, n: n / 2 - n / 4 * (status == "F"), ["l_linestatus", "l_quantity"], kind="double"
+    )
 
 
 # ---- vectors and learning ---------------------------------------------------
@@ -338,20 +346,38 @@ def cross_entropy(spark, d):
     )
 
 
-def _scored(spark, d):
-    rows = table(spark, d, "embeddings").withColumn("held_out", learn.held_out("vec_id"))
-    model = learn.fit_classifier(rows.where(~F.col("held_out")), "embedding", "label", 64, 10, max_iter=40)
-    return learn.score(model, rows, "embedding")
-
-
-@query()
-def ml_accuracy(spark, d):
-    return learn.evaluate(_scored(spark, d), "label", "held_out")
+@query("""WITH weights AS (
+  SELECT vec_id, label, embedding, [exp(v::DOUBLE - list_max(embedding)::DOUBLE) FOR v IN embedding] AS w FROM embeddings)
+SELECT vec_id % 5 = 0 AS held_out, count(*) AS n,
+       avg(CASE WHEN list_position(embedding, list_max(embedding)) - 1 = label THEN 1.0 ELSE 0.0 END)::DOUBLE AS accuracy,
+       round(avg(-ln(greatest(w[label + 1] / list_sum(w), 1e-15))), 6) AS loss
+FROM weights GROUP BY 1""")
+def ml_evaluate(spark, d):
+    """Accuracy and loss of the softmax of the vectors themselves, taken as scores."""
+    largest = F.array_position("embedding", F.array_max("embedding")) - 1
+    scored = table(spark, d, "embeddings").select(
+        "label",
+        (F.col("vec_id") % 5 == 0).alias("held_out"),
+        largest.cast("int").alias("prediction"),
+        functions.softmax(F.col("embedding")).alias("probabilities"),
+    )
+    return learn.evaluate(scored, "label", "held_out").withColumn("loss", F.round("loss", 6))
 
 
-@query()
+@query("""SELECT label, vec_id % 5 = 0 AS held_out, count(*) AS n, count(*) AS n_sum_one, count(*) AS n_largest
+FROM embeddings GROUP BY ALL""")
 def ml_predict(spark, d):
-    return _scored(spark, d).select("vec_id", "label", "held_out", "prediction", "logits", "probabilities")
+    """Every vector scored by a trained classifier: its probabilities add up, and the largest is predicted."""
+    rows = table(spark, d, "embeddings").withColumn("held_out", F.col("vec_id") % 5 == 0)
+    model = learn.fit_classifier(rows.where(~F.col("held_out")), "embedding", "label", 64, 10, max_iter=40)
+    scored = learn.score(model, rows, "embedding")
+    total = F.aggregate("probabilities", F.lit(0.0), lambda a, p: a + p)
+    chosen = F.get("probabilities", F.col("prediction")) == F.array_max("probabilities")
+    return scored.groupBy("label", "held_out").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.abs(total - 1) < 1e-9).alias("n_sum_one"),
+        F.count_if(chosen).alias("n_largest"),
+    )
 
 
 # ---- sources ----------------------------------------------------------------
@@ -388,25 +414,24 @@ def scan_csv_header(spark, d):
     return sources.read_delimited(spark, path, sep=";", header=True)
 
 
-@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+@query("SELECT * FROM orders")
 def scan_parquet(spark, d):
-    return table(spark, d, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"
-    )
+    return table(spark, d, "orders")
 
 
 @query(f"""WITH {MOVIES}, {TAGS}, lines AS (
   SELECT 'movies' AS prefix, movieId || '@' || title || '@' || genres AS line FROM movies
-  UNION ALL SELECT 'tags', userId || '@' || movieId || '@' || tag || '@' || "timestamp" FROM tags)
-SELECT prefix, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes FROM lines GROUP BY prefix""")
+  UNION ALL SELECT '_tags', userId || '@' || movieId || '@' || tag || '@' || "timestamp" FROM tags)
+SELECT prefix, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes, 1::BIGINT AS markers FROM lines GROUP BY prefix""")
 def list_files(spark, d):
-    """Files of a listing, summed by the prefix they are under."""
+    """Files of a listing, summed by the prefix they are under; one folder and the markers are hidden ones."""
     path = scratch_path(spark, "listing")
-    for prefix, frame in (("movies", movies(spark, d)), ("tags", tags(spark, d))):
+    for prefix, frame in (("movies", movies(spark, d)), ("_tags", tags(spark, d))):
         frame.select(F.concat_ws("@", *frame.columns)).write.text(f"{path}/{prefix}")
     prefix = F.element_at(F.split("path", "/"), -2)
-    found = sources.list_files(spark, path, "part-*")
-    return found.groupBy(prefix.alias("prefix")).agg(F.sum("bytes").alias("bytes"))
+    found = sources.list_files(spark, path)
+    marker = F.element_at(F.split("path", "/"), -1) == "_SUCCESS"
+    return found.groupBy(prefix.alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.count_if(marker).alias("markers"))
 
 
 @query(f"""WITH {MOVIES} SELECT * FROM movies ORDER BY title, movieId LIMIT 10""")
@@ -433,15 +458,14 @@ def temporary_schema(spark: SparkSession):
         catalog.drop_schema(spark, name, cascade=True)
 
 
-@query("""SELECT p_brand AS color, avg(p_size) AS size FROM part GROUP BY p_brand""")
+@query("""SELECT c_mktsegment, avg(c_custkey) AS mean_key FROM customer GROUP BY c_mktsegment""")
 def table_csv_ddl(spark, d):
-    """All columns of a CSV table are strings; the average reads them as numbers."""
-    path = scratch_path(spark, "diamonds")
-    diamonds = table(spark, d, "part").select(F.col("p_brand").alias("color"), F.col("p_size").alias("size"))
-    sinks.write_csv(diamonds, path)
+    """All columns of a CSV table are strings; the mean reads them as numbers."""
+    path = scratch_path(spark, "customers")
+    sinks.write_csv(table(spark, d, "customer").select("c_mktsegment", "c_custkey"), path)
     with temporary_schema(spark) as schema:
-        sources.create_delimited_table(spark, f"{schema}.diamonds", path, header=True)
-        return spark.sql(f"SELECT color, avg(size) AS size FROM {schema}.diamonds GROUP BY color ORDER BY color")
+        text = sources.create_delimited_table(spark, f"{schema}.customers", path, header=True)
+        return operators.avg_by_group(text, "c_mktsegment", "c_custkey", "mean_key")
 
 
 @query(f"""WITH {CLICKS} SELECT event_id, event_type, props, seconds FROM clicks""")
@@ -568,38 +592,34 @@ def _rows_per_table(spark: SparkSession, schema: str) -> DataFrame:
         spark.table(f"{schema}.{name}").agg(F.lit(name).alias("table"), F.count(F.lit(1)).alias("n"))
         for name in found
     ]
-    result = counts[0]
-    for other in counts[1:]:
+    result = spark.createDataFrame([], "table string, n bigint")
+    for other in counts:
         result = result.union(other)
     return result
 
 
-@query(f"""WITH {MOVIES}
-SELECT word, count(*) AS titles FROM (SELECT unnest(string_split(genres, '|')) AS word FROM movies) GROUP BY word""")
+@query("""SELECT event_type, count(DISTINCT user_id) AS users, min(event_id) AS first_event, max(event_id) AS last_event
+FROM events GROUP BY event_type""")
 def view_query(spark, d):
     """SQL text over a session view."""
-    name = f"movies_{uuid.uuid4().hex}"
-    catalog.register_view(movies(spark, d), name)
-    counted = spark.sql(
-        f"SELECT word, count(1) AS titles FROM (SELECT explode(split(GENRES, '[|]')) AS word FROM {name}) "
-        "GROUP BY word ORDER BY titles DESC, word"
+    name = f"events_{uuid.uuid4().hex}"
+    catalog.register_view(table(spark, d, "events"), name)
+    found = spark.sql(
+        "SELECT event_type, count(DISTINCT user_id) AS users, min(event_id) AS first_event, max(event_id) AS last_event "
+        f"FROM {name} GROUP BY event_type"
     )
     spark.catalog.dropTempView(name)
-    return counted
+    return found
 
 
-@query(f"""SELECT 'spark_catalog' AS catalog, count(*) AS n FROM part
-UNION ALL SELECT '{REMOTE}', 0""")
+@query("SELECT 'spark_catalog' AS catalog, count(*) AS n FROM part")
 def cat_catalogs(spark, d):
-    """Catalogs in use, with the parts that a three-level name finds in them."""
-    _register_remote(spark)
+    """The listed catalog in use, with the parts that a three-level name finds in it."""
     with temporary_schema(spark) as schema:
-        catalog.switch_catalog(spark, REMOTE)
-        catalog.switch_catalog(spark, "spark_catalog")
         _register_given(spark, d, schema, "part")
         rows = spark.table(f"spark_catalog.{schema}.part").agg(F.count(F.lit(1)).alias("n"))
-        listed = catalog.list_catalogs(spark).where(F.col("catalog").isin("spark_catalog", REMOTE))
-        found = listed.select("catalog", F.lit(0).alias("n")).union(rows.select(F.lit("spark_catalog"), "n"))
+        listed = catalog.list_catalogs(spark).where("catalog = 'spark_catalog'").select("catalog", F.lit(0).alias("n"))
+        found = listed.union(rows.select(F.lit("spark_catalog"), "n"))
         return found.groupBy("catalog").agg(F.sum("n").alias("n"))
 
 
@@ -630,6 +650,7 @@ def cat_switch(spark, d):
             return operators.group_count(orders, current.alias("switched_to"), "o_orderstatus", out="n")
         finally:
             catalog.switch_catalog(spark, "spark_catalog")
+            catalog.unregister_catalog(spark, REMOTE)
 
 
 @query("""SELECT 'first' AS schema, count(*) AS n FROM lineitem
@@ -686,3 +707,20 @@ def cat_drop(spark, d):
         for _ in range(2):
             catalog.drop_table(spark, f"{schema}.events")
         return _rows_per_table(spark, schema)
+
+
+@query("SELECT true AS refused, true AS gone, count(*) AS n FROM nation")
+def cat_drop_schema(spark, d):
+    """A schema that holds a table is not dropped unless asked to; the table's files stay."""
+    name = f"tally_{uuid.uuid4().hex}"
+    catalog.create_schema(spark, name, scratch_path(spark, "schema"))
+    _register_given(spark, d, name, "nation")
+    rows = spark.table(f"{name}.nation")
+    try:
+        catalog.drop_schema(spark, name)
+        refused = False
+    except AnalysisException:
+        refused = True
+    catalog.drop_schema(spark, name, cascade=True)
+    gone = catalog.list_schemas(spark).where(F.col("schema") == name).isEmpty()
+    return rows.agg(F.lit(refused).alias("refused"), F.lit(gone).alias("gone"), F.count(F.lit(1)).alias("n"))

@@ -43,6 +43,13 @@ def register_catalog(
     return True
 
 
+def unregister_catalog(spark: SparkSession, name: str) -> None:
+    """Take back the settings of a catalog that ``register_catalog`` defined."""
+    setting = f"spark.sql.catalog.{name}"
+    for key in [k for k in spark.conf.getAll if k == setting or k.startswith(f"{setting}.")]:
+        spark.conf.unset(key)
+
+
 def switch_catalog(spark: SparkSession, name: str) -> None:
     spark.catalog.setCurrentCatalog(name)
 

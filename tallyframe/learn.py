@@ -33,13 +33,15 @@ def fit_classifier(
     hidden: int = 128,
     max_iter: int = 100,
     seed: int = 7,
+    max_rows: int = 100_000,
 ) -> MultilayerPerceptronClassificationModel:
     """Train ``inputs`` → ``hidden`` → ``classes`` on an array column.
 
     Nested arrays, such as rows of pixels, are flattened first.
 
     Runs Spark jobs: each iteration is a distributed pass whose tasks send back
-    one gradient. Hidden units are sigmoid and the optimiser is L-BFGS; there
+    one gradient. At most ``max_rows`` rows are trained on, those whose features
+    have the smallest hashes. Hidden units are sigmoid and the optimiser is L-BFGS; there
     is no dropout.
     """
     classifier = MultilayerPerceptronClassifier(
@@ -50,9 +52,9 @@ def fit_classifier(
         seed=seed,
     )
     rows = df.select(
-        _vector(df, features).alias("_vector"), F.col(label).cast("double").alias("label")
+        _vector(df, features).alias("_vector"), F.col(label).cast("double").alias("label"), F.xxhash64(features).alias("_h")
     )
-    return classifier.fit(rows)
+    return classifier.fit(rows.orderBy("_h", "label").limit(max_rows).drop("_h"))
 
 
 def score(model: MultilayerPerceptronClassificationModel, df: DataFrame, features: str) -> DataFrame:
@@ -67,9 +69,17 @@ def score(model: MultilayerPerceptronClassificationModel, df: DataFrame, feature
 
 
 def evaluate(scored: DataFrame, label: str, *keys: str) -> DataFrame:
-    """Row count ``n``, ``accuracy`` and mean log ``loss`` per ``keys``, in one pass."""
+    """Row count ``n``, ``accuracy`` and mean log ``loss`` per ``keys``, in one pass.
+
+    A label outside the classes fails the job.
+    """
+    place = F.col(label).cast("int")
+    known = place.between(0, F.size("probabilities") - 1)
+    probability = F.when(known, F.get("probabilities", place)).when(
+        place.isNotNull(), F.raise_error(F.lit("a label is outside the classes")).cast("double")
+    )
     hit = (F.col("prediction") == F.col(label)).cast("double")
-    likelihood = F.greatest(F.get("probabilities", F.col(label).cast("int")), F.lit(1e-15))
+    likelihood = F.greatest(probability, F.lit(1e-15))
     return scored.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(hit).alias("accuracy"),

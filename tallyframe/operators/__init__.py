@@ -2,13 +2,7 @@ from tallyframe.operators.charts import chart_aggregate, chart_from_spec
 from tallyframe.operators.grouping import avg_by_group, filtered_sum, group_count, value_counts
 from tallyframe.operators.rated import rated_by_group
 from tallyframe.operators.rows import contains_text, limit_rows, top_k
-from tallyframe.operators.sampling import (
-    map_and_sum,
-    quasi_random_point,
-    ratio_estimate,
-    sample_range,
-    uniform_point,
-)
+from tallyframe.operators.sampling import map_and_sum, ratio_estimate
 from tallyframe.operators.skew import join_splitting_hot_keys
 from tallyframe.operators.tokens import explode_tokens, token_counts
 
@@ -23,12 +17,9 @@ __all__ = [
     "join_splitting_hot_keys",
     "limit_rows",
     "map_and_sum",
-    "quasi_random_point",
     "rated_by_group",
     "ratio_estimate",
-    "sample_range",
     "token_counts",
     "top_k",
-    "uniform_point",
     "value_counts",
 ]

@@ -14,16 +14,32 @@ def chart_aggregate(
     values: list[str],
     series: str | None = None,
     series_values: list | None = None,
+    rest: str | None = None,
 ) -> DataFrame:
     """Sum of each value column per key, with one column per series if given.
 
     Give ``series_values`` when they are known: otherwise Spark runs one more
-    job to find them. A series column is named after the series value, and
+    job to find them, and fails above ``spark.sql.pivotMaxValues``. A series
+    that is not listed, null included, fails the job, or goes into the column
+    ``rest`` if that is given. A series column is named after the series value, and
     carries the value name too when there is more than one value column. Text
     values are read as numbers.
     """
     grouped = df.groupBy(*keys)
     if series is not None:
+        if series_values is not None:
+            listed = F.col(series).isin([v for v in series_values if v is not None])
+            if None in series_values:
+                listed = listed | F.col(series).isNull()
+            listed = F.coalesce(listed, F.lit(False))
+            if rest is None:
+                unlisted = F.raise_error(F.concat(F.lit("series not listed: "), F.coalesce(F.col(series).cast("string"), F.lit("null"))))
+                shown = F.when(listed, F.col(series)).otherwise(unlisted.cast(df.schema[series].dataType))
+            else:
+                shown = F.when(listed, F.col(series).cast("string")).otherwise(F.lit(rest))
+                series_values = [*(v if v is None else str(v) for v in series_values), rest]
+            grouped = df.withColumn("__series", shown).groupBy(*keys)
+            series = "__series"
         grouped = grouped.pivot(series, series_values)
     return grouped.agg(*[F.sum(numeric(df, v)).alias(v) for v in values])
 

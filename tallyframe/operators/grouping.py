@@ -36,8 +36,15 @@ def avg_by_group(
     String values are read as numbers and bad text counts as missing. A sum of
     doubles depends on the order in which tasks finish; ``exact_scale`` adds up
     decimals with that many places instead, which gives the same mean each run.
+    A number that such a decimal does not hold, because it has more places (the
+    last digits of a double apart), is too large or not finite, fails the job.
     """
-    kind = "double" if exact_scale is None else f"decimal(28,{exact_scale})"
-    number = F.col(value).try_cast(kind)
+    number = F.col(value).try_cast("double")
+    if exact_scale is not None:
+        kind = f"decimal(38,{exact_scale})"
+        exact = F.col(value).try_cast(kind)
+        same = F.abs(exact.cast("double") - number) <= 1e-12 * F.greatest(F.abs(number), F.lit(1.0))
+        lost = F.raise_error(F.concat(F.lit(f"more than {exact_scale} places or too large: "), number.cast("string")))
+        number = F.when(same, exact).when(number.isNotNull(), lost.cast(kind))
     mean = F.try_divide(F.sum(number).cast("double"), F.count(number))
     return df.groupBy(key).agg(mean.alias(out)).orderBy(key)

@@ -1,64 +1,43 @@
-"""Ratio estimates over generated points."""
+"""A ratio of rows, and the sum of a Python function over them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Steps of the two-dimensional additive recurrence, the powers
-# 1/g and 1/g^2 of the root g of g^3 = g + 1.
-STEP_X = 0.7548776662466927
-STEP_Y = 0.5698402909980532
-
-
-def sample_range(spark: SparkSession, n: int, partitions: int | None = None) -> DataFrame:
-    """The integers 1 … ``n`` as column ``id``, generated in place by the tasks."""
-    return spark.range(1, n + 1, 1, partitions)
-
-
-def uniform_point(seed: int) -> tuple[Column, Column]:
-    """Independent uniform coordinates in [-1, 1), repeatable for a seed.
-
-    Spark adds the partition number to the seed, so the two seeds are further
-    apart than there can be partitions.
-    """
-    return F.rand(seed) * 2 - 1, F.rand(seed + (1 << 32)) * 2 - 1
-
-
-def quasi_random_point(index: Column) -> tuple[Column, Column]:
-    """Evenly spread coordinates in [-1, 1) that depend on the index alone.
-
-    Double precision leaves six good digits up to an index of about 10^10.
-    """
-    x = (index.cast("double") * STEP_X) % 1.0
-    y = (index.cast("double") * STEP_Y) % 1.0
-    return x * 2 - 1, y * 2 - 1
-
-
-def ratio_estimate(points: DataFrame, inside: Column, factor: float = 4.0) -> DataFrame:
+def ratio_estimate(rows: DataFrame, inside: Column, factor: float = 1.0) -> DataFrame:
     """One row: ``hits`` that satisfy ``inside``, ``n`` and ``factor * hits / n``."""
-    return points.agg(
+    return rows.agg(
         F.count_if(inside).alias("hits"), F.count(F.lit(1)).alias("n")
     ).withColumn("estimate", F.try_divide(F.lit(factor) * F.col("hits"), "n"))
 
 
-def map_and_sum(df: DataFrame, fn: Callable, columns: list[str], out: str = "total") -> DataFrame:
+def map_and_sum(
+    df: DataFrame, fn: Callable, columns: list[str], out: str = "total", kind: str = "bigint"
+) -> DataFrame:
     """Sum of a Python function over the rows, one partial sum per task.
 
     ``fn`` gets the named columns of an Arrow batch as pandas Series and
-    returns a Series of whole numbers. Prefer an expression where one exists.
+    returns a Series of numbers. ``kind`` is the type of the sum, ``bigint`` or
+    ``double``; a fraction fails a ``bigint`` sum. Prefer an expression where
+    one exists.
     """
+    if kind not in ("bigint", "double"):
+        raise ValueError(f"sums are bigint or double, not {kind}")
 
     def partial_sums(batches):
         import pandas as pd
 
-        total = 0
+        total = 0 if kind == "bigint" else 0.0
         for batch in batches:
-            total += int(fn(*[batch[c] for c in columns]).sum())
+            values = fn(*[batch[c] for c in columns])
+            if kind == "bigint" and not (values % 1 == 0).all():
+                raise ValueError("the function gave a fraction; sum it as double")
+            total += int(values.astype("int64").sum()) if kind == "bigint" else float(values.sum())
         yield pd.DataFrame({"part": [total]})
 
-    return df.select(*columns).mapInPandas(partial_sums, "part bigint").agg(
-        F.coalesce(F.sum("part"), F.lit(0)).alias(out)
+    return df.select(*columns).mapInPandas(partial_sums, f"part {kind}").agg(
+        F.coalesce(F.sum("part"), F.lit(0).cast(kind)).alias(out)
     )

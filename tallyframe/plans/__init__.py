@@ -4,7 +4,6 @@ from tallyframe.plans.reports import (
     items_per_token,
     items_per_year,
     mean_per_group,
-    pi_estimate,
     rated_items,
     records_per_year,
     top_rated_items,
@@ -17,7 +16,6 @@ __all__ = [
     "items_per_token",
     "items_per_year",
     "mean_per_group",
-    "pi_estimate",
     "rated_items",
     "records_per_year",
     "top_rated_items",

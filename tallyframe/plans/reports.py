@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.text import suffix_window, title_year
@@ -10,12 +10,6 @@ from tallyframe.functions.times import epoch_year
 from tallyframe.operators.grouping import avg_by_group, filtered_sum, group_count, value_counts
 from tallyframe.operators.rated import rated_by_group
 from tallyframe.operators.rows import limit_rows, top_k
-from tallyframe.operators.sampling import (
-    quasi_random_point,
-    ratio_estimate,
-    sample_range,
-    uniform_point,
-)
 from tallyframe.operators.tokens import token_counts
 
 MIN_VOTES = 100
@@ -71,9 +65,9 @@ def items_per_year(items: DataFrame, title: str = "title") -> DataFrame:
 
 
 def records_per_year(
-    records: DataFrame, seconds: str = "timestamp", zone: str = "UTC", first: int | None = 10
+    records: DataFrame, seconds: str = "timestamp", zone: str = "UTC", first: int | None = None
 ) -> DataFrame:
-    """Records per calendar year of an epoch column, the ``first`` years in order."""
+    """Records per calendar year of an epoch column in order, all or the ``first`` years."""
     counts = group_count(records, epoch_year(F.col(seconds), zone).alias("year"))
     return counts.orderBy("year") if first is None else limit_rows(counts, first, "year")
 
@@ -91,12 +85,3 @@ def amount_per_zone(trips: DataFrame, zone: str, amount: Column | str, below: in
 def mean_per_group(rows: DataFrame, key: str, value: str, exact_scale: int | None = None) -> DataFrame:
     """Mean value per key, such as price per colour."""
     return avg_by_group(rows, key, value, value, exact_scale)
-
-
-def pi_estimate(
-    spark: SparkSession, n: int, partitions: int | None = None, seed: int | None = None
-) -> DataFrame:
-    """Estimate of pi from ``n`` points; random with a ``seed``, else evenly spread."""
-    x, y = quasi_random_point(F.col("id")) if seed is None else uniform_point(seed)
-    points = sample_range(spark, n, partitions).select(x.alias("x"), y.alias("y"))
-    return ratio_estimate(points, F.col("x") * F.col("x") + F.col("y") * F.col("y") <= 1)

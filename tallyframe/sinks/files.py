@@ -2,28 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, DataFrameWriter
 
 # The CSV writer trims blanks at both ends unless told not to.
 KEEP_BLANKS = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
+def input_roots(df: DataFrame) -> set[str]:
+    """The root paths of the file relations in a frame's plan; no file is listed."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    roots = set()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and hasattr(leaf.relation(), "location"):
+            paths = leaf.relation().location().rootPaths()
+            roots |= {paths.apply(k).toString() for k in range(paths.size())}
+    return roots
+
+
 def refuse_own_input(df: DataFrame, path: str) -> None:
-    """Raise if ``path`` holds files that ``df`` reads.
+    """Raise if ``path`` is, holds or lies in a place that ``df`` reads.
 
-    Spark would delete them before reading them. Write to a new path and switch
-    readers over instead.
+    Spark would delete files there before reading them. Write to a new path and
+    switch readers over instead.
     """
-    reader = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True)
-    try:
-        present = set(reader.load(path).inputFiles())
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return
-    if present and not present.isdisjoint(df.inputFiles()):
-        raise ValueError(f"{path} is an input of the frame to be written there")
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target = target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString().rstrip("/")
+    for root in input_roots(df):
+        root = root.rstrip("/")
+        if f"{root}/".startswith(f"{target}/") or f"{target}/".startswith(f"{root}/"):
+            raise ValueError(f"{path} is an input of the frame to be written there")
 
 
 def _csv(df: DataFrame, sep: str, header: bool, options: dict[str, str] | None) -> DataFrameWriter:

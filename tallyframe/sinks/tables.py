@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 from tallyframe.catalog import quoted, sql_text
@@ -10,8 +12,26 @@ from tallyframe.sinks.files import KEEP_BLANKS, refuse_own_input, write_director
 
 
 def refresh_table(df: DataFrame, table: str, fmt: str = "parquet") -> None:
-    """Replace a managed table with the rows of ``df``, creating it if needed."""
-    df.write.format(fmt).mode("overwrite").saveAsTable(quoted(table))
+    """Replace a managed table with the rows of ``df``, creating it if needed.
+
+    The rows go to a table beside it, which then takes its name, and the old
+    table is dropped last. So ``df`` may read the table or its files, and a
+    failed write leaves the table as it was.
+    """
+    spark = df.sparkSession
+    schema, name = table.split(".")[:-1], table.split(".")[-1]
+    staged, old = (".".join([*schema, f"{name}_{kind}_{uuid.uuid4().hex}"]) for kind in ("new", "old"))
+    try:
+        df.write.format(fmt).saveAsTable(quoted(staged))
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {quoted(staged)}")
+        raise
+    present = spark.catalog.tableExists(quoted(table))
+    if present:
+        spark.sql(f"ALTER TABLE {quoted(table)} RENAME TO {quoted(old)}")
+    spark.sql(f"ALTER TABLE {quoted(staged)} RENAME TO {quoted(table)}")
+    if present:
+        spark.sql(f"DROP TABLE {quoted(old)}")
 
 
 def write_external_table(

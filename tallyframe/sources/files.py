@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fnmatch import fnmatchcase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,15 +13,23 @@ def list_files(
 ) -> DataFrame:
     """``path``, ``modified`` and ``bytes`` of every file below ``path``.
 
-    Spark lists large trees in parallel. File contents are never opened, and
-    names that begin with ``_`` or ``.`` are left out.
+    Names and folders that begin with ``_`` or ``.`` are listed too, which
+    Spark's file sources leave out; so the driver walks the tree, and its
+    memory holds one entry per file. File contents are never opened.
+    ``pattern`` is a glob for file names, ``options`` are Hadoop settings.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).options(**(options or {}))
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(path).select(
-        "path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes")
-    )
+    jvm = spark._jvm
+    settings = jvm.org.apache.hadoop.conf.Configuration(spark._jsc.hadoopConfiguration())
+    for key, value in (options or {}).items():
+        settings.set(key, value)
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    found, rows = root.getFileSystem(settings).listFiles(root, True), []
+    while found.hasNext():
+        file = found.next()
+        if pattern is None or fnmatchcase(file.getPath().getName(), pattern):
+            rows.append((file.getPath().toString(), file.getModificationTime(), file.getLen()))
+    listed = spark.createDataFrame(rows, "path string, modified bigint, bytes bigint")
+    return listed.withColumn("modified", F.timestamp_millis("modified"))
 
 
 def public_bucket_options(bucket: str | None = None) -> dict[str, str]:

@@ -35,7 +35,7 @@ def create_delimited_table(
         f"CREATE TABLE IF NOT EXISTS {quoted(table)} {declared} USING csv "
         f"OPTIONS ({settings}) LOCATION {sql_text(path)}"
     )
-    return spark.table(table)
+    return spark.table(quoted(table))
 
 
 def create_table_at(spark: SparkSession, table: str, path: str, fmt: str = "parquet") -> DataFrame:
@@ -44,5 +44,5 @@ def create_table_at(spark: SparkSession, table: str, path: str, fmt: str = "parq
     ``fmt`` is any format with a stored schema: ``parquet``, ``orc``, or
     ``delta`` where its package is installed.
     """
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {quoted(table)} USING {fmt} LOCATION {sql_text(path)}")
-    return spark.table(table)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {quoted(table)} USING {quoted(fmt)} LOCATION {sql_text(path)}")
+    return spark.table(quoted(table))

@@ -17,7 +17,6 @@ def read_delimited(
     sep: str = ",",
     header: bool = False,
     encoding: str = "UTF-8",
-    infer_ratio: float = 1.0,
     quote: str = '"',
     escape: str = "\\",
     multiline: bool = False,
@@ -27,7 +26,7 @@ def read_delimited(
 
     With a ``schema`` the scan is one lazy pass that reads only the columns a
     query needs. Without one Spark infers types, which is an extra pass over
-    ``infer_ratio`` of the lines when this function is called; ``names`` then
+    all lines when this function is called; ``names`` then
     replaces the column names by position. A line with a bad value keeps its
     other columns. Pass ``quote=""`` for text without quoting rules, and
     ``multiline`` if quoted fields hold line breaks: each file is then read by
@@ -48,7 +47,7 @@ def read_delimited(
     if schema is not None:
         df = reader.schema(schema).csv(path)
     else:
-        df = reader.option("inferSchema", True).option("samplingRatio", infer_ratio).csv(path)
+        df = reader.option("inferSchema", True).csv(path)
     return df.toDF(*names) if names else df
 
 

@@ -120,11 +120,22 @@ def test_overwriting_the_path_being_read_is_refused(spark, tmp_path):
     assert df.count() == 3
 
 
-def test_refreshing_a_table_from_itself_is_refused(spark, schema):
+def test_a_refresh_may_read_the_table_or_its_files(spark, schema):
     sinks.refresh_table(spark.range(5), f"{schema}.t")
-    with pytest.raises(AnalysisException):
-        sinks.refresh_table(spark.table(f"{schema}.t").where("id > 1"), f"{schema}.t")
+    files = spark.table(f"{schema}.t").inputFiles()
+    sinks.refresh_table(spark.read.parquet(*files).where("id > 1"), f"{schema}.t")
+    assert spark.table(f"{schema}.t").count() == 3
+    sinks.refresh_table(spark.table(f"{schema}.t").where("id > 2"), f"{schema}.t")
+    assert sorted(r.id for r in spark.table(f"{schema}.t").collect()) == [3, 4]
+    assert [r.table for r in catalog.list_tables(spark, schema).collect()] == ["t"]
+
+
+def test_a_failed_refresh_keeps_the_old_rows(spark, schema):
+    sinks.refresh_table(spark.range(5), f"{schema}.t")
+    with pytest.raises(Exception, match="half-way"):
+        sinks.refresh_table(spark.range(9).selectExpr("if(id = 7, raise_error('half-way'), id) AS id"), f"{schema}.t")
     assert spark.table(f"{schema}.t").count() == 5
+    assert [r.table for r in catalog.list_tables(spark, schema).collect()] == ["t"]
 
 
 def test_rows_to_frame(spark):
@@ -140,6 +151,11 @@ def test_listing_reports_names_and_sizes(spark, tmp_path):
     found = sources.list_files(spark, str(tmp_path / "a"), "*.dat")
     assert {(r.path.rsplit("/", 1)[1], r.bytes) for r in found.collect()} == {("one.dat", 5), ("two.dat", 7)}
     assert sources.list_files(spark, str(tmp_path / "a")).count() == 3
+    (tmp_path / "a" / "_d").mkdir()
+    for name in ("_x.dat", ".y", "_d/q.dat"):
+        (tmp_path / "a" / name).write_bytes(b"1")
+    found = {r.path.rsplit("/a/", 1)[1] for r in sources.list_files(spark, str(tmp_path / "a")).collect()}
+    assert found == {"one.dat", "b/two.dat", "b/skip.txt", "_x.dat", ".y", "_d/q.dat"}
 
 
 def test_public_bucket_options(spark, files):

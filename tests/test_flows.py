@@ -81,11 +81,10 @@ def test_csv_table_to_directory_to_table_to_mean(spark, schema, tmp_path):
     source.write_text("color,price\nE,326\nE,328\nI,334\n")
     as_text = sources.create_delimited_table(spark, "diamonds", str(source), header=True)
     assert as_text.dtypes == [("color", "string"), ("price", "string")]
-    means = [("E", 327.0), ("I", 334.0)]
-    sql = "SELECT color, avg(price) AS price FROM diamonds GROUP BY color ORDER BY color"
-    assert spark.sql(sql).collect() == means
+    means = [("E", (326 + 328) / 2), ("I", 334.0)]
+    assert [tuple(r) for r in plans.mean_per_group(as_text, "color", "price").collect()] == means
     sinks.write_directory(sources.read_delimited(spark, str(source), header=True), stored)
     catalog.drop_table(spark, "diamonds")
     table = sources.create_table_at(spark, "diamonds", stored)
     assert table.dtypes == [("color", "string"), ("price", "int")]
-    assert spark.sql(sql).collect() == means and plans.mean_per_group(table, "color", "price").collect() == means
+    assert [tuple(r) for r in plans.mean_per_group(table, "color", "price").collect()] == means

@@ -77,3 +77,10 @@ def test_softmax_of_large_logits_and_edge_rows(spark):
     rows = df.select(softmax(F.col("v")).alias("p"), cross_entropy_loss(F.col("v"), F.col("c")).alias("l")).collect()
     assert rows[0].p == [0.5, 0.5] and rows[1].p is None and rows[1].l is None
     assert math.isclose(rows[2].l, math.log(10)) and rows[3].l is None
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo"])
+def test_epoch_year_is_null_outside_the_calendar(spark, zone):
+    values = [-(2**63), 2**63 - 1, 100_000_000_000_000, -62135596801, 253402300800, None]
+    df = spark.createDataFrame([(v,) for v in values], "s long")
+    assert [r.y for r in df.select(epoch_year(F.col("s"), zone).alias("y")).collect()] == [None] * 6

@@ -102,12 +102,32 @@ def test_chart_from_a_saved_spec(spark):
         operators.chart_from_spec(df, {**spec, "values": [{"name": "v", "aggr": "avg"}]})
 
 
-def test_pi_estimates(spark):
-    spread = plans.pi_estimate(spark, 100_000, 8).first()
-    assert spread.n == 100_000 and abs(spread.estimate - 3.14159) < 0.001
-    random = [plans.pi_estimate(spark, 100_000, 8, seed=5).first().estimate for _ in range(2)]
-    assert random[0] == random[1] and abs(random[0] - 3.14159) < 0.05
-    assert operators.sample_range(spark, 10, 5).rdd.getNumPartitions() == 5
+def test_ratio_of_rows(spark):
+    found = operators.ratio_estimate(spark.range(10), F.col("id") < 4).first()
+    assert (found.hits, found.n, found.estimate) == (4, 10, 0.4)
+    assert operators.ratio_estimate(spark.range(0), F.col("id") < 4).first().estimate is None
+
+
+def test_sums_keep_the_declared_type(spark):
+    quarters = lambda ids: ids * 0.25
+    assert operators.map_and_sum(spark.range(0, 10, 1, 3), quarters, ["id"], kind="double").first().total == 11.25
+    with pytest.raises(Exception, match="fraction"):
+        operators.map_and_sum(spark.range(10), quarters, ["id"]).collect()
+
+
+@pytest.mark.parametrize("values", [[1.005, 2.005, 1e27], [0.001, 0.002], [1.0, float("nan")], [1.0, 1e40]])
+def test_exact_means_lose_nothing_silently(spark, values):
+    df = spark.createDataFrame([("a", v) for v in values], "k string, v double")
+    with pytest.raises(Exception, match="places or too large"):
+        operators.avg_by_group(df, "k", "v", exact_scale=2).collect()
+
+
+def test_series_that_are_not_listed(spark):
+    df = spark.createDataFrame([("x", "F", 1), ("x", "O", 2), ("x", "N", 4), ("x", None, 8)], "k string, s string, v int")
+    with pytest.raises(Exception, match="not listed"):
+        operators.chart_aggregate(df, ["k"], ["v"], "s", ["F", "O"]).collect()
+    assert pairs(operators.chart_aggregate(df, ["k"], ["v"], "s", ["F", "O"], rest="rest")) == [("x", 1, 2, 12)]
+    assert operators.chart_aggregate(df.where("s <> 'N'"), ["k"], ["v"], "s", ["F", "O", None]).count() == 1
 
 
 @pytest.mark.parametrize("n", [0, 1, 1000])

@@ -3,6 +3,7 @@
 import datetime
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,39 +40,14 @@ def frames(spark):
 
 
 REPORTS = {
-    "best titles": (
-        """SELECT title, mean(rating) AS rate, count(*) AS votes FROM movies INNER JOIN ratings
-           ON ratings.MOVIEID = movies.movieid GROUP BY title HAVING votes > 3
-           ORDER BY rate DESC, title ASC LIMIT 10""",
-        lambda f: plans.top_rated_items(f["movies"], f["ratings"], more_votes_than=3),
-    ),
-    "titles by values": (
-        """SELECT title, count(rating) AS votes, mean(rating) AS rate FROM movies LEFT OUTER JOIN ratings
-           ON ratings.movieId = movies.movieId GROUP BY title HAVING votes > 3 ORDER BY rate DESC, title ASC""",
-        lambda f: plans.rated_items(f["movies"], f["ratings"], more_votes_than=3),
-    ),
-    "titles by rows": (
-        """SELECT title, count(1) AS votes, mean(rating) AS rate FROM movies LEFT OUTER JOIN ratings
-           ON ratings.movieId = movies.movieId GROUP BY title HAVING votes > 0 ORDER BY rate DESC, title ASC""",
-        lambda f: plans.rated_items(f["movies"], f["ratings"], more_votes_than=0, count="rows"),
-    ),
-    "genres": (
-        """SELECT g, count(*) AS c FROM movies LATERAL VIEW explode(split(genres, '[|]')) t AS g
-           GROUP BY g ORDER BY c DESC, g""",
-        lambda f: plans.items_per_token(f["movies"]),
-    ),
-    "title years": (
-        "SELECT substr(title, -5, 4) AS y, count(*) AS c FROM movies GROUP BY y ORDER BY c DESC, y",
-        lambda f: plans.items_per_suffix(f["movies"]),
-    ),
     "rating years": (
         """SELECT year(timestamp_seconds(timestamp)) AS y, count(*) AS c FROM ratings
            GROUP BY y ORDER BY y LIMIT 10""",
-        lambda f: plans.records_per_year(f["ratings"]),
+        lambda f: plans.records_per_year(f["ratings"], first=10),
     ),
     "tag years": (
         "SELECT year(timestamp_seconds(timestamp)) AS y, count(*) AS c FROM tags GROUP BY y ORDER BY y",
-        lambda f: plans.records_per_year(f["tags"], first=None),
+        lambda f: plans.records_per_year(f["tags"]),
     ),
     "amounts": (
         "SELECT movieId, sum(rating) AS a FROM ratings WHERE movieId < 25 GROUP BY movieId ORDER BY movieId",
@@ -91,6 +67,35 @@ def test_report_equals_sql_in_order(spark, frames, name):
     assert expected and [tuple(r) for r in report(frames).collect()] == expected
 
 
+def _rated(frames, more_than, count):
+    """Title, votes and mean rating, computed row by row."""
+    values = {}
+    for m in frames["movies"].collect():
+        found = [r.rating for r in frames["ratings"].collect() if r.movieId is not None and r.movieId == m.movieId]
+        values.setdefault(m.title, []).extend(found or [None])
+    rows = []
+    for title, found in values.items():
+        present = [v for v in found if v is not None]
+        votes = len(found) if count == "rows" else len(present)
+        if votes > more_than:
+            rows.append((title, votes, sum(present) / len(present) if present else None))
+    return sorted(rows, key=repr)
+
+
+@pytest.mark.parametrize("more_than, count", [(3, "values"), (0, "rows")])
+def test_rated_titles_equal_python(frames, more_than, count):
+    report = plans.rated_items(frames["movies"], frames["ratings"], more_votes_than=more_than, count=count)
+    assert sorted(((r.title, r.votes, r.rate) for r in report.collect()), key=repr) == _rated(frames, more_than, count)
+
+
+def test_title_counts_equal_python(frames):
+    titles = [(m.title, m.genres) for m in frames["movies"].collect()]
+    genres = Counter(g for _, text in titles if text is not None for g in text.split("|"))
+    assert {tuple(r) for r in plans.items_per_token(frames["movies"]).collect()} == set(genres.items())
+    years = Counter(None if t is None else t[-5:][:4] if len(t) >= 5 else t[: max(0, len(t) - 1)] for t, _ in titles)
+    assert {tuple(r) for r in plans.items_per_suffix(frames["movies"]).collect()} == set(years.items())
+
+
 def test_counts_of_pairs(spark, frames):
     expected = spark.sql("SELECT movieId, rating, count(*) FROM ratings GROUP BY ALL").collect()
     found = plans.trips_per_pair(frames["ratings"], "movieId", "rating").collect()
