@@ -50,8 +50,8 @@ def measure(text: str) -> tuple[int, ...]:
     return n, word_chars, symbols, len(lines) - len(set(lines)), _repeated(ids, len(numbers)), len(lines), len(numbers), upper, lettered, ended
 
 
-# White space to Python's split but not to the word pattern, and the other way round.
-_ODD_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0                　"
+# Fixed value: what Python's split takes for white space and the word pattern does not.
+_ODD_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _TO_SPACE = str.maketrans(dict.fromkeys(BLANK, " "))
 
 
