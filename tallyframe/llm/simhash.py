@@ -245,92 +245,160 @@ def _majority(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(counts * 2 > len(hashes), bitorder="little").view("uint64")
 
 
-def sketch(text: str, size: int = 5) -> tuple[int, bytes]:
-    """The SimHash of the distinct words, and a SimHash of ``SKETCH`` bits of the distinct word shingles."""
+#: How likely a pair of exactly the wanted similarity shares no band.
+MISSED = 1e-6
+
+
+def _bands(similarity: float) -> tuple[int, int]:
+    """How many bands of how many minima leave a pair of the similarity apart with a chance of ``MISSED`` at most."""
+    if similarity >= 1:
+        return 1, 1
+    rows = max(1, round(np.log(1 / 3) / np.log(similarity)))
+    return int(np.ceil(np.log(MISSED) / np.log1p(-(similarity**rows)))), rows
+
+
+def _word_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, in order, and of the distinct ones."""
     words = text.encode().lower().split()
-    if not words:
-        return 0, bytes(SKETCH // 8)
     distinct = set(words)
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), "uint64", len(distinct))
-    code = int(_majority(hashes[:, None])[0])
-    size = min(size, len(words))
     known = dict(zip(distinct, hashes.tolist(), strict=True))
-    each = np.fromiter(map(known.__getitem__, words), "uint64", len(words))
-    shingles = each[: len(words) - size + 1].copy()
+    return np.fromiter(map(known.__getitem__, words), "uint64", len(words)), hashes
+
+
+def _shingles(each: np.ndarray, size: int) -> np.ndarray:
+    """The sorted distinct hashes of the shingles of ``size`` words; fewer words are one shingle."""
+    size = min(size, len(each))
+    found = each[: len(each) - size + 1].copy() if size else each
     for j in range(1, size):
-        shingles = (shingles ^ (shingles >> np.uint64(29))) * _SEEDS[0] + each[j : len(words) - size + 1 + j]
-    mixed = np.unique(shingles)[:, None] * _SEEDS
+        found = (found ^ (found >> np.uint64(29))) * _SEEDS[0] + each[j : len(each) - size + 1 + j]
+    return np.unique(found)
+
+
+def _minima(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A hash of each band of ``rows`` smallest values, each value under a hash function of its own."""
+    rng = np.random.default_rng(SEED)
+    turn, times = rng.integers(0, 1 << 64, (2, bands * rows), dtype="uint64")
+    least = np.full(bands * rows, np.uint64(0xFFFFFFFFFFFFFFFF))
+    mixed = (shingles ^ (shingles >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(32)
+    for i in range(0, len(mixed), 1 << 10):
+        block = (mixed[i : i + (1 << 10), None] ^ turn) * (times | np.uint64(1))
+        least = np.minimum(least, block.min(axis=0))
+    parts = least.reshape(bands, rows)
+    return np.fromiter((xxhash.xxh64_intdigest(part.tobytes(), k) for k, part in enumerate(parts)), "uint64", bands)
+
+
+def sketch(text: str, size: int = 5, similarity: float = 0.8) -> tuple[int, bytes, bytes, list[int]]:
+    """The SimHash of the distinct words, and what stands for the set of word shingles.
+
+    That is a SimHash of ``SKETCH`` bits, a digest of the whole set, and the
+    bands of minima, none for a text without a word.
+    """
+    each, hashes = _word_hashes(text)
+    if not len(each):
+        return 0, bytes(SKETCH // 8), b"", []
+    code = int(_majority(hashes[:, None])[0])
+    shingles = _shingles(each, size)
+    mixed = shingles[:, None] * _SEEDS
     mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return code, _majority(mixed ^ (mixed >> np.uint64(32))).tobytes()
+    bits = _majority(mixed ^ (mixed >> np.uint64(32))).tobytes()
+    bands = _minima(shingles, *_bands(similarity)).view("int64").tolist()
+    return code, bits, xxhash.xxh3_128_digest(shingles.tobytes()), bands
 
 
-def _similar(nodes: DataFrame, similarity: float, tile: int) -> DataFrame:
-    """Links that span the nodes of one ``component`` whose sketches show the similarity."""
-    shared = 2 * similarity / (1 + similarity)  # the cosine of two sets of one size
-    most = int(SKETCH * np.arccos(shared) / np.pi)
-    parts = _dealt(nodes.select("component", "node", "sketch"), "component", "node", tile)
+def _spanning(bits: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the components of sketches within ``most`` bits.
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[-1][0] != row[0]:
-                    yield links(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield links(held)
-
-    def links(held: list[tuple]) -> pa.RecordBatch:
-        ids = np.array([h[1] for h in held])
-        bits = np.frombuffer(b"".join(h[2] for h in held), "uint64").reshape(len(held), -1)
-        labels = _Labels(len(held))
-        step = max(1, FRONTIER // (8 * len(held)))
-        for i in range(0, len(held), step):
-            apart = np.bitwise_count(bits[i : i + step, None, :] ^ bits[None, :, :]).sum(axis=2, dtype="int32")
-            a, b = np.nonzero(apart <= most)
-            a += i
-            labels.join(a[a < b], b[a < b])
-        moved = labels.moved()
-        return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[labels.of[moved]])], ["a", "b"])
-
-    return parts.mapInArrow(compare, "a bigint, b bigint")
+    Pairs that are already connected are not compared.
+    """
+    label = np.arange(len(bits))
+    for i in range(len(bits) - 1):
+        rest = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        if not len(rest):
+            if (label == label[0]).all():
+                break
+            continue
+        near = rest[np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype="int32") <= most]
+        for j in near.tolist():
+            if label[j] != label[i]:
+                low, high = sorted((label[i], label[j]))
+                label[label == high] = low
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return moved, label[moved]
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], links) -> Iterator[pa.RecordBatch]:
+    """The links ``a``, ``b`` of each run of rows with one first value; ``links`` gives numbers of its rows."""
+    held: list[tuple] = []
+
+    def found() -> Iterator[pa.RecordBatch]:
+        if len(held) > 1:
+            ids = np.array([h[1] for h in held])
+            bits = np.frombuffer(b"".join(h[2] for h in held), "uint64").reshape(len(held), -1)
+            a, b = links(held, bits)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held[-1][0] != row[0]:
+                yield from found()
+                held = []
+            held.append(row)
+    yield from found()
+
+
+def _loose_links(members: DataFrame, similarity: float, tile: int) -> DataFrame:
+    """Links that span the nodes of a ``bucket`` whose sketches show the similarity."""
+    most = int(SKETCH * np.arccos(2 * similarity / (1 + similarity)) / np.pi)  # the cosine of two sets of one size
+    parts = _dealt(members.select("bucket", "node", "sketch"), "bucket", "node", tile)
+    return parts.mapInArrow(lambda rows: _by_group(rows, lambda held, bits: _spanning(bits, most)), "a bigint, b bigint")
 
 
 def near_copy_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, most: int = 7, blocks: int = 9, tile: int = TILE) -> DataFrame:
     """One row per document: ``doc_id``, ``text_key`` and ``group``, for groups of similar texts.
 
-    Documents whose distinct words have fingerprints within ``most`` bits are
-    candidates, found with the Gray-order index; few changed words change few
-    of these bits. Candidates are linked if sketches of their ``size``-word
-    shingles show a similarity of ``similarity`` or more. The sketch has 512
-    bits, which tells similarities near 0.8 apart to about 0.04; of texts that
-    are 0.8 alike about one pair in ten exceeds ``most``. Nulls, copies and
-    empty tables as in ``simhash_groups``.
+    Candidates share a band of minima of their ``size``-word shingles, which
+    leaves out a pair of exactly the similarity with a chance of one in a
+    million whatever was changed, or have fingerprints of their distinct words
+    linked within ``most`` bits, found with the Gray-order index. Candidates are
+    linked if sketches of 512 bits show a similarity of ``similarity`` or more,
+    which tells similarities near 0.8 apart to about 0.04. Texts with equal
+    sets are one node. Nulls, copies and empty tables as in ``simhash_groups``.
     """
     picked = docs.select(col(docs, "doc_id").alias("doc_id"), F.coalesce(col(docs, "text"), F.lit("")).alias("text"))
     picked = picked.withColumn("text_key", F.xxhash64("text"))
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sketch(t, size) for t in batch.column(1).to_pylist()]
+            found = [sketch(t, size, similarity) for t in batch.column(1).to_pylist()]
             codes = pa.array(np.array([f[0] for f in found], "uint64").view("int64"))
-            columns = [batch.column(0), batch.column(2), codes, pa.array([f[1] for f in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "code", "sketch"])
+            digests, bits = (pa.array([f[k] for f in found], pa.binary()) for k in (2, 1))
+            columns = [batch.column(0), batch.column(2), digests, codes, bits, pa.array([f[3] for f in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "digest", "code", "sketch", "bands"])
 
     kind = picked.schema["doc_id"].dataType.simpleString()
-    coded = stored(picked.mapInArrow(sketches, f"doc_id {kind}, text_key bigint, code bigint, sketch binary"), "sketches")
-    nodes = coded.groupBy("code", "sketch").agg(F.count(F.lit(1)).alias("n"))
+    schema = f"doc_id {kind}, text_key bigint, digest binary, code bigint, sketch binary, bands array<bigint>"
+    coded = stored(picked.mapInArrow(sketches, schema), "sketches")
+    # Code, sketch and bands follow from the digest.
+    nodes = coded.groupBy("digest", "code", "sketch", "bands")
+    nodes = nodes.agg(F.count(F.lit(1)).alias("n"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
     codes = stored(nodes.select("code").distinct(), "codes")
     candidates = components(codes.select(F.col("code").alias("node")), near_links(codes, most, tile, blocks))
     candidates = candidates.withColumnRenamed("node", "c")
-    near = nodes.join(candidates, F.col("code") == F.col("c"))
-    groups = components(nodes.select("node"), stored(_similar(near, similarity, tile), "links"))
+    near = nodes.select("node", "code").join(candidates, F.col("code") == F.col("c"))
+    buckets = near.select(F.xxhash64(F.lit("code"), "component").alias("bucket"), "node")
+    buckets = buckets.union(nodes.select(F.explode("bands").alias("bucket"), "node"))
+    met = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("bucket").alias("met"))
+    shared = buckets.join(met, F.col("bucket") == F.col("met")).select("bucket", F.col("node").alias("m"))
+    sketched = shared.join(nodes.select("node", "sketch"), F.col("m") == F.col("node")).select("bucket", "node", "sketch")
+    groups = components(nodes.select("node"), stored(_loose_links(stored(sketched, "buckets"), similarity, tile), "links"))
     groups = groups.select(F.col("node").alias("g"), F.col("component").alias("group"))
-    named = nodes.join(groups, F.col("node") == F.col("g")).select(F.col("code").alias("k"), F.col("sketch").alias("s"), "group")
-    found = coded.join(named, (F.col("code") == F.col("k")) & (F.col("sketch") == F.col("s")))
-    return found.select("doc_id", "text_key", "group")
+    named = nodes.join(groups, F.col("node") == F.col("g")).select(F.col("digest").alias("d"), "group")
+    return coded.join(named, F.col("digest") == F.col("d")).select("doc_id", "text_key", "group")
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:

@@ -127,3 +127,43 @@ def test_one_of_each_group_of_near_copies_stays(spark):
     assert simhash.drop_near_copies(df.limit(0)).collect() == []
     tiled = simhash.near_copy_groups(df, tile=2).groupBy("group").count().count()
     assert tiled == simhash.near_copy_groups(df).groupBy("group").count().count()
+
+
+def spread(words, n, seed):
+    """With ``n`` words changed at even distances to words of their own."""
+    changed = list(words)
+    for k in range(n):
+        changed[(2 * k + 1) * len(words) // (2 * n)] = f"new{seed}x{k}"
+    return changed
+
+
+def just_alike(words, change):
+    """The most changed text that is still 0.8 alike, and the least changed one that is not."""
+    n = next(n for n in range(1, len(words)) if jaccard(words, change(words, n)) < 0.8)
+    return change(words, n - 1), change(words, n)
+
+
+CHANGES = [
+    lambda seed: lambda w, n: w + [f"more{seed}x{k}" for k in range(n)],
+    lambda seed: lambda w, n: w[:50] + [f"other{seed}x{k}" for k in range(n)] + w[50 + n :],
+    lambda seed: lambda w, n: spread(w, n, seed),
+]
+
+
+def test_every_pair_at_the_similarity_is_a_candidate():
+    """Appended, replaced and scattered words; the fingerprints of distinct words alone miss many."""
+    far = 0
+    for g in range(120):
+        words = story(5000 + g, 240 if g % 2 else 90)
+        above, _ = just_alike(words, CHANGES[g % 3](g))
+        assert 0.8 <= jaccard(words, above) < 0.9
+        a, b = (simhash.sketch(" ".join(t)) for t in (words, above))
+        assert set(a[3]) & set(b[3])
+        far += ((a[0] ^ b[0]).bit_count()) > 7
+    assert far > 20
+
+
+def test_bands_leave_one_pair_in_a_million_apart():
+    for similarity in (0.5, 0.8, 0.9):
+        bands, rows = simhash._bands(similarity)
+        assert (1 - similarity**rows) ** bands <= 1e-6
