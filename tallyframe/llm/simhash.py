@@ -27,6 +27,8 @@ SEED = 42
 FANOUT = 16
 #: Fingerprints under one pattern that one task compares; more are dealt into tiles of this many.
 TILE = 4096
+#: Characters that a text counts as besides its own in the size of a tile; texts of as many again are usual.
+WEIGHT = 2048
 #: Pairs of a fingerprint and a node that a task holds at a time.
 FRONTIER = 2_000_000
 
@@ -156,14 +158,15 @@ def _patterns(code: Column, most: int, blocks: int) -> Column:
     return F.array(*(F.xxhash64(F.lit(i), code.bitwiseAND(F.lit(m))) for i, m in enumerate(signed)))
 
 
-def _dealt(rows: DataFrame, key: str, member: str, tile: int) -> DataFrame:
+def _dealt(rows: DataFrame, key: str, member: str, tile: int, weight: Column | None = None) -> DataFrame:
     """Rows of keys with several members, by ``grp``: the key, or two of its tiles.
 
-    A key with more than ``tile`` members is dealt into tiles by hash, and
-    every two tiles form a group, so a group never exceeds about two tiles.
+    A key with more than ``tile`` members, or members of more than that
+    ``weight``, is dealt into tiles by hash, and every two tiles form a group,
+    so a group never exceeds about two tiles.
     """
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    sizes = sizes.select(F.col(key).alias("sized"), F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.lit(1) if weight is None else weight).alias("weight"))
+    sizes = sizes.where(F.col("n") > 1).select(F.col(key).alias("sized"), F.ceil(F.col("weight") / tile).cast("int").alias("tiles"))
     met = rows.join(sizes, F.col(key) == F.col("sized"))
     own = F.pmod(F.xxhash64(member, F.lit(7)), F.col("tiles")).cast("int")
     other = F.explode(F.when(F.col("tiles") > 1, F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(F.lit(0))))
@@ -307,8 +310,8 @@ def sketch(text: str, size: int = 5, similarity: float = 0.8) -> tuple[int, byte
     return code, bits, xxhash.xxh3_128_digest(shingles.tobytes()), bands
 
 
-def _spanning(bits: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the components of sketches within ``most`` bits.
+def _spanning(bits: np.ndarray, most: int, alike=None) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the components of sketches within ``most`` bits that are ``alike``, a test of two numbers.
 
     Pairs that are already connected are not compared.
     """
@@ -321,13 +324,23 @@ def _spanning(bits: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
             continue
         near = rest[np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype="int32") <= most]
         for j in near.tolist():
-            if label[j] != label[i]:
+            if label[j] != label[i] and (alike is None or alike(i, j)):
                 low, high = sorted((label[i], label[j]))
                 label[label == high] = low
     moved = np.flatnonzero(label != np.arange(len(label)))
     return moved, label[moved]
 
 
+def _generous(similarity: float) -> int:
+    """Bits in which sketches of sets of the similarity differ, and nine standard deviations more.
+
+    The cosine is least for two sets of one size. Nine, because sets of a few
+    shingles differ in some more bits than their angle says.
+    """
+    part = np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi
+    return int(np.ceil(SKETCH * part + 9 * np.sqrt(SKETCH * part * (1 - part))))
+
+
 def _by_group(batches: Iterator[pa.RecordBatch], links) -> Iterator[pa.RecordBatch]:
     """The links ``a``, ``b`` of each run of rows with one first value; ``links`` gives numbers of its rows."""
     held: list[tuple] = []
@@ -350,22 +363,51 @@ def _by_group(batches: Iterator[pa.RecordBatch], links) -> Iterator[pa.RecordBat
 
 
 def _loose_links(members: DataFrame, similarity: float, tile: int) -> DataFrame:
-    """Links that span the nodes of a ``bucket`` whose sketches show the similarity."""
-    most = int(SKETCH * np.arccos(2 * similarity / (1 + similarity)) / np.pi)  # the cosine of two sets of one size
+    """Links that span what the sketches of the nodes of a ``bucket`` do not rule out."""
+    most = _generous(similarity)
     parts = _dealt(members.select("bucket", "node", "sketch"), "bucket", "node", tile)
     return parts.mapInArrow(lambda rows: _by_group(rows, lambda held, bits: _spanning(bits, most)), "a bigint, b bigint")
 
 
+def _true_links(texts: DataFrame, similarity: float, size: int, tile: int) -> DataFrame:
+    """Links that span the nodes of one ``component`` whose sets of shingles have the similarity, by comparing them."""
+    most = _generous(similarity)
+    weight = F.lit(WEIGHT) + F.length("text")
+    parts = _dealt(texts.select("component", "node", "sketch", "text"), "component", "node", tile * 2 * WEIGHT, weight)
+    kept = T.StructType([f for f in parts.schema.fields if f.name != "text"] + [T.StructField("shingles", T.BinaryType())])
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_shingles(_word_hashes(t.as_py())[0], size).tobytes() for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], kept.names)
+
+    def links(held: list[tuple], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sets = [np.frombuffer(h[3], "uint64") for h in held]
+
+        def alike(i: int, j: int) -> bool:
+            small, large = sorted((len(sets[i]), len(sets[j])))
+            if not small or small / large < similarity:
+                return False
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            return both / (small + large - both) >= similarity
+
+        return _spanning(bits, most, alike)
+
+    return parts.mapInArrow(lambda rows: _by_group(shingled(rows), links), "a bigint, b bigint")
+
+
 def near_copy_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, most: int = 7, blocks: int = 9, tile: int = TILE) -> DataFrame:
     """One row per document: ``doc_id``, ``text_key`` and ``group``, for groups of similar texts.
 
-    Candidates share a band of minima of their ``size``-word shingles, which
-    leaves out a pair of exactly the similarity with a chance of one in a
-    million whatever was changed, or have fingerprints of their distinct words
-    linked within ``most`` bits, found with the Gray-order index. Candidates are
-    linked if sketches of 512 bits show a similarity of ``similarity`` or more,
-    which tells similarities near 0.8 apart to about 0.04. Texts with equal
-    sets are one node. Nulls, copies and empty tables as in ``simhash_groups``.
+    Two texts are linked if the Jaccard similarity of their sets of
+    ``size``-word shingles (64-bit hashes, ASCII letters in lower case) is
+    ``similarity`` or more, which is computed from the sets. Candidates share a
+    band of minima, which leaves out a pair of exactly the similarity with a
+    chance of one in a million whatever was changed, or have fingerprints of
+    their distinct words linked within ``most`` bits, found with the Gray-order
+    index. Sketches of 512 bits rule out candidates that are far apart, nine
+    standard deviations beyond the similarity. Texts with equal sets are one
+    node. Nulls, copies and empty tables as in ``simhash_groups``.
     """
     picked = docs.select(col(docs, "doc_id").alias("doc_id"), F.coalesce(col(docs, "text"), F.lit("")).alias("text"))
     picked = picked.withColumn("text_key", F.xxhash64("text"))
@@ -381,9 +423,9 @@ def near_copy_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, mo
     kind = picked.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, text_key bigint, digest binary, code bigint, sketch binary, bands array<bigint>"
     coded = stored(picked.mapInArrow(sketches, schema), "sketches")
-    # Code, sketch and bands follow from the digest.
+    # Code, sketch and bands follow from the digest; one document stands for all with it.
     nodes = coded.groupBy("digest", "code", "sketch", "bands")
-    nodes = nodes.agg(F.count(F.lit(1)).alias("n"))
+    nodes = nodes.agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("one"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     codes = stored(nodes.select("code").distinct(), "codes")
@@ -395,7 +437,15 @@ def near_copy_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, mo
     met = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("bucket").alias("met"))
     shared = buckets.join(met, F.col("bucket") == F.col("met")).select("bucket", F.col("node").alias("m"))
     sketched = shared.join(nodes.select("node", "sketch"), F.col("m") == F.col("node")).select("bucket", "node", "sketch")
-    groups = components(nodes.select("node"), stored(_loose_links(stored(sketched, "buckets"), similarity, tile), "links"))
+    loose = stored(_loose_links(stored(sketched, "buckets"), similarity, tile), "loose")
+
+    linked_nodes = components(nodes.select("node"), loose).select(F.col("node").alias("l"), "component")
+    many = linked_nodes.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("component").alias("many"))
+    wanted = nodes.join(linked_nodes, F.col("node") == F.col("l")).join(many, F.col("component") == F.col("many"))
+    wanted = stored(wanted.select("component", "node", "sketch", F.col("one.doc_id").alias("i"), F.col("one.text_key").alias("k")), "wanted")
+    texts = picked.join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k")))
+    texts = stored(texts.select("component", "node", "sketch", "text").dropDuplicates(["node"]), "texts")
+    groups = components(nodes.select("node"), stored(_true_links(texts, similarity, size, tile), "links"))
     groups = groups.select(F.col("node").alias("g"), F.col("component").alias("group"))
     named = nodes.join(groups, F.col("node") == F.col("g")).select(F.col("digest").alias("d"), "group")
     return coded.join(named, F.col("digest") == F.col("d")).select("doc_id", "text_key", "group")

@@ -167,3 +167,21 @@ def test_bands_leave_one_pair_in_a_million_apart():
     for similarity in (0.5, 0.8, 0.9):
         bands, rows = simhash._bands(similarity)
         assert (1 - similarity**rows) ** bands <= 1e-6
+
+
+def test_pairs_right_at_the_similarity_are_found_and_no_others(spark):
+    rows, want = [], set()
+    for g in range(90):
+        words = story(5000 + g, 240 if g % 2 else 90)
+        above, below = just_alike(words, CHANGES[g % 3](g))
+        alone = story(7000 + g, 240 if g % 2 else 90)
+        _, apart = just_alike(alone, CHANGES[g % 3](-g - 1))
+        texts = [words, above, alone, apart]
+        assert jaccard(words, above) >= 0.8 > jaccard(alone, apart)
+        rows += [(10 * g + k, " ".join(t)) for k, t in enumerate(texts)]
+        want |= {(10 * g, 10 * g + 1), (10 * g + 2,), (10 * g + 3,)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {}
+    for r in simhash.near_copy_groups(df).collect():
+        groups.setdefault(r.group, []).append(r.doc_id)
+    assert {tuple(sorted(g)) for g in groups.values()} == want
