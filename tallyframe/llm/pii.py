@@ -105,9 +105,9 @@ def entity_spans(text: Column) -> dict[str, Column]:
 
 
 def _terms(text: Column) -> Column:
-    """The distinct words without punctuation around them, of letters, hyphens and apostrophes alone."""
+    """The distinct words without punctuation around them, of letters, digits, hyphens, underscores and apostrophes alone."""
     words = F.transform(F.split(text, SPACE), lambda w: F.btrim(w, F.lit(PUNCTUATION)))
-    return F.filter(F.array_distinct(words), lambda w: (F.length(w) >= 3) & w.rlike("^[\\p{L}'-]+$"))
+    return F.filter(F.array_distinct(words), lambda w: (F.length(w) >= 3) & w.rlike("^[\\p{L}\\p{M}\\p{N}'_-]+$"))
 
 
 def disclosing_terms(
@@ -115,22 +115,26 @@ def disclosing_terms(
 ) -> DataFrame:
     """Pairs of an entity's ``value`` and a ``term`` that reveals it, with the ``disclosure``.
 
-    ``mentions`` has ``key`` (the document), ``value``, ``context`` (a hash of
-    the words around) and ``terms``. Contexts count once per entity however many copies hold them,
-    so copied texts alone reveal nothing. ``support`` is the number of
-    distinct contexts a pair needs.
+    ``mentions`` has ``value``, ``context`` (what is counted: in ``sanitise`` a
+    hash of the distinct text) and the ``terms`` of the context, and may have
+    ``around``, a hash of the words next to the entity. Contexts count once per
+    entity however many copies hold them, so copied texts alone reveal nothing.
+    ``support`` is the number of distinct ``around``, or else of contexts, that
+    a pair needs.
 
     disclosure = log2(N n(e,t) / (n(e) n(t))) / log2(N / n(e)), where N is the
-    number of documents, n(t) those that hold the term, and n(e), n(e,t) the
-    contexts of the entity and those with the term. The documents that mention
-    a term near any entity are a lower bound of n(t), which rules out common
-    words before the corpus is searched for the others.
+    number of ``documents``, n(t) the ``texts`` that hold the term, and n(e),
+    n(e,t) the contexts of the entity and those with the term; ``texts`` must
+    be in the unit of the contexts. The contexts of any entity that hold a
+    term are a lower bound of n(t), which rules out common words before the
+    corpus is searched for the others.
     """
-    contexts = mentions.groupBy("value", "context").agg(F.max("terms").alias("terms"))
+    apart = F.col("around" if "around" in mentions.columns else "context")
+    contexts = mentions.groupBy("value", "context").agg(F.max("terms").alias("terms"), F.min(apart).alias("apart"))
     entities = contexts.groupBy("value").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= support)
-    pairs = contexts.select("value", F.explode("terms").alias("term")).groupBy("value", "term")
-    pairs = pairs.agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support)
-    near = mentions.select("key", F.explode("terms").alias("near")).distinct().groupBy("near")
+    pairs = contexts.select("value", "apart", F.explode("terms").alias("term")).groupBy("value", "term")
+    pairs = pairs.agg(F.count(F.lit(1)).alias("n_et"), F.count_distinct("apart").alias("support")).where(F.col("support") >= support)
+    near = mentions.select("context", F.explode("terms").alias("near")).distinct().groupBy("near")
     near = near.agg(F.count(F.lit(1)).alias("least"))
     n = F.lit(float(documents))
 
@@ -192,8 +196,10 @@ def sanitise(
     """All columns of ``docs`` with ``base_spans``, ``term_spans`` and ``clean_text``.
 
     ``base_spans`` has the entities by kind and start; ``term_spans`` the
-    occurrences of terms that reveal an entity within ``reach`` characters of
-    which they stand in the same document. A null text counts as an empty one
+    occurrences, in any document, of terms that reveal an entity. Both are
+    counted together wherever they stand in the same text, over distinct texts;
+    ``reach`` is how many characters around an entity must differ for a text
+    to count towards ``support``. A null text counts as an empty one
     and has no spans. Rows that share an id and a text are treated alike, rows
     that share only one of them are not. Columns of the input with the added
     names, in any case, are replaced. An empty table gives no rows.
@@ -206,21 +212,30 @@ def sanitise(
 
     by_kind = entity_spans(F.col("_text"))
     every = F.concat(*(by_kind[k] for k in KINDS))
-    spans = plain.select("_key", "_text", F.explode(every).alias("s"))
+    spans = plain.withColumn("_spans", every).where(F.size("_spans") > 0)
+    spans = spans.select("_text", F.xxhash64("_text").alias("context"), "_spans", F.explode("_spans").alias("s"))
     left = F.substring("_text", F.greatest(F.col("s.start") - reach + 1, F.lit(1)), F.least(F.col("s.start"), F.lit(reach)))
     left = F.when(F.col("s.start") > reach, F.regexp_replace(left, "^[^\\x20\\x09-\\x0D]+", "")).otherwise(left)
     right = F.substring(F.col("_text"), F.col("s.end") + 1, F.lit(reach + 1))
     right = F.when(F.length(right) > reach, F.regexp_replace(right, "[^\\x20\\x09-\\x0D]+$", "")).otherwise(right)
-    around = F.concat(left, F.lit(" "), right)
-    found = spans.select("_key", F.concat_ws(":", "s.kind", "s.value").alias("value"), around.alias("around"))
-    mentions = found.select(F.col("_key").alias("key"), "value", F.xxhash64("around").alias("context"), _terms(F.col("around")).alias("terms"))
-    mentions = stored(mentions, "mentions")
-    revealing = disclosing_terms(mentions, plain.select(F.col("_text").alias("text")), plain.count(), threshold, support)
-    revealing = revealing.select(F.col("value").alias("v"), F.col("term").alias("t"))
-    own = mentions.select("key", "value", F.explode("terms").alias("term"))
-    own = own.join(revealing, (F.col("value") == F.col("v")) & (F.col("term") == F.col("t")))
+    around = F.xxhash64(F.concat(left, F.lit(" "), right))
+    found = spans.select("context", F.concat_ws(":", "s.kind", "s.value").alias("value"), around.alias("around"))
+    found = stored(found.groupBy("value", "context").agg(F.min("around").alias("around")), "mentions")
+    often = found.groupBy("value").agg(F.count_distinct("around").alias("n")).where(F.col("n") >= support)
+    often = stored(found.join(often.select(F.col("value").alias("o")), F.col("value") == F.col("o")).drop("o"), "often")
+    # Terms are sought outside the entities; what an entity is made of reveals nothing more.
+    distinct = plain.select("_text").distinct()
+    texts = distinct.withColumn("_spans", every)
+    texts = texts.select(F.xxhash64("_text").alias("h"), sanitised(F.col("_text"), F.col("_spans")).alias("text"))
+    held = texts.join(often.select(F.col("context").alias("c")).distinct(), F.col("h") == F.col("c"))
+    held = stored(held.select("h", _terms(F.col("text")).alias("terms")), "held")
+    mentions = often.join(held, F.col("context") == F.col("h")).select("value", "context", "around", "terms")
+    revealing = disclosing_terms(mentions, texts.select("text"), distinct.count(), threshold, support)
+    revealing = stored(revealing.select(F.col("term").alias("t")).distinct(), "revealing")
+    own = plain.select("_key", F.explode(_terms(F.col("_text"))).alias("term")).join(revealing, F.col("term") == F.col("t"))
     # Stored, so that its size is known: texts are shuffled only where it is too large to send around.
-    own = stored(own.groupBy("key").agg(F.collect_set("term").alias("terms")), "terms")
+    own = own.groupBy(F.col("_key").alias("key")).agg(F.collect_set("term").alias("terms"))
+    own = stored(own, "terms")
 
     judged = plain.join(own, F.col("_key") == F.col("key"), "left")
     based = judged.select("*", F.concat(*(by_kind[k] for k in KINDS)).alias("base_spans"))

@@ -86,3 +86,15 @@ def test_repeated_rows(spark, doc_id):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pii.sanitise(df).collect() == []
+
+
+def test_terms_far_from_the_entity_and_in_other_documents_go(spark):
+    far = " ".join(f"filler{k % 7}" for k in range(60))
+    rows = [(i, f"Zarathea u4711 wrote part {i * 'x'}y {far} end{i} {i * 'z'}q kim@x.org") for i in range(10)]
+    rows += [(50, "only Zarathea stands here, and u4711.")]
+    rows += [(100 + i, f"{far} wrote part end nothing else w{i}") for i in range(200)]
+    found = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {s.value for r in found.values() for s in r.term_spans} == {"Zarathea", "u4711"}
+    assert found[50].clean_text == "only [TERM] stands here, and [TERM]."
+    assert found[3].clean_text.startswith("[TERM] [TERM] wrote") and found[3].clean_text.endswith("[EMAIL]")
+    assert found[100].clean_text == dict(rows)[100]
