@@ -98,3 +98,12 @@ def test_terms_far_from_the_entity_and_in_other_documents_go(spark):
     assert found[50].clean_text == "only [TERM] stands here, and [TERM]."
     assert found[3].clean_text.startswith("[TERM] [TERM] wrote") and found[3].clean_text.endswith("[EMAIL]")
     assert found[100].clean_text == dict(rows)[100]
+
+
+def test_copies_of_every_context_do_not_hide_a_term(spark):
+    """Each of ten texts has 30 copies."""
+    rows = [(100 * i + c, f"{'p' * (i + 3)} Zarathea, met kim@x.org {'r' * (i + 3)}") for i in range(10) for c in range(30)]
+    rows += [(10_000 + i, f"met others w{i}") for i in range(400)]
+    found = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {s.value for r in found for s in r.term_spans} == {"Zarathea"}
+    assert sum(len(r.term_spans) for r in found) == 300
