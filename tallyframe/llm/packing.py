@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,6 +18,8 @@ from tallyframe.llm.common import col, stored
 
 #: Pieces that one task packs, on average; what a group wastes is a sequence or two.
 GROUP = 30_000
+LONG = 100_000
+LONG_RUN = re.compile(f"[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{{{LONG},}}")
 
 
 @dataclass(frozen=True)
@@ -34,12 +37,28 @@ class Capacity:
 
 
 def byte_bpe(ranks_path: str, pattern: str):
-    """An encoder for a byte-level vocabulary given as ranks; the file stays where it is."""
+    """An encoder for a byte-level vocabulary given as ranks; the file stays where it is.
+
+    The pattern must take a run of white space as one piece, but for its last
+    character where a word follows. Runs of ``LONG`` and more, on which the
+    pattern's matcher would overflow, are cut out so beforehand.
+    """
     import tiktoken
 
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    known = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(text: str) -> list[int]:
+        ids, at = [], 0
+        for run in LONG_RUN.finditer(text) if len(text) >= LONG else ():
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            ids += known.encode_ordinary(text[at : run.start()])
+            ids += known._encode_single_piece(text[run.start() : end])
+            at = end
+        return ids + known.encode_ordinary(text[at:]) if at else known.encode_ordinary(text)
+
+    return encode
 
 
 def public_byte_bpe():

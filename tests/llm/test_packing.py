@@ -91,3 +91,9 @@ def test_groups_are_packed_apart(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack_documents(df).collect() == []
+
+
+def test_long_runs_of_blanks(tokenizer):
+    encode = packing.public_byte_bpe()
+    for text in (" " * 1_100_000, "a" + " " * 1_100_000 + "b c", "x \n" + "\n" * 150_000 + " \u3000" * 60_000 + "é" + "\t" * 120_000 + "z"):
+        assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
