@@ -12,7 +12,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyframe.llm import embeddings, packing, pieces, pii, quality, sharding, simhash, substring, toxicity, urls
+from tallyframe.llm import (
+    bytebpe,
+    embeddings,
+    importance,
+    packing,
+    periods,
+    pieces,
+    pii,
+    quality,
+    sharding,
+    simhash,
+    substring,
+    toxicity,
+    urls,
+)
+from tallyframe.llm.common import WORD
 from tallyframe.sources import read_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -204,6 +219,96 @@ def op10_packing(spark, d):
     )
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """Documents of which every tenth, by a hash of its id, is periodic from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    every = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    chosen = every.withColumn("w", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("w"))
+    chosen = chosen.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    chosen = chosen.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    again = F.transform(F.sequence(F.col("a"), F.col("n") - 1), lambda i: F.get("w", F.col("a") + (i - F.col("a")) % F.col("p")))
+    text = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), again), " ")
+    return chosen.select("doc_id", F.when(F.col("a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_periods(spark, d):
+    """All documents, every tenth made periodic, with their runs of 12 words or more and without the repeats."""
+    docs = with_repeats(table(spark, d, "documents"))
+    found = periods.period_runs(docs, least=12).withColumn("best", periods.longest_run(F.col("runs")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
+@query
+def op12_byte_bpe(spark, d):
+    """All documents in byte-level pieces of the public 50k vocabulary for many languages, and back."""
+    import public_tokenizers
+
+    ranks = bytebpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    vocabulary = bytebpe.Vocabulary(ranks, public_tokenizers.PATTERN)
+    encoded = bytebpe.encode(table(spark, d, "documents").select("doc_id", "text"), vocabulary)
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(vocabulary.packed(F.col("ids")), 256).alias("ids_sha256"),
+        F.sha2(vocabulary.decode(F.col("ids")), 256).alias("decoded_sha256"),
+    )
+
+
+_SQL["op13_importance"] = """WITH read AS (
+  SELECT 'd' AS side, doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents
+  UNION ALL
+  SELECT 'b', item_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') FROM benchmark),
+spread AS (SELECT side, doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+           FROM (SELECT side, doc_id, unnest(words) AS w FROM read)),
+bytes AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[],
+      lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c
+    FROM range(256) r(i))),
+named AS (SELECT w, hex(encode(w)) AS x FROM (SELECT DISTINCT w FROM spread)),
+hashed AS (
+  SELECT w, xor(4294967295::UBIGINT, list_reduce([4294967295::UBIGINT] || list_transform(range(length(x) // 2),
+      lambda k: ('0x' || substr(x, CAST(2 * k + 1 AS INTEGER), 2))::UBIGINT),
+      lambda c, b: xor(c >> 8, t[CAST((xor(c, b) & 255) + 1 AS INTEGER)]))) % 10000 AS bucket
+  FROM named, bytes),
+counted AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t
+            FROM spread JOIN hashed USING (w) GROUP BY bucket),
+totals AS (SELECT coalesce(sum(s), 0)::BIGINT AS ss, coalesce(sum(t), 0)::BIGINT AS tt FROM counted),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (ss + 10000) / ((s + 1)::DOUBLE * (tt + 10000))))::BIGINT AS gain
+          FROM counted, totals),
+weighed AS (SELECT doc_id, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+            FROM spread JOIN hashed USING (w) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE)
+                                                    / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM documents d LEFT JOIN weighed USING (doc_id)),
+drawn AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20
+  QUALIFY rank <= 10 * count(*) OVER () // 100)
+SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN drawn USING (doc_id)"""
+
+
+@query
+def op13_importance(spark, d):
+    """All documents with their rank in a draw of a tenth that resembles the benchmark."""
+    drawn = importance.resample(table(spark, d, "documents"), table(spark, d, "benchmark"), seed=2024)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 @query
 def pipeline(spark, d):
     """Toxicity, near copies, repeated windows, personal data, packing: each on what the last kept."""

@@ -1,0 +1,134 @@
+import base64
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from tallyframe.llm import bytebpe, registry
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def ranks():
+    return bytebpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@pytest.fixture(scope="module")
+def known(ranks):
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.fixture
+def vocabulary(spark, ranks):
+    return bytebpe.Vocabulary(ranks, public_tokenizers.PATTERN)
+
+
+def ids_of(spark, vocabulary, texts, most=bytebpe.FREQUENT):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = bytebpe.encode(df, vocabulary, most=most)
+    rows = found.select("doc_id", "ids", vocabulary.packed(F.col("ids")).alias("p"), vocabulary.decode(F.col("ids")).alias("d")).collect()
+    for r in rows:
+        assert bytes(r.d) == (texts[r.doc_id] or "").encode()
+        assert bytes(r.p) == np.array(r.ids, "<u4").tobytes()
+    return [r.ids for r in sorted(rows)]
+
+
+TEXTS = [
+    None,
+    "",
+    " ",
+    "a",
+    "I'll don't 'S  two  spaces\n\n\tand\ttabs \r\n 12345 x2y !?! ... <|endoftext|>  x　　y z\x85q \x1c\x1dz",
+    "Übung макароны ελληνικά 漢字かな交じり文 हिन्दी 한국어 عربى 😀👍🏽 ٣٤٥ ⅷ²",
+    "x" * 5000 + "ab" * 300 + " " * 700 + "\n" * 3 + "é" * 400,
+    "the the the the quick brown fox",
+]
+
+
+def test_ids_are_those_of_the_library(spark, vocabulary, known):
+    expected = [known.encode_ordinary(t or "") for t in TEXTS]
+    assert ids_of(spark, vocabulary, TEXTS) == expected
+    assert ids_of(spark, vocabulary, TEXTS, most=2) == expected
+
+
+def test_random_words(spark, vocabulary, known):
+    rng = random.Random(5)
+    letters = ["a", "e", "s", "t", "th", "ing", "er", "é", "字", " ", "\n", "1", "-"]
+    texts = ["".join(rng.choices(letters, k=rng.randint(1, 400))) for _ in range(300)]
+    texts += ["".join(rng.choices("aesthingerou", k=n)) for n in (255, 256, 257, 258, 900)]
+    assert ids_of(spark, vocabulary, texts, most=0) == [known.encode_ordinary(t) for t in texts]
+
+
+def test_ranks_grow_along_merges(known, ranks):
+    """What merging all places of the lowest rank at once relies on."""
+    for piece, rank in ranks.items():
+        parts, top = [piece[i : i + 1] for i in range(len(piece))], -1
+        while len(parts) > 1:
+            low, i = min((ranks.get(parts[i] + parts[i + 1], 1 << 30), i) for i in range(len(parts) - 1))
+            assert top <= low <= rank
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            top = low
+
+
+def test_long_word(spark, vocabulary, known):
+    texts = ["z" * 200_000, "no " * 200_000]
+    expected = [known._encode_single_piece(texts[0].encode()), known.encode_ordinary(texts[1])]
+    assert ids_of(spark, vocabulary, texts) == expected
+
+
+def test_frequent_words_are_bounded(spark):
+    words = [("a",)] * 50 + [("b",)] * 40 + [("c",)] * 3 + [("d",)] * 3 + [("e",)] + [("f" * 100,)] * 90
+    df = spark.createDataFrame(words, "word string")
+    of = lambda most: sorted(r.word for r in bytebpe.frequent_words(df, most).collect())
+    assert of(10) == ["a", "b", "c", "d"] and of(3) == ["a", "b"] and of(1) == ["a"] and of(0) == []
+
+
+def test_other_columns_stay(spark, vocabulary):
+    df = spark.createDataFrame([("a b", 1, "x", 2.0)], "text string, IDS int, word string, `n.m` double")
+    found = bytebpe.encode(df, vocabulary)
+    assert found.columns == ["text", "word", "n.m", "ids"]
+    assert found.first()["word"] == "x" and len(found.first()["ids"]) == 2
+    assert bytebpe.encode(df.limit(0), vocabulary).count() == 0
+    assert bytebpe.encode(df.union(df), vocabulary).count() == 2
+
+
+def test_unknown_ids_and_vocabularies(spark, vocabulary):
+    df = spark.createDataFrame([([1, 2],), ([1, 70_000],), ([],)], "ids array<int>")
+    assert [r.d is None for r in df.select(vocabulary.decode(F.col("ids")).alias("d")).collect()] == [False, True, False]
+    with pytest.raises(ValueError, match="single bytes"):
+        bytebpe.Vocabulary({b"a": 0}, public_tokenizers.PATTERN)
+
+
+def test_query_is_the_librarys_encoding(spark, known):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    rows = registry.queries()["op12_byte_bpe"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = np.array(known.encode_ordinary(texts[r.doc_id]), "<u4")
+        digests = [hashlib.sha256(x).hexdigest() for x in (ids.tobytes(), texts[r.doc_id].encode())]
+        assert [r.n_tokens, r.ids_sha256, r.decoded_sha256] == [len(ids), *digests]
+
+
+def test_letters_digits_and_spaces_are_the_librarys(spark, ranks):
+    """All code points that both know: those newer than Java's Unicode are left out."""
+    points = spark.range(0x110000).where("id < 55296 or id > 57343").select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"), "id")
+    kinds = {"\\p{L}": "L", "\\p{N}": "N", "\\s": "S"}
+    single = {bytes([i]): i for i in range(256)}
+    known = {r.id for r in points.where(~F.col("c").rlike("^\\p{Cn}$")).select("id").collect()}
+    every = "".join(chr(i) for i in sorted(known))
+    for pattern in kinds:
+        theirs = tiktoken.Encoding("one", pat_str=pattern, mergeable_ranks=single, special_tokens={})
+        expected = set(map(ord, bytes(theirs.encode_ordinary(every)).decode()))
+        found = points.where(F.col("c").rlike(f"^{bytebpe.java_pattern(pattern)}$")).select("id").collect()
+        assert {r.id for r in found} == expected
+
+
+def test_files_are_read_as_they_are(tmp_path):
+    path = tmp_path / "own.tiktoken"
+    path.write_bytes(b"\n".join(base64.b64encode(p) + b" %d" % i for i, p in enumerate([b"a", b"\xff", b"a\xff"])))
+    assert bytebpe.read_ranks(str(path)) == {b"a": 0, b"\xff": 1, b"a\xff": 2}

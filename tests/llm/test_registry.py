@@ -9,13 +9,13 @@ SF_DIR = "/root/testdata/sf0.01"
 
 def test_all_are_registered():
     assert set(own.queries()) == {n for n in registry.queries() if n.startswith("op") and n[2].isdigit()} | {"pipeline"}
-    assert {int(n[2:].split("_")[0]) for n in own.queries() if n != "pipeline"} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in own.queries() if n != "pipeline"} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(own.oracle_sql()))
 def test_query_matches_sql(spark, name):
     connection = duckdb.connect()
-    for table in ("pages", "documents", "embeddings", "labels"):
+    for table in ("pages", "documents", "embeddings", "labels", "benchmark"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     expected = connection.execute(own.oracle_sql()[name])
     columns = [c[0] for c in expected.description]
