@@ -288,6 +288,34 @@ def chart_pivot_rest(spark, d):
     )
 
 
+@query("""SELECT l_returnflag, count(DISTINCT l_suppkey) AS n_series, max(total) AS largest,
+       arg_min(total, l_suppkey::VARCHAR) AS first_series, sum(n) AS n
+FROM (SELECT l_returnflag, l_suppkey, CAST(sum(l_quantity) AS BIGINT) AS total, count(*) AS n
+      FROM lineitem GROUP BY l_returnflag, l_suppkey) GROUP BY l_returnflag""")
+def chart_series(spark, d):
+    """A series for every supplier, in one map per flag."""
+    rows = table(spark, d, "lineitem")
+    quantities = operators.chart_series(rows, ["l_returnflag"], "l_quantity", "l_suppkey")
+    lines = operators.chart_series(rows.withColumn("one", F.lit(1)), ["l_returnflag"], "one", "l_suppkey", "lines")
+    values = F.map_values("series")
+    return quantities.join(lines.select("l_returnflag", "lines"), "l_returnflag").select(
+        "l_returnflag",
+        F.size("series").cast("bigint").alias("n_series"),
+        F.array_max(values).cast("bigint").alias("largest"),
+        F.get(values, 0).cast("bigint").alias("first_series"),
+        F.aggregate(F.map_values("lines"), F.lit(0).cast("bigint"), lambda a, n: a + n).alias("n"),
+    )
+
+
+@query("""SELECT l_returnflag, l_linestatus, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n
+FROM lineitem GROUP BY ALL""")
+def sum_of_doubles(spark, d):
+    """Revenue as doubles, added up without regard to the order of the rows."""
+    revenue = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    sums = operators.exact_sums(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], revenue, "revenue")
+    return sums.withColumn("revenue", F.round("revenue", 2))
+
+
 # ---- ratios and functions of rows ---------------------------------------------
 
 
@@ -364,12 +392,16 @@ def ml_evaluate(spark, d):
     return learn.evaluate(scored, "label", "held_out").withColumn("loss", F.round("loss", 6))
 
 
-@query("""SELECT label, vec_id % 5 = 0 AS held_out, count(*) AS n, count(*) AS n_sum_one, count(*) AS n_largest
-FROM embeddings GROUP BY ALL""")
+@query("""WITH steps AS (SELECT label, vec_id, ('0x' || substr(md5(vec_id::VARCHAR), 1, 3))::INTEGER AS step FROM embeddings),
+counted AS (SELECT label, step, sum(count(*)) OVER (PARTITION BY label ORDER BY step) AS upto,
+                   sum(count(*)) OVER (PARTITION BY label) AS total FROM steps GROUP BY label, step)
+SELECT label, upto * 10000 <= 2000 * total AS held_out, count(*) AS n, count(*) AS n_sum_one, count(*) AS n_largest
+FROM steps JOIN counted USING (label, step) GROUP BY ALL""")
 def ml_predict(spark, d):
     """Every vector scored by a trained classifier: its probabilities add up, and the largest is predicted."""
-    rows = table(spark, d, "embeddings").withColumn("held_out", F.col("vec_id") % 5 == 0)
-    model = learn.fit_classifier(rows.where(~F.col("held_out")), "embedding", "label", 64, 10, max_iter=40)
+    rows = table(spark, d, "embeddings")
+    rows = rows.withColumn("held_out", learn.held_out_by_label(rows, "vec_id", "label"))
+    model = learn.fit_classifier(rows.where(~F.col("held_out")), "embedding", "label", 64, 10, max_iter=40, key="vec_id")
     scored = learn.score(model, rows, "embedding")
     total = F.aggregate("probabilities", F.lit(0.0), lambda a, p: a + p)
     chosen = F.get("probabilities", F.col("prediction")) == F.array_max("probabilities")
@@ -380,6 +412,38 @@ def ml_predict(spark, d):
     )
 
 
+@query("""WITH lines AS (
+  SELECT [l_quantity::DOUBLE / 10 - 2.5, l_discount::DOUBLE * 50 - 2.5] AS f,
+         CASE WHEN (l_quantity > 25) <> (l_discount > 0.05) THEN 1 ELSE 0 END AS label,
+         ('0x' || substr(md5(l_orderkey || '-' || l_linenumber), 1, 8))::BIGINT < 858993459 AS held_out
+  FROM lineitem),
+centres AS (SELECT label, avg(f[1]) AS x, avg(f[2]) AS y FROM lines WHERE NOT held_out GROUP BY label),
+judged AS (
+  SELECT l.label, (SELECT arg_min(c.label, (f[1] - x) ** 2 + (f[2] - y) ** 2) FROM centres c) AS nearest
+  FROM lines l WHERE held_out)
+SELECT label, count(*) AS n, round(avg(CASE WHEN nearest = label THEN 1 ELSE 0 END), 2) AS by_centre, TRUE AS better
+FROM judged GROUP BY label""")
+def ml_fit(spark, d):
+    """Classes that no straight line parts: held-out accuracy by the nearest centre, and whether the trained model beats 0.9."""
+    x, y = F.col("l_quantity").cast("double") / 10 - 2.5, F.col("l_discount").cast("double") * 50 - 2.5
+    label = ((F.col("l_quantity") > 25) != (F.col("l_discount") > 0.05)).cast("int")
+    rows = table(spark, d, "lineitem").select(
+        F.array(x, y).alias("f"), label.alias("label"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key")
+    )
+    rows = rows.withColumn("held_out", learn.held_out("key"))
+    seen = rows.where(~F.col("held_out"))
+    model = learn.fit_classifier(seen, "f", "label", 2, 2, hidden=8, max_iter=100, max_rows=20_000, key="key")
+    centres = seen.groupBy("label").agg(F.avg(F.get("f", 0)).alias("x"), F.avg(F.get("f", 1)).alias("y")).collect()
+    away = [F.struct((F.pow(F.get("f", 0) - c.x, 2) + F.pow(F.get("f", 1) - c.y, 2)).alias("d"), F.lit(c.label).alias("c")) for c in centres]
+    scored = learn.score(model, rows.where("held_out"), "f").withColumn("nearest", F.array_min(F.array(*away))["c"])
+    hit = lambda c: F.avg((F.col(c) == F.col("label")).cast("double"))
+    return scored.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(hit("nearest"), 2).alias("by_centre"),
+        ((hit("prediction") > hit("nearest")) & (hit("prediction") > 0.9)).alias("better"),
+    )
+
+
 # ---- sources ----------------------------------------------------------------
 
 
@@ -614,13 +678,12 @@ def view_query(spark, d):
 
 @query("SELECT 'spark_catalog' AS catalog, count(*) AS n FROM part")
 def cat_catalogs(spark, d):
-    """The listed catalog in use, with the parts that a three-level name finds in it."""
+    """The catalog in use as the listing has it, with the parts that a three-level name finds in it."""
     with temporary_schema(spark) as schema:
         _register_given(spark, d, schema, "part")
-        rows = spark.table(f"spark_catalog.{schema}.part").agg(F.count(F.lit(1)).alias("n"))
-        listed = catalog.list_catalogs(spark).where("catalog = 'spark_catalog'").select("catalog", F.lit(0).alias("n"))
-        found = listed.union(rows.select(F.lit("spark_catalog"), "n"))
-        return found.groupBy("catalog").agg(F.sum("n").alias("n"))
+        listed = catalog.list_catalogs(spark).where(F.col("catalog") == spark.catalog.currentCatalog()).first()["catalog"]
+        parts = spark.table(f"{listed}.{schema}.part").agg(F.count(F.lit(1)).alias("n"))
+        return parts.select(F.lit(listed).alias("catalog"), "n")
 
 
 @query("SELECT 'spark_catalog' AS catalog, count(*) AS n FROM orders")

@@ -1,4 +1,5 @@
-from tallyframe.operators.charts import chart_aggregate, chart_from_spec
+from tallyframe.operators.charts import chart_aggregate, chart_from_spec, chart_series
+from tallyframe.operators.exact import exact_sums
 from tallyframe.operators.grouping import avg_by_group, filtered_sum, group_count, value_counts
 from tallyframe.operators.rated import rated_by_group
 from tallyframe.operators.rows import contains_text, limit_rows, top_k
@@ -10,7 +11,9 @@ __all__ = [
     "avg_by_group",
     "chart_aggregate",
     "chart_from_spec",
+    "chart_series",
     "contains_text",
+    "exact_sums",
     "explode_tokens",
     "filtered_sum",
     "group_count",

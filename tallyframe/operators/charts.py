@@ -44,6 +44,24 @@ def chart_aggregate(
     return grouped.agg(*[F.sum(numeric(df, v)).alias(v) for v in values])
 
 
+def chart_series(df: DataFrame, keys: list[str], value: str, series: str, out: str = "series") -> DataFrame:
+    """Sum of ``value`` per key and series, with the series of a key in one map, ``out``.
+
+    For series that are many or not known: no job looks for them first, none
+    reaches the driver, and there is no limit to their number. Only partial
+    sums, one row for each key and series, are gathered. The map is in the order of its
+    text keys; a null series goes into the column ``rest``, which is null
+    where a key has none. Text values are read as numbers.
+    """
+    name = F.col(series).cast("string").alias("_s")
+    sums = df.groupBy(*keys, name).agg(F.sum(numeric(df, value)).alias("_v"))
+    entry = F.when(F.col("_s").isNotNull(), F.struct("_s", "_v"))
+    return sums.groupBy(*keys).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias(out),
+        F.max(F.when(F.col("_s").isNull(), F.col("_v"))).alias("rest"),
+    )
+
+
 def chart_from_spec(df: DataFrame, spec: dict, series_values: list | None = None) -> DataFrame:
     """The table for a saved chart: lists ``keys``, ``groups`` and ``values`` of named columns.
 

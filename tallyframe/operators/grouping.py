@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.numbers import numeric
+from tallyframe.operators.exact import exact_sums
 
 
 def group_count(df: DataFrame, *keys: str | Column, out: str = "count") -> DataFrame:
@@ -29,7 +30,7 @@ def filtered_sum(df: DataFrame, key: str, value: Column | str, below: int | floa
 
 
 def avg_by_group(
-    df: DataFrame, key: str, value: str, out: str = "avg", exact_scale: int | None = None
+    df: DataFrame, key: str, value: str, out: str = "avg", exact_scale: int | None = None, exact: bool = False
 ) -> DataFrame:
     """Mean of ``value`` per ``key``, in key order; missing values are skipped.
 
@@ -38,8 +39,13 @@ def avg_by_group(
     decimals with that many places instead, which gives the same mean each run.
     A number that such a decimal does not hold, because it has more places (the
     last digits of a double apart), is too large or not finite, fails the job.
+    ``exact`` does the same for any doubles, by ``exact_sums``, at the price of
+    three rows for each.
     """
     number = F.col(value).try_cast("double")
+    if exact:
+        sums = exact_sums(df, [key], number, "_total", "_n")
+        return sums.select(key, F.try_divide("_total", "_n").alias(out)).orderBy(key)
     if exact_scale is not None:
         kind = f"decimal(38,{exact_scale})"
         exact = F.col(value).try_cast(kind)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, DataFrameWriter
 
 # The CSV writer trims blanks at both ends unless told not to.
@@ -35,13 +38,46 @@ def refuse_own_input(df: DataFrame, path: str) -> None:
             raise ValueError(f"{path} is an input of the frame to be written there")
 
 
-def _csv(df: DataFrame, sep: str, header: bool, options: dict[str, str] | None) -> DataFrameWriter:
-    return (
-        df.write.mode("overwrite")
-        .options(**{**KEEP_BLANKS, **(options or {})})
-        .option("sep", sep)
-        .option("header", header)
-    )
+def replace_directory(df: DataFrame, path: str, write: Callable[[DataFrameWriter, str], None]) -> None:
+    """Let ``write`` fill a folder beside ``path``, then put it in the place of what is there.
+
+    The old data is moved aside by a rename, and deleted last. A write that
+    fails leaves it untouched; a switch that fails moves it back. A driver that dies
+    in between leaves it under a name that begins with ``_`` and ends with ``_old``.
+    """
+    refuse_own_input(df, path)
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    target = files.makeQualified(target)
+    beside = f"_{target.getName()}_{uuid.uuid4().hex}"
+    new, old = (spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), f"{beside}_{kind}") for kind in ("new", "old"))
+    try:
+        write(df.write, new.toString())
+        present = files.exists(target)
+        if present:
+            _rename(files, target, old)
+        try:
+            _rename(files, new, target)
+        except Exception:
+            if present:
+                _rename(files, old, target)
+            raise
+    except Exception:
+        files.delete(new, True)
+        raise
+    if present:
+        files.delete(old, True)
+
+
+def _rename(files, source, target) -> None:
+    if not files.rename(source, target):
+        raise OSError(f"{source.toString()} could not be renamed to {target.toString()}")
+
+
+def _csv(sep: str, header: bool, options: dict[str, str] | None) -> Callable[[DataFrameWriter, str], None]:
+    settings = {**KEEP_BLANKS, **(options or {})}
+    return lambda writer, path: writer.options(**settings).option("sep", sep).option("header", header).csv(path)
 
 
 def write_csv(
@@ -49,10 +85,10 @@ def write_csv(
 ) -> None:
     """One CSV file per task, with a header line and no row index.
 
-    CSV does not keep the difference between an empty string and null.
+    CSV does not keep the difference between an empty string and null. What
+    was at ``path`` goes only when the new files are whole.
     """
-    refuse_own_input(df, path)
-    _csv(df, sep, header, options).csv(path)
+    replace_directory(df, path, _csv(sep, header, options))
 
 
 def write_single_csv(
@@ -66,10 +102,16 @@ def write_single_csv(
     """
     refuse_own_input(df, path)
     single = df.repartition(1)
-    _csv(single.sortWithinPartitions(*order) if order else single, sep, header, None).csv(path)
+    replace_directory(single.sortWithinPartitions(*order) if order else single, path, _csv(sep, header, None))
 
 
 def write_directory(df: DataFrame, path: str, fmt: str = "parquet", options: dict[str, str] | None = None) -> None:
-    """Replace the data set at ``path``; ``fmt`` may be ``delta`` where installed."""
-    refuse_own_input(df, path)
-    df.write.format(fmt).mode("overwrite").options(**(options or {})).save(path)
+    """Replace the data set at ``path``, old files last.
+
+    ``fmt`` may be ``delta`` where installed; such a table replaces its rows by itself.
+    """
+    if fmt == "delta":
+        refuse_own_input(df, path)
+        df.write.format(fmt).mode("overwrite").options(**(options or {})).save(path)
+        return
+    replace_directory(df, path, lambda writer, place: writer.format(fmt).options(**(options or {})).save(place))

@@ -346,3 +346,116 @@ def test_scan_tasks_grow_with_the_table():
 def test_shuffle_partitions_grow_with_the_data():
     assert shuffle_partitions_for(8) == 8 and shuffle_partitions_for() == 200
     assert shuffle_partitions_for(8, 128 * 1024 * 1024 * 1000 + 1) == 1001
+
+
+def test_listing_leaves_the_files_to_the_tasks(spark, tmp_path, monkeypatch):
+    """Folders of each level are listed in tasks; the driver sees one count for each level."""
+    for i in range(12):
+        folder = tmp_path / "deep" / f"a{i % 4}" / f"_b {i}%"
+        folder.mkdir(parents=True)
+        for name in ("x*1.dat", "y?.dat", "[z].txt", f"{i}.crc", "é.dat"):
+            (folder / name).write_bytes(b"1" * i)
+    (tmp_path / "deep" / "empty").mkdir()
+    calls = []
+    monkeypatch.setattr(sources.files, "_listed_by_driver", lambda *a: calls.append(a))
+    found = sources.list_files(spark, str(tmp_path / "deep"))
+    assert not calls and found.count() == 60
+    assert found.agg(F.sum("bytes")).first()[0] == 5 * sum(range(12))
+    assert {r.path.split(":")[0] for r in found.collect()} == {"file"}
+    names = lambda p: {r.path.rsplit("/", 1)[1] for r in sources.list_files(spark, str(tmp_path / "deep"), p).collect()}
+    assert names("*.dat") == {"x*1.dat", "y?.dat", "é.dat"}
+    assert names("[!x]?.dat") == {"y?.dat"} and names("x[*]*") == {"x*1.dat"} and names("?.dat") == {"é.dat"}
+    single = sources.list_files(spark, str(tmp_path / "deep" / "a3" / "_b 3%" / "é.dat")).collect()
+    assert [r.bytes for r in single] == [3]
+    assert sources.list_files(spark, str(tmp_path / "deep" / "empty")).count() == 0
+    with pytest.raises(FileNotFoundError):
+        sources.list_files(spark, str(tmp_path / "nothing"))
+
+
+def test_listing_by_the_driver_is_in_chunks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sources.files, "CHUNK", 3)
+    for i in range(8):
+        (tmp_path / f"_{i}.dat").write_bytes(b"12")
+    found = sources.list_files(spark, str(tmp_path), options={"io.file.buffer.size": "8192"})
+    assert found.count() == 8 and found.agg(F.sum("bytes")).first()[0] == 16
+    assert sources.list_files(spark, str(tmp_path), "*3*", options={"io.file.buffer.size": "8192"}).count() == 1
+
+
+def test_listing_with_a_file_system_of_ones_own(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a").write_bytes(b"123")
+    root = str(tmp_path)
+
+    def below():
+        from pyarrow import fs
+
+        return fs.SubTreeFileSystem(root, fs.LocalFileSystem())
+
+    assert [(r.path, r.bytes) for r in sources.list_files(spark, "in", filesystem=below).collect()] == [("in/a", 3)]
+
+
+HALF_WAY = "if(id = 7, raise_error('half-way'), id) AS id"
+
+
+@pytest.mark.parametrize("write", ["write_csv", "write_single_csv", "write_directory"])
+def test_a_failing_overwrite_keeps_the_old_files(spark, tmp_path, write):
+    path = str(tmp_path / "out")
+    write = getattr(sinks, write)
+    write(spark.range(3), path)
+    before = sorted(p.name for p in (tmp_path / "out").iterdir())
+    with pytest.raises(Exception, match="half-way"):
+        write(spark.range(9).selectExpr(HALF_WAY), path)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == before
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+    write(spark.range(4), path)
+    assert [p.name for p in tmp_path.iterdir()] == ["out"] and sorted(p.name for p in (tmp_path / "out").iterdir()) != before
+
+
+def test_a_failing_switch_of_folders_keeps_the_old_files(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "out")
+    sinks.write_directory(spark.range(3), path)
+    real = sinks.files._rename
+
+    def breaks(files, source, target):
+        if source.getName().endswith("_new"):
+            raise OSError("no switch")
+        real(files, source, target)
+
+    monkeypatch.setattr(sinks.files, "_rename", breaks)
+    with pytest.raises(OSError, match="no switch"):
+        sinks.write_directory(spark.range(9), path)
+    assert spark.read.parquet(path).count() == 3 and [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_a_failing_external_write_keeps_the_table(spark, schema, tmp_path):
+    name, path = f"{schema}.ext", str(tmp_path / "ext")
+    sinks.write_external_table(spark.range(3), name, path, "parquet")
+    with pytest.raises(Exception, match="half-way"):
+        sinks.write_external_table(spark.range(9).selectExpr(HALF_WAY), name, path, "parquet")
+    assert spark.table(name).count() == 3
+    sinks.write_external_table(spark.range(5).withColumnRenamed("id", "other"), name, path, "parquet")
+    assert spark.table(name).columns == ["other"] and spark.table(name).count() == 5
+
+
+def test_a_failing_rename_keeps_the_table(spark, schema, monkeypatch):
+    sinks.refresh_table(spark.range(5), f"{schema}.t")
+    real = sinks.tables._rename
+
+    def breaks(spark, source, target):
+        if "_new_" in source:
+            raise RuntimeError("no switch")
+        real(spark, source, target)
+
+    monkeypatch.setattr(sinks.tables, "_rename", breaks)
+    with pytest.raises(RuntimeError, match="no switch"):
+        sinks.refresh_table(spark.range(9), f"{schema}.t")
+    assert spark.table(f"{schema}.t").count() == 5
+    assert [r.table for r in catalog.list_tables(spark, schema).collect()] == ["t"]
+
+
+def test_a_table_left_between_two_names_is_found_again(spark, schema):
+    sinks.refresh_table(spark.range(5), f"{schema}.t")
+    spark.sql(f"ALTER TABLE {schema}.t RENAME TO {schema}.t_old_{'0a' * 16}")
+    assert sinks.recover_table(spark, f"{schema}.t") and not sinks.recover_table(spark, f"{schema}.t")
+    assert spark.table(f"{schema}.t").count() == 5
+    assert not sinks.recover_table(spark, f"{schema}.never")

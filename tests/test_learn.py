@@ -53,3 +53,38 @@ def test_rows_of_pixels_are_flattened_and_scaled(spark):
     scored = learn.score(model, scaled, "pixels")
     assert scored.columns == ["id", "image", "label", "pixels", "prediction", "logits", "probabilities"]
     assert learn.evaluate(scored, "label").first().accuracy > 0.95
+
+
+def test_training_rows_are_spread_and_bounded(spark):
+    df = spark.range(0, 40_000, 1, 8).select("id", F.array(F.col("id") * 1.0, F.lit(1.0)).alias("f"), (F.col("id") % 2).alias("y"))
+    rows = learn.training_rows(df, "f", "y", max_rows=4_000)
+    assert rows.rdd.getNumPartitions() > 1 and 3_600 < rows.count() <= 4_400
+    again = learn.training_rows(df.repartition(3), "f", "y", max_rows=4_000)
+    assert sorted(r._vector[0] for r in rows.collect()) == sorted(r._vector[0] for r in again.collect())
+    assert learn.training_rows(df, "f", "y").count() == 40_000
+
+
+def test_copies_do_not_swamp_a_sample(spark):
+    df = spark.range(0, 9_000, 1, 4).select("id", F.when(F.col("id") % 3 == 0, F.array(F.lit(1.0))).otherwise(F.array(F.col("id") * 1.0)).alias("f"), F.lit(1).alias("y"))
+    try:
+        assert learn.training_rows(df, "f", "y", max_rows=600).count() <= 660
+    except ValueError as copies:
+        assert "name a key" in str(copies)
+    assert 500 < learn.training_rows(df, "f", "y", max_rows=600, key="id").count() <= 660
+    same = df.withColumn("f", F.array(F.lit(1.0)))
+    with pytest.raises(ValueError, match="name a key"):
+        learn.training_rows(same, "f", "y", max_rows=600)
+
+
+def test_split_by_label_keeps_quotas(spark):
+    rows = spark.range(20_000).withColumn("label", F.when(F.col("id") % 10 == 0, "rare").when(F.col("id") < 19_000, "often"))
+    split = rows.withColumn("held_out", learn.held_out_by_label(rows, "id", "label", 0.25))
+    shares = {r.label: (r.n, r.held) for r in split.groupBy("label").agg(F.count("id").alias("n"), F.count_if("held_out").alias("held")).collect()}
+    assert shares[None][1] == 0
+    for label in ("rare", "often"):
+        n, held = shares[label]
+        assert 0 <= n * 0.25 - held <= 12
+    again = rows.repartition(7)
+    held = again.withColumn("held_out", learn.held_out_by_label(again, "id", "label", 0.25)).where("held_out").count()
+    assert held == split.where("held_out").count()
+    assert rows.limit(0).withColumn("h", learn.held_out_by_label(rows.limit(0), "id", "label")).count() == 0
