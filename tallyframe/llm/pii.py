@@ -20,6 +20,10 @@ MARK = "\ue000"
 LABEL = "A-Za-z0-9"
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 PUNCTUATION = ".,;:!?()\"'"
+#: Elements that one fold adds up.
+BLOCK = 128
+#: Code points of a chunk of a text.
+CHUNK = 1024
 
 # The patterns match what these fixed ones match, leftmost and without overlap:
 #   email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
@@ -42,21 +46,65 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _located(text: Column, pattern: str, kind: str) -> Column:
+def _chunked(text: Column) -> Column:
+    """A text in chunks of ``CHUNK`` code points, because a place is found by counting from the start of a string."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def _cut(chunks: Column, start: Column, length: Column) -> Column:
+    """``length`` code points of a chunked text from ``start`` on, counted from 0."""
+    first = F.call_function("div", start, F.lit(CHUNK)).cast("int")
+    last = F.call_function("div", start + F.greatest(length, F.lit(1)) - 1, F.lit(CHUNK)).cast("int")
+    return F.substring(F.array_join(F.slice(chunks, first + 1, last - first + 1), ""), start - first * CHUNK + 1, length)
+
+
+def _scan(values: Column, start: Column, join) -> Column:
+    """For each of a few numbers what ``join`` makes of ``start`` and all numbers before it."""
+    none = F.array().cast("array<int>")
+
+    def step(state: Column, v: Column) -> Column:
+        return F.struct(join(state["at"], v).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out"))
+
+    return F.aggregate(values, F.struct(start.alias("at"), none.alias("out")), step, lambda s: s["out"])
+
+
+def _before(values: Column, join) -> Column:
+    """For each number of an array what ``join`` makes of 0 and all numbers before it.
+
+    A fold copies the array it grows at every step, so it is done in blocks of
+    ``BLOCK``: their totals first, then each block from where the last one ended.
+    """
+
+    def blocked(v: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(v), F.lit(BLOCK))
+        blocks = F.transform(starts, lambda at: F.slice(v, at, F.lit(BLOCK)))
+
+        def joined(b: Column) -> Column:
+            totals = F.transform(b, lambda x: F.aggregate(x, F.lit(0), join))
+            return F.flatten(F.zip_with(b, _scan(totals, F.lit(0), join), lambda x, base: _scan(x, base, join)))
+
+        return F.when(F.size(v) > 0, _let(blocks, joined)).otherwise(F.array().cast("array<int>"))
+
+    return _let(values, blocked)
+
+
+def _located(text: Column, pattern: str | Column, kind: str) -> Column:
     """All matches with their places in code points."""
     empty = F.array().cast(SPAN)
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
-        end = start + F.length(x["found"])
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["found"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+    def placed(pairs: Column) -> Column:
+        lengths = F.transform(pairs, lambda x: F.length(x["gap"]) + F.length(x["found"]))
+
+        def span(x: Column, before: Column) -> Column:
+            start = before + F.length(x["gap"])
+            return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(x["found"])).alias("end"), x["found"].alias("value"))
+
+        return F.zip_with(pairs, _before(lengths, lambda a, n: a + n), span)
 
     def places(found: Column) -> Column:
         gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
         pairs = F.zip_with(gaps, found, lambda g, f: F.struct(g.alias("gap"), f.alias("found")))
-        start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-        return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda s: s["spans"])).otherwise(empty)
+        return F.when(F.size(found) > 0, _let(pairs, placed)).otherwise(empty)
 
     return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), places)
 
@@ -134,8 +182,8 @@ def disclosing_terms(
     entities = contexts.groupBy("value").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= support)
     pairs = contexts.select("value", "apart", F.explode("terms").alias("term")).groupBy("value", "term")
     pairs = pairs.agg(F.count(F.lit(1)).alias("n_et"), F.count_distinct("apart").alias("support")).where(F.col("support") >= support)
-    near = mentions.select("context", F.explode("terms").alias("near")).distinct().groupBy("near")
-    near = near.agg(F.count(F.lit(1)).alias("least"))
+    near = mentions.groupBy("context").agg(F.max("terms").alias("terms")).select(F.explode("terms").alias("near"))
+    near = near.groupBy("near").agg(F.count(F.lit(1)).alias("least"))
     n = F.lit(float(documents))
 
     def disclosure(n_t: Column) -> Column:
@@ -146,8 +194,9 @@ def disclosing_terms(
     pairs = pairs.join(near, F.col("term") == F.col("near")).where(disclosure(F.col("least")) >= threshold)
     pairs = stored(pairs.select("value", "term", "n_e", "n_et"), "pairs")
     wanted = pairs.select(F.col("term").alias("w")).distinct()
-    seen = texts.select(F.explode(_terms(F.col("text"))).alias("t")).join(wanted, F.col("t") == F.col("w"))
-    seen = seen.groupBy(F.col("w").alias("seen")).agg(F.count(F.lit(1)).alias("n_t"))
+    # Terms are counted before they meet the wanted ones: what is shuffled are counts, not all occurrences.
+    seen = texts.select(F.explode(_terms(F.col("text"))).alias("seen")).groupBy("seen").agg(F.count(F.lit(1)).alias("n_t"))
+    seen = seen.join(wanted, F.col("seen") == F.col("w"))
     scored = pairs.join(seen, F.col("term") == F.col("seen"))
     scored = scored.select("value", "term", disclosure(F.col("n_t")).alias("disclosure"))
     return scored.where(F.col("disclosure") >= threshold)
@@ -172,17 +221,17 @@ def sanitised(text: Column, spans: Column) -> Column:
     """The text with every span as its kind in brackets; overlapping spans give one."""
     order = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
 
-    def step(state: Column, s: Column) -> Column:
-        before = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        label = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        parts = F.when(s["start"] >= state["at"], F.concat(state["parts"], F.array(before, label))).otherwise(state["parts"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), parts.alias("parts"))
+    def parts(sorted_spans: Column, chunks: Column) -> Column:
+        ends = F.transform(sorted_spans, lambda s: s["end"])
+
+        def part(s: Column, at: Column) -> Column:
+            before = _cut(chunks, at, s["start"] - at)
+            return F.when(s["start"] >= at, F.concat(before, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
 
-    def whole(state: Column) -> Column:
-        return F.concat(F.array_join(state["parts"], ""), F.substring(text, state["at"] + 1, F.length(text)))
+        shown = F.zip_with(sorted_spans, _before(ends, lambda a, e: F.greatest(a, e)), part)
+        return F.concat(F.array_join(shown, ""), F.substring(text, F.array_max(ends) + 1, F.length(text)))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    return F.when(F.size(spans) > 0, F.aggregate(order, start, step, whole)).otherwise(text)
+    return F.when(F.size(spans) > 0, _let(order, lambda o: _let(_chunked(text), lambda c: parts(o, c)))).otherwise(text)
 
 
 def sanitise(
@@ -213,24 +262,31 @@ def sanitise(
     by_kind = entity_spans(F.col("_text"))
     every = F.concat(*(by_kind[k] for k in KINDS))
     spans = plain.withColumn("_spans", every).where(F.size("_spans") > 0)
-    spans = spans.select("_text", F.xxhash64("_text").alias("context"), "_spans", F.explode("_spans").alias("s"))
-    left = F.substring("_text", F.greatest(F.col("s.start") - reach + 1, F.lit(1)), F.least(F.col("s.start"), F.lit(reach)))
-    left = F.when(F.col("s.start") > reach, F.regexp_replace(left, "^[^\\x20\\x09-\\x0D]+", "")).otherwise(left)
-    right = F.substring(F.col("_text"), F.col("s.end") + 1, F.lit(reach + 1))
-    right = F.when(F.length(right) > reach, F.regexp_replace(right, "[^\\x20\\x09-\\x0D]+$", "")).otherwise(right)
-    around = F.xxhash64(F.concat(left, F.lit(" "), right))
-    found = spans.select("context", F.concat_ws(":", "s.kind", "s.value").alias("value"), around.alias("around"))
+    def seen(s: Column, chunks: Column) -> Column:
+        reached = F.least(s["start"], F.lit(reach))
+        left = _cut(chunks, s["start"] - reached, reached)
+        left = F.when(s["start"] > reach, F.regexp_replace(left, "^[^\\x20\\x09-\\x0D]+", "")).otherwise(left)
+        right = _cut(chunks, s["end"], F.lit(reach + 1))
+        right = F.when(F.length(right) > reach, F.regexp_replace(right, "[^\\x20\\x09-\\x0D]+$", "")).otherwise(right)
+        around = F.xxhash64(F.concat(left, F.lit(" "), right))
+        return F.struct(F.concat_ws(":", s["kind"], s["value"]).alias("value"), around.alias("around"))
+
+    mentioned = _let(_chunked(F.col("_text")), lambda c: F.transform("_spans", lambda s: seen(s, c)))
+    found = spans.select(F.xxhash64("_text").alias("context"), F.explode(mentioned).alias("m")).select("context", "m.value", "m.around")
     found = stored(found.groupBy("value", "context").agg(F.min("around").alias("around")), "mentions")
     often = found.groupBy("value").agg(F.count_distinct("around").alias("n")).where(F.col("n") >= support)
     often = stored(found.join(often.select(F.col("value").alias("o")), F.col("value") == F.col("o")).drop("o"), "often")
     # Terms are sought outside the entities; what an entity is made of reveals nothing more.
-    distinct = plain.select("_text").distinct()
-    texts = distinct.withColumn("_spans", every)
-    texts = texts.select(F.xxhash64("_text").alias("h"), sanitised(F.col("_text"), F.col("_spans")).alias("text"))
-    held = texts.join(often.select(F.col("context").alias("c")).distinct(), F.col("h") == F.col("c"))
-    held = stored(held.select("h", _terms(F.col("text")).alias("terms")), "held")
+    outside = sanitised(F.col("_text"), F.col("_spans")).alias("text")
+    contexts = often.select(F.col("context").alias("c")).distinct()
+    held = plain.withColumn("_spans", every).where(F.size("_spans") > 0).withColumn("h", F.xxhash64("_text"))
+    held = held.join(contexts, F.col("h") == F.col("c")).dropDuplicates(["h"])
+    held = stored(held.select("h", outside).select("h", _terms(F.col("text")).alias("terms")), "held")
     mentions = often.join(held, F.col("context") == F.col("h")).select("value", "context", "around", "terms")
-    revealing = disclosing_terms(mentions, texts.select("text"), distinct.count(), threshold, support)
+    # Only here whole texts are shuffled, once, to count each distinct one once.
+    texts = plain.select("_text").distinct().withColumn("_spans", every).select(outside)
+    documents = plain.select(F.xxhash64("_text"), F.crc32(F.col("_text").cast("binary"))).distinct().count()
+    revealing = disclosing_terms(mentions, texts, documents, threshold, support)
     revealing = stored(revealing.select(F.col("term").alias("t")).distinct(), "revealing")
     own = plain.select("_key", F.explode(_terms(F.col("_text"))).alias("term")).join(revealing, F.col("term") == F.col("t"))
     # Stored, so that its size is known: texts are shuffled only where it is too large to send around.

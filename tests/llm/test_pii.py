@@ -107,3 +107,31 @@ def test_copies_of_every_context_do_not_hide_a_term(spark):
     found = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {s.value for r in found for s in r.term_spans} == {"Zarathea"}
     assert sum(len(r.term_spans) for r in found) == 300
+
+
+def test_many_entities_in_one_text(spark):
+    """Places are added up in blocks; what is kept between the spans is cut out of chunks."""
+    words = [f"user{i}@mail{i % 7}.example.com" if i % 3 else f"é{i}😀" for i in range(6000)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, "x" * 5000 + " a@b.cc " + "y" * 3000 + " 1.2.3.4"), (3, "a@b.cc")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.sanitise(df).collect()}
+    at, expected = 0, []
+    for word in words:
+        if "@" in word:
+            expected.append(("email", at, at + len(word), word))
+        at += len(word) + 1
+    assert [tuple(s) for s in rows[1].base_spans] == expected
+    assert rows[1].clean_text == " ".join("[EMAIL]" if "@" in w else w for w in words)
+    assert rows[2].clean_text == "x" * 5000 + " [EMAIL] " + "y" * 3000 + " [IP]" and rows[3].clean_text == "[EMAIL]"
+
+
+def test_overlapping_spans_and_chunk_edges(spark):
+    text = "".join(chr(97 + i % 26) for i in range(pii.CHUNK * 2 + 10))
+    cases = [[(0, 3), (1, 2), (2, 9)], [(pii.CHUNK - 1, pii.CHUNK + 1)], [(0, pii.CHUNK), (pii.CHUNK, pii.CHUNK + 5)], [(5, 5000)], [(7, 9), (len(text) - 1, len(text))]]
+    rows = [(i, text, [("email", a, b, "") for a, b in spans]) for i, spans in enumerate(cases)]
+    df = spark.createDataFrame(rows, f"id int, t string, s {pii.SPAN}")
+    for i, clean in df.select("id", pii.sanitised(F.col("t"), F.col("s"))).collect():
+        expected, at = "", 0
+        for a, b in sorted(cases[i], key=lambda s: (s[0], -s[1])):
+            expected += text[at:a] + "[EMAIL]" if a >= at else ""
+            at = max(at, b)
+        assert clean == expected + text[at:]
