@@ -36,9 +36,10 @@ class Capacity:
     weights: tuple[float, float, float] = (1.0, 0.01, 0.01)
 
 
-def byte_bpe(ranks_path: str, pattern: str):
+def byte_bpe(ranks_path: str, pattern: str, special: dict[str, int] | None = None):
     """An encoder for a byte-level vocabulary given as ranks; the file stays where it is.
 
+    A text that holds a name in ``special`` has that id there.
     The pattern must take a run of white space as one piece, but for its last
     character where a word follows. Runs of ``LONG`` and more, on which the
     pattern's matcher would overflow, are cut out so beforehand.
@@ -49,7 +50,18 @@ def byte_bpe(ranks_path: str, pattern: str):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     known = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    names = re.compile("|".join(f"({re.escape(n)})" for n in sorted(special or (), key=len, reverse=True)) or "(?!)")
+
     def encode(text: str) -> list[int]:
+        if names.search(text) is None:
+            return ordinary(text)
+        ids, at = [], 0
+        for found in names.finditer(text):
+            ids += [*ordinary(text[at : found.start()]), special[found[0]]]
+            at = found.end()
+        return ids + ordinary(text[at:])
+
+    def ordinary(text: str) -> list[int]:
         ids, at = [], 0
         for run in LONG_RUN.finditer(text) if len(text) >= LONG else ():
             end = run.end() if run.end() == len(text) else run.end() - 1
@@ -68,7 +80,7 @@ def public_byte_bpe():
     """
     import public_tokenizers
 
-    return byte_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
 
 
 def tokenized_pieces(
@@ -169,25 +181,30 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
 def pack_pieces(pieces: DataFrame, capacity: Capacity = Capacity(), group: int = GROUP) -> DataFrame:
     """Give every piece a ``sequence_id`` and an ``offset`` in it.
 
-    ``pieces`` has ``length`` and any other columns, which stay. A piece that
+    ``pieces`` has ``length`` and any other columns, which stay, whatever their
+    names; those named like the two new ones are replaced. A piece that
     fills a sequence is one, without a shuffle. The others are dealt evenly
     over groups of about ``group`` rows, whatever their ids, and each group is
     packed by one task with memory for the group alone. No rows, no sequences.
     """
-    full = F.col("length") >= capacity.tokens
-    rest = pieces.where(~full)
+    names = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    plain = pieces.select(*(col(pieces, c).alias(f"p{i}") for i, c in enumerate(names)))
+    length = f"p{names.index('length')}"
+    full = F.col(length) >= capacity.tokens
+    rest = plain.where(~full)
     groups = max(1, -(-rest.count() // group))
     number = F.monotonically_increasing_id()
-    alone = pieces.where(full).select("*", (-1 - number).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    alone = plain.where(full).select("*", (-1 - number).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     dealt = rest.withColumn("_group", F.pmod(F.xxhash64(number), F.lit(groups)))
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        sequence, offset = best_fit(pdf["length"].to_numpy(), capacity)
+        sequence, offset = best_fit(pdf[length].to_numpy(), capacity)
         pdf["sequence_id"] = pdf["_group"].to_numpy() * (1 << 32) + sequence
         pdf["offset"] = offset
         return pdf.drop(columns="_group")
 
-    return dealt.groupBy("_group").applyInPandas(packed, alone.schema).union(alone)
+    every = dealt.groupBy("_group").applyInPandas(packed, alone.schema).union(alone)
+    return every.toDF(*names, "sequence_id", "offset")
 
 
 def pack_documents(

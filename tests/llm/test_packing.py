@@ -9,14 +9,12 @@ from tokenizers import Tokenizer
 
 from tallyframe.llm import packing
 
-TEXTS = [(1, "a b c"), (1, "a b c"), (2, None), (3, ""), (None, "word " * 3000), (4, "x" * 5000), (5, "é😀\n\n  z <|endoftext|>")]
+TEXTS = [(1, "a b c"), (1, "a b c"), (2, None), (3, ""), (None, "word " * 3000), (4, "x" * 5000), (5, "é😀\n\n  z <|endoftext|>"), (6, "a <|endoftext|> b<|endoftext|><|endoftext|>c<|endoftext |>")]
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def checked(rows, most=1024):
@@ -97,3 +95,10 @@ def test_long_runs_of_blanks(tokenizer):
     encode = packing.public_byte_bpe()
     for text in (" " * 1_100_000, "a" + " " * 1_100_000 + "b c", "x \n" + "\n" * 150_000 + " \u3000" * 60_000 + "é" + "\t" * 120_000 + "z"):
         assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(5, 1, 2, 3, 4), (1024, 5, 6, 7, 8)], "length long, _group int, sequence_id int, p0 int, `a.b` int")
+    found = packing.pack_pieces(df)
+    assert found.columns == ["length", "_group", "p0", "a.b", "sequence_id", "offset"]
+    assert sorted((r["length"], r["_group"], r["p0"], r["a.b"], r["offset"]) for r in found.collect()) == [(5, 1, 3, 4, 0), (1024, 5, 7, 8, 0)]
