@@ -455,13 +455,14 @@ def drop_near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5) ->
     """The rows of ``docs`` with one document of each group of ``near_copy_groups``: the smallest id.
 
     Of rows that share it the text with the smallest hash stays, and one of
-    equal rows. A null id stays only in a group without any other.
+    equal rows. A null id stays only in a group without any other. All columns
+    stay, whatever their names.
     """
     groups = near_copy_groups(docs, similarity, size)
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
     kept = groups.groupBy("group").agg(F.min(first).alias("kept"))
-    kept = kept.select(F.col("kept.doc_id").alias("__id"), F.col("kept.text_key").alias("__kept"))
-    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(col(docs, "text"), F.lit(""))))
-    same = col(keyed, "doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__kept"))
-    rows = keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__key"])
-    return rows.select(*(col(rows, c) for c in docs.columns))
+    kept = kept.select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.text_key").alias("kept_key"))
+    plain = docs.select(col(docs, "doc_id").alias("id"), F.xxhash64(F.coalesce(col(docs, "text"), F.lit(""))).alias("key"), *(col(docs, c).alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key"))
+    rows = plain.join(kept, same, "left_semi").dropDuplicates(["id", "key"])
+    return rows.drop("id", "key").toDF(*docs.columns)

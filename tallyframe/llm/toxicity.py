@@ -12,6 +12,7 @@ three-letter subsequence, so a run is scored without any landmark.
 from __future__ import annotations
 
 import re
+import warnings
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -226,19 +227,38 @@ def _cover(held: list[list[str]], gain: dict[str, float], least: int, most: int)
     return chosen
 
 
-def fit_toxicity(sample: DataFrame, odds: float = 15.0, least: int = 3, seeds: int = 200, landmarks: int = 160, negatives: int = 12_000) -> ToxicityModel:
+def _at_most(ordered: DataFrame, most: int, what: str) -> list:
+    """The first rows of an ordered frame, with a warning if there are more."""
+    rows = ordered.limit(most + 1).collect()
+    if len(rows) > most:
+        warnings.warn(f"only the first {most} {what} are used", stacklevel=3)
+    return rows[:most]
+
+
+def fit_toxicity(
+    sample: DataFrame,
+    odds: float = 15.0,
+    least: int = 3,
+    seeds: int = 200,
+    landmarks: int = 160,
+    negatives: int = 12_000,
+    positives: int = 2_000,
+    parts: int = 20_000,
+) -> ToxicityModel:
     """Train on a sample of ``labelled_sample``'s form.
 
     1. Four-letter parts of words that toxic texts hold ``odds`` times as often
        as clean ones are candidates; the fewest that cover the toxic texts,
        each at least ``least`` not covered before, are the seeds. Copies of one
-       text thus give one seed and not all their words.
-    2. Runs with a seed and those odds are positive. Runs of clean texts, at
+       text thus give one seed and not all their words. Only the ``parts``
+       candidates that most toxic texts hold are looked at.
+    2. Runs with a seed and those odds are positive, at most ``positives``. Runs of clean texts, at
        most ``negatives``, are negative, those with a seed before the others.
     3. A squared-hinge machine on Nyström features over ``landmarks`` runs.
     4. A logistic curve from the worst margin of each text to its label.
 
-    What reaches the driver is bounded by the parameters. Without labels of
+    What reaches the driver is bounded by the parameters; a warning says when
+    ``parts`` or ``positives`` leaves anything out. Without labels of
     both kinds, or without any seed, every score is 0.
     """
     sample = stored(sample, "labelled")
@@ -249,7 +269,7 @@ def fit_toxicity(sample: DataFrame, odds: float = 15.0, least: int = 3, seeds: i
     ratio = ((F.col("toxic") + 0.2) / (toxic + 1)) / ((F.col("clean") + 0.2) / (clean + 1))
     candidates = _counted(sample, _grams, "gram").withColumn("ratio", ratio)
     candidates = candidates.where((F.col("toxic") >= least) & (F.col("ratio") >= odds))
-    best = candidates.orderBy(F.desc("toxic"), "gram").limit(20_000).collect()
+    best = _at_most(candidates.orderBy(F.desc("toxic"), "gram"), parts, "candidate parts of words")
     gain = {r["gram"]: float(np.log(r["ratio"])) for r in best}
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +286,7 @@ def fit_toxicity(sample: DataFrame, odds: float = 15.0, least: int = 3, seeds: i
     has_seed = F.concat(F.lit("^"), "run").rlike("|".join(re.escape(s) for s in sorted(seeded)))
     order = F.xxhash64("run")
     positive = runs.where(has_seed & (ratio >= odds)).orderBy(F.desc("toxic"), order)
-    positive = [r["run"] for r in positive.limit(2_000).collect()]
+    positive = [r["run"] for r in _at_most(positive, positives, "positive runs")]
     taken = set(positive)
     negative = [r["run"] for r in runs.where("clean > 0").orderBy(~has_seed, order).limit(negatives).collect() if r["run"] not in taken]
     half = landmarks // 2
