@@ -1,7 +1,7 @@
 """Byte-level BPE in higher-order functions: ranked merges are folded over the bytes of distinct words.
 
-The vocabulary becomes a literal: small maps from a piece's bytes, as hex, to
-its rank, found by a hash of the piece. Words are the matches of the
+The vocabulary becomes a literal: small maps from a piece's bytes to its rank,
+found by a hash of the piece. Words are the matches of the
 vocabulary's pattern. Those that are frequent in the corpus are folded once and
 become a literal of bounded size; any other word is folded where it stands, so
 no occurrence is ever shuffled. Decoding joins the pieces of the ids.
@@ -25,10 +25,11 @@ from tallyframe.llm.common import col, stored
 SPACES = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 #: Words that become part of the plan, and their bytes: at most 8 MB of text.
 FREQUENT, FREQUENT_BYTES = 1 << 17, 64
-#: Beyond so many bytes all places of the lowest rank are merged in one step.
-LONG_WORD = 256
 #: Entries of a literal map that are found by one hash.
 ENTRIES = 8
+#: The character that stands for id 0; those above it are no surrogates.
+FIRST = 0x10000
+LATIN = "".join(map(chr, range(256)))
 
 
 def java_pattern(pattern: str) -> str:
@@ -48,6 +49,19 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def two_parts(piece: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
+    """The two pieces whose merge, the last of the piece's own bytes, gives it."""
+    parts, own = [piece[i : i + 1] for i in range(len(piece))], ranks[piece]
+    while len(parts) > 2:
+        low, at = min((ranks.get(parts[i] + parts[i + 1], own), i) for i in range(len(parts) - 1))
+        if low >= own:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    if len(parts) != 2:
+        raise ValueError(f"no merges of lower rank lead to the piece {piece!r}")
+    return parts[0], parts[1]
+
+
 @dataclass(frozen=True)
 class Table:
     """A map that is looked up by a hash: an array of small maps."""
@@ -74,110 +88,73 @@ class Table:
         return F.try_element_at(F.get(self.maps, at), key)
 
 
-def fold(word: Column, ranks: Table) -> Column:
-    """The ids of one word: the lowest rank merges first, of equal ones the leftmost."""
-    return _let(
-        F.regexp_extract_all(F.hex(word.cast("binary")), F.lit(".."), F.lit(0)),
-        lambda parts: F.transform(
-            F.when(F.size(parts) < 2, parts).when(F.size(parts) <= LONG_WORD, _one_by_one(parts, ranks)).otherwise(_rank_by_rank(parts, ranks)),
-            ranks.get,
-        ),
-    )
-
-
-def _pair_ranks(parts: Column, ranks: Table) -> Column:
-    heads = F.slice(parts, 1, F.size(parts) - 1)
-    return F.transform(heads, lambda p, i: ranks.get(F.concat(p, F.get(parts, i + 1))))
-
-
-def _one_by_one(parts: Column, ranks: Table) -> Column:
-    """Each step merges one pair; only the ranks of the pairs beside it are looked up again."""
-
-    def merged(state: Column, k: Column) -> Column:
-        p, r = state["parts"], state["ranks"]
-        none = F.array().cast("array<int>")
-        return _let(
-            F.concat(F.element_at(p, k), F.element_at(p, k + 1)),
-            lambda both: F.struct(
-                F.concat(F.slice(p, 1, k - 1), F.array(both), F.slice(p, k + 2, F.size(p))).alias("parts"),
-                F.concat(
-                    F.slice(r, 1, F.greatest(k - 2, F.lit(0))),
-                    F.when(k > 1, F.array(ranks.get(F.concat(F.get(p, k - 2), both)))).otherwise(none),
-                    F.when(k + 1 < F.size(p), F.array(ranks.get(F.concat(both, F.get(p, k + 1))))).otherwise(none),
-                    F.slice(r, k + 2, F.size(r) + 1),
-                ).alias("ranks"),
-            ),
-        )
-
-    def step(state: Column, _: Column) -> Column:
-        def found(lowest: Column) -> Column:
-            at = F.array_position(state["ranks"], lowest).cast("int")
-            return F.when(lowest.isNull(), state).otherwise(_let(at, lambda k: merged(state, k)))
-
-        return _let(F.array_min(state["ranks"]), found)
-
-    start = F.struct(parts.alias("parts"), _pair_ranks(parts, ranks).alias("ranks"))
-    return F.aggregate(F.sequence(F.lit(2), F.size(parts)), start, step, lambda s: s["parts"])
-
-
-def _rank_by_rank(parts: Column, ranks: Table) -> Column:
-    """Each step merges, from the left, all pairs of the lowest rank; for words of any length.
-
-    Steps are in two loops, one in the other, so that those after the last
-    merge, each of which copies the state, are few.
-    """
-
-    def merged(p: Column, found: Column, lowest: Column) -> Column:
-        hits = F.array_join(F.transform(found, lambda r: F.when(r == lowest, "1").otherwise("0")), "")
-        # A pair that merges, "2", takes the next pair, "3", out; the last part begins no pair, "0".
-        marks = F.concat(F.regexp_replace(F.regexp_replace(hits, "1[01]", "23"), "1", "2"), F.lit("0"))
-        return _let(
-            F.split(marks, ""),
-            lambda m: F.transform(
-                F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i == 0) | (F.get(m, i - 1) != "2")),
-                lambda i: F.when(F.get(m, i) == "2", F.concat(F.get(p, i), F.get(p, i + 1))).otherwise(F.get(p, i)),
-            ),
-        )
-
-    def looked(p: Column, found: Column, lowest: Column) -> Column:
-        parts = F.when(lowest.isNull(), p).otherwise(merged(p, found, lowest))
-        return F.struct(parts.alias("parts"), (lowest.isNull() | (F.size(p) < 3)).alias("done"))
-
-    def step(state: Column, _: Column) -> Column:
-        p = state["parts"]
-        one = _let(_pair_ranks(p, ranks), lambda found: _let(F.array_min(found), lambda low: looked(p, found, low)))
-        return F.when(state["done"], state).otherwise(one)
-
-    some = F.sequence(F.lit(1), F.ceil(F.sqrt(F.size(parts))).cast("int"))
-    start = F.struct(parts.alias("parts"), F.lit(False).alias("done"))
-    return F.aggregate(some, start, lambda s, _: F.when(s["done"], s).otherwise(F.aggregate(some, s, step)), lambda s: s["parts"])
-
-
 class Vocabulary:
     """Ranks, which are also the ids, and the pattern that cuts a text into words.
 
-    All single bytes must be pieces, and a piece's rank must be above those of
-    the merges that lead to it, as training gives.
+    All single bytes must be pieces, and every other piece must come out of two
+    pieces of lower rank when its own bytes are merged, as training gives; then the
+    order of ranks is the order of merges.
+
+    Inside a word an id is one character, ``FIRST`` and on, and a byte the
+    character of that number, so that a merge is the replacement of two characters by one.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("the vocabulary lacks single bytes")
         self.pattern = java_pattern(pattern)
-        self.ranks = Table.of({piece.hex().upper(): rank for piece, rank in ranks.items()}, "int")
+        self.longest = max(map(len, ranks))
         size = max(ranks.values()) + 1
         pieces: list[str | None] = [None] * size
+        merges: list[str | None] = [None] * size
         for piece, rank in ranks.items():
-            pieces[rank] = piece.hex().upper()
-        self.pieces = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-        self.digits = F.from_json(F.lit(json.dumps([i.to_bytes(4, "little").hex() for i in range(size)])), "array<string>")
+            pieces[rank] = piece.hex()
+            if len(piece) > 1:
+                merges[rank] = "".join(chr(FIRST + ranks[part]) for part in two_parts(piece, ranks))
+        literal = lambda values: F.from_json(F.lit(json.dumps(values)), "array<string>")
+        self.ranks = Table.of({piece.decode("latin-1"): rank for piece, rank in ranks.items() if len(piece) > 1}, "int")
+        self.merges = literal(merges)
+        self.merged = literal([chr(FIRST + i) for i in range(size)])
+        self.single = "".join(chr(FIRST + ranks[bytes([b])]) for b in range(256))
+        self.pieces = literal(pieces)
+        self.digits = literal([i.to_bytes(4, "little").hex() for i in range(size)])
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
+    def bound(self, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+        """``body`` of the function that folds a word, with the vocabulary in the plan only once.
+
+        All pieces that a word's bytes hold anywhere are looked up. Their
+        merges are folded over the word by rank; each takes, from the left, all places where
+        its two parts have come to stand side by side.
+        """
+
+        def folded(word: Column, ranks: Table, merges: Column, merged: Column) -> Column:
+            def ids(read: Column) -> Column:
+                windows = F.regexp_extract_all(read, F.lit(f"(?s)(?=(.{{2,{self.longest}}}))"), F.lit(1))
+                held = F.transform(windows, lambda w: F.transform(F.sequence(F.lit(2), F.length(w)), lambda n: ranks.get(F.left(w, n))))
+                order = F.sort_array(F.array_distinct(F.array_compact(F.flatten(held))))
+                start = F.translate(read, LATIN, self.single)
+                return F.aggregate(order, start, lambda s, r: F.replace(s, F.get(merges, r), F.get(merged, r)))
+
+            return _let(F.decode(word.cast("binary"), "ISO-8859-1"), ids)
+
+        return self.ranks.bound(
+            lambda ranks: _let(
+                F.struct(self.merges.alias("two"), self.merged.alias("one")),
+                lambda m: body(lambda word: folded(word, ranks, m["two"], m["one"])),
+            )
+        )
+
     def fold(self, word: Column) -> Column:
-        """The ids of one word."""
-        return self.ranks.bound(lambda ranks: fold(word, ranks))
+        """The ids of one word, as characters."""
+        return self.bound(lambda fold: fold(word))
+
+    def ids(self, folded: Column) -> Column:
+        """The numbers of ids that are characters."""
+        one = F.transform(F.split(folded, ""), lambda c: F.ascii(c) - FIRST)
+        return F.when(F.length(folded) > 0, one).otherwise(F.array().cast("array<int>"))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of ids: their pieces, joined. An id without a piece gives null."""
@@ -222,11 +199,11 @@ def encode(
     text = col(docs, text_col)
     every = docs.select(F.explode(vocabulary.words(text)).alias("word"))
     once = frequent_words(every, most).select("word", vocabulary.fold(F.col("word")).alias("ids"))
-    known = Table.of({row["word"]: row["ids"] for row in once.collect()}, "array<int>")  # ``most`` rows at the most
+    known = Table.of({row["word"]: row["ids"] for row in once.collect()}, "string")  # ``most`` rows at the most
 
-    def ids_of(known: Table, ranks: Table) -> Column:
-        return F.transform(vocabulary.words(text), lambda w: F.coalesce(known.get(w), fold(w, ranks)))
+    def folded(known: Table) -> Column:
+        return vocabulary.bound(lambda fold: F.transform(vocabulary.words(text), lambda w: F.coalesce(known.get(w), fold(w))))
 
-    each = known.bound(lambda k: vocabulary.ranks.bound(lambda r: ids_of(k, r)))
     names = [c for c in docs.columns if c.lower() != into.lower()]
-    return docs.select(*(col(docs, c).alias(c) for c in names), F.flatten(each).alias(into))
+    ids = vocabulary.ids(F.array_join(known.bound(folded), ""))
+    return docs.select(*(col(docs, c).alias(c) for c in names), ids.alias(into))

@@ -64,15 +64,19 @@ def test_random_words(spark, vocabulary, known):
     assert ids_of(spark, vocabulary, texts, most=0) == [known.encode_ordinary(t) for t in texts]
 
 
-def test_ranks_grow_along_merges(known, ranks):
-    """What merging all places of the lowest rank at once relies on."""
+def test_ranks_grow_along_merges(ranks):
+    """What applying merges by rank relies on, for every piece of the public vocabulary."""
     for piece, rank in ranks.items():
-        parts, top = [piece[i : i + 1] for i in range(len(piece))], -1
-        while len(parts) > 1:
-            low, i = min((ranks.get(parts[i] + parts[i + 1], 1 << 30), i) for i in range(len(parts) - 1))
-            assert top <= low <= rank
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            top = low
+        if len(piece) > 1:
+            a, b = bytebpe.two_parts(piece, ranks)
+            assert a + b == piece
+            assert all(len(p) == 1 or ranks[p] < rank for p in (a, b))
+
+
+def test_pieces_without_merges_are_refused():
+    ranks = {bytes([i]): i for i in range(256)} | {b"abc": 256}
+    with pytest.raises(ValueError, match="lead to the piece"):
+        bytebpe.two_parts(b"abc", ranks)
 
 
 def test_long_word(spark, vocabulary, known):
