@@ -153,8 +153,8 @@ class Vocabulary:
 
     def ids(self, folded: Column) -> Column:
         """The numbers of ids that are characters."""
-        one = F.transform(F.split(folded, ""), lambda c: F.ascii(c) - FIRST)
-        return F.when(F.length(folded) > 0, one).otherwise(F.array().cast("array<int>"))
+        characters = F.filter(F.split(folded, ""), lambda c: c != "")  # an empty text has one that is empty
+        return F.transform(characters, lambda c: F.ascii(c) - FIRST)
 
     def decode(self, ids: Column) -> Column:
         """The bytes of ids: their pieces, joined. An id without a piece gives null."""
