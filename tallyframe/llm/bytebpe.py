@@ -2,9 +2,13 @@
 
 The vocabulary becomes a literal: small maps from a piece's bytes to its rank,
 found by a hash of the piece. Words are the matches of the
-vocabulary's pattern. Those that are frequent in the corpus are folded once and
-become a literal of bounded size; any other word is folded where it stands, so
-no occurrence is ever shuffled. Decoding joins the pieces of the ids.
+vocabulary's pattern. Decoding joins the pieces of the ids. No occurrence of a
+word is ever shuffled:
+
+* ``encode_by_task`` folds the distinct words of every task. Arrow batches number
+  the words and lay the folded ids out again; the folding between is the higher-order function.
+* ``encode`` has no Python at all: words that are frequent in the corpus are folded ahead and
+  become a literal of bounded size, any other word is folded where it stands.
 """
 
 from __future__ import annotations
@@ -13,11 +17,14 @@ import base64
 import json
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from tallyframe.llm.common import col, stored
 
@@ -25,6 +32,10 @@ from tallyframe.llm.common import col, stored
 SPACES = "\\x09-\\x0D\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 #: Words that become part of the plan, and their bytes: at most 8 MB of text.
 FREQUENT, FREQUENT_BYTES = 1 << 17, 64
+#: Distinct words that a task keeps in mind; it forgets them all before a batch that could exceed this.
+KEPT = 1 << 20
+#: Words of a batch that are laid out at a time.
+LAID = 1 << 20
 #: Entries of a literal map that are found by one hash.
 ENTRIES = 8
 #: The character that stands for id 0; those above it are no surrogates.
@@ -207,3 +218,134 @@ def encode(
     names = [c for c in docs.columns if c.lower() != into.lower()]
     ids = vocabulary.ids(F.array_join(known.bound(folded), ""))
     return docs.select(*(col(docs, c).alias(c) for c in names), ids.alias(into))
+
+
+def _numbered(batches: Iterator[pa.Array], kept: int) -> Iterator[pa.Array]:
+    """Of lists of words: the words' numbers in the task, the words not seen before, and how many were seen before."""
+    known: dict[str, int] = {}
+    for words in batches:
+        ends = np.cumsum(np.concatenate([[0], words.value_lengths().to_numpy(zero_copy_only=False)]))
+        coded = words.flatten().dictionary_encode()
+        at, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        if known and len(known) + len(distinct) > kept:
+            known.clear()
+        before = len(known)
+        number = np.fromiter((known.setdefault(w, len(known)) for w in distinct), np.int32, len(distinct))
+        fresh = np.flatnonzero(number >= before)
+        # Distinct words stand in the order of their first places, which are where the running maximum grows.
+        first = np.searchsorted(np.maximum.accumulate(at), fresh) if len(at) else fresh
+        rows = np.searchsorted(first, ends).astype(np.int32)  # fresh words ahead of each text
+        yield pa.StructArray.from_arrays(
+            [
+                pa.ListArray.from_arrays(ends.astype(np.int32), number[at]),
+                pa.ListArray.from_arrays(rows, coded.dictionary.take(pa.array(fresh))),
+                pa.array(before + rows[:-1], pa.int32()),
+            ],
+            ["numbers", "fresh", "seen"],
+        )
+
+
+def _characters(folded: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of folded words, one after the other, and each word's count. Every id is one character of four bytes."""
+    ends = np.frombuffer(folded.buffers()[1], np.int32)[folded.offset : folded.offset + len(folded) + 1]
+    if not len(folded):
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    four = np.frombuffer(folded.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, 4).astype(np.int32)
+    ids = ((four[:, 0] & 7) << 18 | (four[:, 1] & 63) << 12 | (four[:, 2] & 63) << 6 | four[:, 3] & 63) - FIRST
+    return ids, np.diff(ends).astype(np.int64) // 4
+
+
+def _laid_out(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """The ids of texts from their words' numbers, the ids of fresh words and how many were seen before."""
+    ids, counts, starts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for numbers, folded, seen in batches:
+        seen = seen.to_numpy(zero_copy_only=False)
+        fresh = folded.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(np.concatenate([[0], numbers.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)]))
+        at, words = numbers.flatten().to_numpy(), np.concatenate([[0], np.cumsum(fresh)])
+        new, new_counts = _characters(folded.flatten())
+        new_ends = np.concatenate([[0], np.cumsum(new_counts)])
+        total = np.concatenate([[len(counts)], seen + fresh])
+        forgot = np.flatnonzero((seen == 0) & (total[:-1] > 0))
+        if np.any(np.delete(seen - total[:-1], forgot)):
+            raise RuntimeError("rows came in another order than they were numbered")
+        out, lengths = [], [np.zeros(1, np.int64)]
+        cuts = np.unique(np.concatenate([[0], forgot, [len(seen)]]))
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            if low in forgot:
+                ids, counts = ids[:0], counts[:0]
+            ids = np.concatenate([ids, new[new_ends[words[low]] : new_ends[words[high]]]])
+            counts = np.concatenate([counts, new_counts[words[low] : words[high]]])
+            starts = np.cumsum(counts) - counts
+            for some in range(ends[low], ends[high], LAID):
+                part = at[some : min(some + LAID, ends[high])]
+                many = counts[part]
+                behind = np.cumsum(many)
+                place = np.arange(behind[-1]) + np.repeat(starts[part] - (behind - many), many)
+                out.append(ids[place])
+                lengths.append(many)
+        upto = np.cumsum(np.concatenate(lengths))[ends]
+        yield pa.ListArray.from_arrays(upto.astype(np.int32), np.concatenate(out) if out else np.zeros(0, np.int32))
+
+
+def encode_by_task(
+    docs: DataFrame,
+    vocabulary: Vocabulary,
+    text_col: str = "text",
+    into: str = "ids",
+    kept: int = KEPT,
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """What ``encode`` gives, with every distinct word of a task folded once instead of once per occurrence.
+
+    A text carries the words that no earlier text of its task has; these are folded by the
+    higher-order function of the vocabulary, and their ids are kept for the texts after it. Nothing is
+    shuffled or broadcast but the vocabulary. ``kept`` bounds the words that a task keeps in mind beyond one batch;
+    it changes the cost and not the ids. ``keep`` names the columns of the result besides
+    ``into`` (default: all). Nulls, empty texts and columns are treated as in ``encode``.
+    """
+    others = [c for c in (docs.columns if keep is None else keep) if c.lower() != into.lower()]
+    own = [f"_{i}" for i in range(len(others))]
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+
+        def words() -> Iterator[pa.Array]:
+            for batch in batches:
+                waiting.append(batch)
+                yield batch.column(len(own))
+
+        for found in _numbered(words(), kept):
+            yield pa.RecordBatch.from_arrays([*waiting.pop().columns[: len(own)], *found.flatten()], [*own, *found.type.names])
+
+    def laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+
+        def found() -> Iterator[tuple[pa.Array, ...]]:
+            for batch in batches:
+                waiting.append(batch)
+                yield tuple(batch.columns[len(own) :])
+
+        for ids in _laid_out(found()):
+            yield pa.RecordBatch.from_arrays([*waiting.pop().columns[: len(own)], ids], [*own, "ids"])
+
+    named = docs.select(*(col(docs, c).alias(n) for c, n in zip(others, own, strict=True)), vocabulary.words(col(docs, text_col)).alias("words"))
+    types = named.schema.fields[: len(own)]
+    schema = StructType([*types]).add("numbers", ArrayType(IntegerType())).add("fresh", ArrayType(StringType())).add("seen", IntegerType())
+    rows = named.mapInArrow(numbered, schema)
+    folded = vocabulary.bound(lambda fold: F.transform("fresh", fold))
+    rows = rows.select(*own, "numbers", folded.alias("folded"), "seen")
+    rows = rows.mapInArrow(laid_out, StructType([*types]).add("ids", ArrayType(IntegerType())))
+    return rows.select(*(F.col(n).alias(c) for c, n in zip(others, own, strict=True)), F.col("ids").alias(into))
+
+
+def packed_ids(ids: Column) -> Column:
+    """``Vocabulary.packed`` in Arrow batches: ids as unsigned 32-bit numbers, lowest byte first."""
+
+    @F.arrow_udf("binary")
+    def packed(ids: pa.Array) -> pa.Array:
+        ends = np.cumsum(np.concatenate([[0], ids.value_lengths().to_numpy(zero_copy_only=False)])) * 4
+        numbers = ids.flatten().to_numpy().astype("<u4")
+        return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(numbers)])
+
+    return packed(ids)

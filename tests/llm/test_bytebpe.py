@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -56,6 +57,47 @@ def test_ids_are_those_of_the_library(spark, vocabulary, known):
     assert ids_of(spark, vocabulary, TEXTS, most=2) == expected
 
 
+def ids_by_task(spark, vocabulary, texts, kept=bytebpe.KEPT, parts=1):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartitionByRange(parts, "doc_id")
+    found = bytebpe.encode_by_task(df, vocabulary, kept=kept).withColumn("p", bytebpe.packed_ids(F.col("ids")))
+    rows = found.select("doc_id", "ids", "p", vocabulary.decode(F.col("ids")).alias("d")).collect()
+    for r in rows:
+        assert bytes(r.d) == (texts[r.doc_id] or "").encode()
+        assert bytes(r.p) == np.array(r.ids, "<u4").tobytes()
+    return [r.ids for r in sorted(rows)]
+
+
+@pytest.mark.parametrize(("kept", "parts", "batch"), [(bytebpe.KEPT, 1, 10_000), (40, 2, 7), (0, 1, 3), (bytebpe.KEPT, 3, 1)])
+def test_words_of_a_task_are_folded_once(spark, vocabulary, known, kept, parts, batch):
+    """Also where a task forgets its words between batches, and where a batch has empty texts alone."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices("aesthingeroué字1 -\n", k=rng.randint(1, 9))) for _ in range(60)]
+    texts = TEXTS + ["", None, "", " ".join(words)]
+    texts += [" ".join(rng.choices(words, k=rng.randint(0, 20))) for _ in range(60)] + ["", None, "", ""] * 4 + TEXTS
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        assert ids_by_task(spark, vocabulary, texts, kept, parts) == [known.encode_ordinary(t or "") for t in texts]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_rows_in_another_order_are_refused():
+    ids = pa.array([[0], [0]], pa.list_(pa.int32()))
+    folded = pa.array([[chr(bytebpe.FIRST + 7)], []], pa.list_(pa.string()))
+    assert next(bytebpe._laid_out(iter([(ids, folded, pa.array([0, 1], pa.int32()))]))).to_pylist() == [[7], [7]]
+    with pytest.raises(RuntimeError, match="another order"):
+        next(bytebpe._laid_out(iter([(ids, folded, pa.array([3, 1], pa.int32()))])))
+
+
+def test_columns_and_empty_tables_by_task(spark, vocabulary):
+    df = spark.createDataFrame([("a b", 1, "x", 2.0, 3, 4)], "text string, IDS int, words string, `n.m` double, w int, _0 int")
+    found = bytebpe.encode_by_task(df, vocabulary)
+    assert found.columns == ["text", "words", "n.m", "w", "_0", "ids"]
+    assert found.first()[:5] == ("a b", "x", 2.0, 3, 4) and len(found.first()["ids"]) == 2
+    assert bytebpe.encode_by_task(df.limit(0), vocabulary).count() == 0
+    assert bytebpe.encode_by_task(df.union(df), vocabulary).where("w = 3").count() == 2
+
+
 def test_random_words(spark, vocabulary, known):
     rng = random.Random(5)
     letters = ["a", "e", "s", "t", "th", "ing", "er", "é", "字", " ", "\n", "1", "-"]
