@@ -16,15 +16,15 @@ from __future__ import annotations
 import base64
 import json
 import re
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructType
 
 from tallyframe.llm.common import col, stored
 
@@ -35,9 +35,9 @@ FREQUENT, FREQUENT_BYTES = 1 << 17, 64
 #: Distinct words that a task keeps in mind; it forgets them all before a batch that could exceed this.
 KEPT = 1 << 20
 #: Words of a batch that are laid out at a time.
-LAID = 1 << 20
+LAID = 1 << 18
 #: Entries of a literal map that are found by one hash.
-ENTRIES = 8
+ENTRIES = 2
 #: The character that stands for id 0; those above it are no surrogates.
 FIRST = 0x10000
 LATIN = "".join(map(chr, range(256)))
@@ -83,10 +83,10 @@ class Table:
     @staticmethod
     def of(entries: dict[str, object], kind: str) -> Table:
         """A table that becomes one literal when the plan is made."""
-        buckets = max(1, len(entries) // ENTRIES)
+        buckets = 1 << (len(entries) // ENTRIES).bit_length()
         dealt: list[dict[str, object]] = [{} for _ in range(buckets)]
         for key, value in entries.items():
-            dealt[zlib.crc32(key.encode()) % buckets][key] = value
+            dealt[xxhash.xxh64_intdigest(key.encode(), seed=42) & (buckets - 1)][key] = value
         return Table(F.from_json(F.lit(json.dumps(dealt, separators=(",", ":"))), f"array<map<string,{kind}>>"), buckets)
 
     def bound(self, body: Callable[[Table], Column]) -> Column:
@@ -95,7 +95,7 @@ class Table:
 
     def get(self, key: Column) -> Column:
         """The value at ``key``, or null."""
-        at = (F.crc32(key.cast("binary")) % self.buckets).cast("int")
+        at = F.xxhash64(key).bitwiseAND(F.lit(self.buckets - 1)).cast("int")
         return F.try_element_at(F.get(self.maps, at), key)
 
 
@@ -128,6 +128,7 @@ class Vocabulary:
         self.merged = literal([chr(FIRST + i) for i in range(size)])
         self.single = "".join(chr(FIRST + ranks[bytes([b])]) for b in range(256))
         self.pieces = literal(pieces)
+        self.binary = pa.array([None if piece is None else bytes.fromhex(piece) for piece in pieces], pa.binary())
         self.digits = literal([i.to_bytes(4, "little").hex() for i in range(size)])
 
     def words(self, text: Column) -> Column:
@@ -288,6 +289,21 @@ def _laid_out(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterato
         yield pa.ListArray.from_arrays(upto.astype(np.int32), np.concatenate(out) if out else np.zeros(0, np.int32))
 
 
+def _as_bytes(ids: pa.Array, pieces: pa.Array) -> pa.Array:
+    """Of lists of ids: how many, the packed numbers, and the joined pieces."""
+    counts = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, numbers = np.concatenate([[0], np.cumsum(counts)]), ids.flatten()
+    found = pieces.take(numbers)
+    at = np.frombuffer(found.buffers()[1], np.int32)[: len(found) + 1] if len(found) else np.zeros(1, np.int32)
+
+    def binary(ends: np.ndarray, data: pa.Buffer) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int32)), data])
+
+    joined = found.buffers()[2] if len(found) else pa.py_buffer(b"")
+    packed = binary(ends * 4, pa.py_buffer(numbers.to_numpy().astype("<u4")))
+    return pa.StructArray.from_arrays([pa.array(counts), packed, binary(at[ends], joined)], ["n", "packed", "decoded"])
+
+
 def encode_by_task(
     docs: DataFrame,
     vocabulary: Vocabulary,
@@ -295,6 +311,7 @@ def encode_by_task(
     into: str = "ids",
     kept: int = KEPT,
     keep: list[str] | None = None,
+    form: str = "ids",
 ) -> DataFrame:
     """What ``encode`` gives, with every distinct word of a task folded once instead of once per occurrence.
 
@@ -303,7 +320,13 @@ def encode_by_task(
     shuffled or broadcast but the vocabulary. ``kept`` bounds the words that a task keeps in mind beyond one batch;
     it changes the cost and not the ids. ``keep`` names the columns of the result besides
     ``into`` (default: all). Nulls, empty texts and columns are treated as in ``encode``.
+
+    ``form="ids"`` gives an array of ids. ``form="bytes"`` gives a struct: ``n`` ids, ``packed`` as
+    unsigned 32-bit numbers with the lowest byte first, and ``decoded``, the pieces of these ids joined.
     """
+    if form not in ("ids", "bytes"):
+        raise ValueError(f"unknown form {form!r}")
+    pieces = vocabulary.binary
     others = [c for c in (docs.columns if keep is None else keep) if c.lower() != into.lower()]
     own = [f"_{i}" for i in range(len(others))]
 
@@ -327,7 +350,8 @@ def encode_by_task(
                 yield tuple(batch.columns[len(own) :])
 
         for ids in _laid_out(found()):
-            yield pa.RecordBatch.from_arrays([*waiting.pop().columns[: len(own)], ids], [*own, "ids"])
+            made = ids if form == "ids" else _as_bytes(ids, pieces)
+            yield pa.RecordBatch.from_arrays([*waiting.pop().columns[: len(own)], made], [*own, "ids"])
 
     named = docs.select(*(col(docs, c).alias(n) for c, n in zip(others, own, strict=True)), vocabulary.words(col(docs, text_col)).alias("words"))
     types = named.schema.fields[: len(own)]
@@ -335,17 +359,6 @@ def encode_by_task(
     rows = named.mapInArrow(numbered, schema)
     folded = vocabulary.bound(lambda fold: F.transform("fresh", fold))
     rows = rows.select(*own, "numbers", folded.alias("folded"), "seen")
-    rows = rows.mapInArrow(laid_out, StructType([*types]).add("ids", ArrayType(IntegerType())))
+    bytes_type = StructType().add("n", LongType()).add("packed", BinaryType()).add("decoded", BinaryType())
+    rows = rows.mapInArrow(laid_out, StructType([*types]).add("ids", ArrayType(IntegerType()) if form == "ids" else bytes_type))
     return rows.select(*(F.col(n).alias(c) for c, n in zip(others, own, strict=True)), F.col("ids").alias(into))
-
-
-def packed_ids(ids: Column) -> Column:
-    """``Vocabulary.packed`` in Arrow batches: ids as unsigned 32-bit numbers, lowest byte first."""
-
-    @F.arrow_udf("binary")
-    def packed(ids: pa.Array) -> pa.Array:
-        ends = np.cumsum(np.concatenate([[0], ids.value_lengths().to_numpy(zero_copy_only=False)])) * 4
-        numbers = ids.flatten().to_numpy().astype("<u4")
-        return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(numbers)])
-
-    return packed(ids)

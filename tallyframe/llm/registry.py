@@ -258,12 +258,13 @@ def op12_byte_bpe(spark, d):
 
     ranks = bytebpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     vocabulary = bytebpe.Vocabulary(ranks, public_tokenizers.PATTERN)
-    encoded = bytebpe.encode_by_task(table(spark, d, "documents").select("doc_id", "text"), vocabulary, keep=["doc_id"])
+    documents = table(spark, d, "documents").select("doc_id", "text")
+    encoded = bytebpe.encode_by_task(documents, vocabulary, keep=["doc_id"], form="bytes")
     return encoded.select(
         "doc_id",
-        F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(bytebpe.packed_ids(F.col("ids")), 256).alias("ids_sha256"),
-        F.sha2(vocabulary.decode(F.col("ids")), 256).alias("decoded_sha256"),
+        F.col("ids.n").alias("n_tokens"),
+        F.sha2("ids.packed", 256).alias("ids_sha256"),
+        F.sha2("ids.decoded", 256).alias("decoded_sha256"),
     )
 
 

@@ -59,11 +59,13 @@ def test_ids_are_those_of_the_library(spark, vocabulary, known):
 
 def ids_by_task(spark, vocabulary, texts, kept=bytebpe.KEPT, parts=1):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartitionByRange(parts, "doc_id")
-    found = bytebpe.encode_by_task(df, vocabulary, kept=kept).withColumn("p", bytebpe.packed_ids(F.col("ids")))
-    rows = found.select("doc_id", "ids", "p", vocabulary.decode(F.col("ids")).alias("d")).collect()
-    for r in rows:
-        assert bytes(r.d) == (texts[r.doc_id] or "").encode()
-        assert bytes(r.p) == np.array(r.ids, "<u4").tobytes()
+    found = bytebpe.encode_by_task(df, vocabulary, kept=kept)
+    for r in bytebpe.encode_by_task(df, vocabulary, kept=kept, form="bytes").select("doc_id", "ids.*").collect():
+        assert bytes(r.decoded) == (texts[r.doc_id] or "").encode() and len(r.packed) == 4 * r.n
+    both = found.select("doc_id", "ids", vocabulary.packed(F.col("ids")).alias("p"))
+    same = bytebpe.encode_by_task(df, vocabulary, kept=kept, form="bytes").select("doc_id", "ids.packed").join(both, "doc_id")
+    rows = same.where("p = packed").select("doc_id", "ids").collect()
+    assert len(rows) == len(texts)
     return [r.ids for r in sorted(rows)]
 
 
