@@ -8,6 +8,7 @@ kept if it is more likely good than not.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -23,9 +24,16 @@ from tallyframe.llm.common import col, stored
 BLANK = " \t\n\x0b\x0c\r"
 # Fixed value: the characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
+# What ends a sentence or a quotation, by script: Latin, Greek and Hebrew, Armenian, Arabic, Urdu,
+# Indic, Thai, Burmese, Tibetan, Khmer, Ethiopic, Chinese and Japanese.
+ENDS = ".!?:\"'" + "…”’»" + "·;׃" + "։" + "؟" + "۔" + "।॥" + "ฯ๚๛" + "၊။" + "།༎" + "។៕" + "።፧" + "。！？：．｡」』"
+# Scripts without blanks between words: Thai and Lao, Tibetan, Burmese, Khmer, kana, Han and their extensions.
+UNSPACED = re.compile(
+    "[฀-໿ༀ-࿿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]+"
+)
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-FURTHER = ("n_lines", "n_distinct", "n_upper", "n_lettered", "n_ended")
+FURTHER = ("n_lines", "n_distinct", "n_upper", "n_lettered", "n_ended", "n_unspaced")
 
 
 def measure(text: str) -> tuple[int, ...]:
@@ -33,8 +41,9 @@ def measure(text: str) -> tuple[int, ...]:
 
     ``n_repeat_words`` counts the words in three-word windows that the text has
     more than once. ``n_upper`` and ``n_lettered`` count distinct words in
-    capitals and with a letter; ``n_lines`` lines with a word, ``n_ended``
-    those that end a sentence.
+    capitals and with a letter of any script; ``n_lines`` lines with a word, ``n_ended``
+    those that end a sentence; ``n_unspaced`` the code points of scripts written
+    without blanks between words.
     """
     words = text.translate(_TO_SPACE).split(" ") if any(c in text for c in _ODD_SPACE) else None
     words = [w for w in words if w] if words is not None else text.split()
@@ -42,12 +51,14 @@ def measure(text: str) -> tuple[int, ...]:
     word_chars = len(text) - sum(map(text.count, BLANK))
     symbols = sum(map(text.count, SYMBOLS))
     lines = [s for s in text.split("\n") if s.strip(BLANK)]
-    ended = sum(s.rstrip(BLANK)[-1] in ".!?:\"'" for s in lines)
+    ended = sum(s.rstrip(BLANK)[-1] in ENDS for s in lines)
     numbers: dict[str, int] = {}
     ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), "int64", n)
     upper = sum(map(str.isupper, numbers))
-    lettered = sum(w.upper() != w.lower() for w in numbers)
-    return n, word_chars, symbols, len(lines) - len(set(lines)), _repeated(ids, len(numbers)), len(lines), len(numbers), upper, lettered, ended
+    lettered = sum(w.isalpha() or any(map(str.isalpha, w)) for w in numbers)
+    unspaced = 0 if text.isascii() else sum(map(len, UNSPACED.findall(text)))
+    further = len(lines), len(numbers), upper, lettered, ended, unspaced
+    return n, word_chars, symbols, len(lines) - len(set(lines)), _repeated(ids, len(numbers)), *further
 
 
 # Fixed value: what Python's split takes for white space and the word pattern does not.
@@ -100,15 +111,20 @@ _same_lines, _same_words = _share("n_dup_lines", "n_lines"), _share("n_repeat_wo
 _capitals, _lettered, _ended = _share("n_upper", "n_distinct"), _share("n_lettered", "n_distinct"), _share("n_ended", "n_lines")
 
 
+def _spaced(m: pd.DataFrame) -> pd.Series:
+    """Whether blanks tell words apart, so that the length of words says something."""
+    return m["n_unspaced"] * 2 <= m["word_chars"]
+
+
 def _typical(m: pd.DataFrame) -> pd.Series:
     tidy = (m["n_words"] >= 50) & (_symbols(m) <= 0.1) & (_capitals(m) <= 0.2) & (_lettered(m) >= 0.8)
-    return tidy & _word_length(m).between(2.5, 13)
+    return tidy & (~_spaced(m) | _word_length(m).between(2.5, 13))
 
 
 # A defect votes bad and its absence says nothing; what prose has in common votes good.
 RULES = (
     Rule("too_short", bad=lambda m: m["n_words"] < 50),
-    Rule("odd_words", bad=lambda m: (_word_length(m) < 2) | (_word_length(m) > 15)),
+    Rule("odd_words", bad=lambda m: _spaced(m) & ~_word_length(m).between(2, 15)),
     Rule("symbols", bad=lambda m: _symbols(m) > 0.2),
     Rule("same_lines", bad=lambda m: _same_lines(m) > 0.3),
     Rule("same_words", bad=lambda m: _same_words(m) > 0.5),

@@ -42,6 +42,37 @@ def test_bad_documents_go_and_clean_ones_stay(spark):
     assert {i for i, r in found.items() if r.base_failed} == {*range(3000, 3020), *range(4000, 4020)}
 
 
+SCRIPTS = {
+    "arabic": ("ذهب الولد إلى المدرسة في الصباح الباكر وقرأ كتابا جديدا عن تاريخ المدينة القديمة", "؟"),
+    "hindi": ("वह सुबह जल्दी उठकर नदी के किनारे टहलने गया और वहाँ उसने अपने पुराने मित्र को देखा", "।"),
+    "korean": ("그는 아침 일찍 일어나 강가를 천천히 걸으며 오랜 친구에게 보낼 편지를 생각했다 그리고 웃었다", "."),
+    "chinese": ("他 早上 很早 起床 沿着 河边 散步 看见 了 多年 不见 的 老 朋友", "。"),
+    "chinese phrases": ("他早上很早就起床 沿着河边慢慢地散步，看见了多年不见的老朋友 想着要写一封信 天气很好 风从山上吹来 孩子们在桥上唱歌 "
+                        "卖花的人走过街角 远处传来钟声 他们坐在树下喝茶 谈起从前的事情 太阳慢慢升高 回家的路还很长", "。"),
+    "thai": ("เขาตื่นแต่เช้า เดินเล่นริมแม่น้ำ คิดถึงเพื่อนเก่า เขียนจดหมายถึงแม่ ฝนตกเบาๆ เด็กร้องเพลงบนสะพาน ลมพัดมาจากภูเขา "
+             "คนขายดอกไม้เดินผ่าน เสียงระฆังดังมา นั่งดื่มชาใต้ต้นไม้ พระอาทิตย์ขึ้นช้าๆ ทางกลับบ้านยังไกล", "ฯ"),
+    "greek": ("ξύπνησε νωρίς το πρωί και περπάτησε δίπλα στο ποτάμι με έναν παλιό φίλο", "."),
+    "cyrillic": ("он проснулся рано утром и пошёл вдоль тихой реки навстречу старому верному другу", "."),
+}
+
+
+def script_text(rng, name):
+    words, end = SCRIPTS[name]
+    return "\n".join(" ".join(rng.sample(words.split(), 10)) + end for _ in range(25))
+
+
+def test_prose_of_every_script_is_kept(spark):
+    rng = random.Random(5)
+    rows = corpus()
+    rows += [(10_000 + 100 * k + i, script_text(rng, name)) for k, name in enumerate(SCRIPTS) for i in range(10)]
+    # Words without letters, and signs among the words, are defects in every script.
+    rows += [(20_000 + i, "".join(rng.choice("١٢٣٤٥ \n") for _ in range(900))) for i in range(10)]
+    rows += [(21_000 + i, script_text(rng, "hindi").replace(" ", "$$ ")) for i in range(10)]
+    found = {r.doc_id for r in quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.kept}
+    wanted = {*range(200), *(10_000 + 100 * k + i for k in range(len(SCRIPTS)) for i in range(10))}
+    assert found == wanted
+
+
 def test_texts_of_any_kind(spark):
     rows = [(1, None), (1, ""), (None, "few words"), (2, "word " * 40_000), (2, "word " * 40_000), (3, "漢" * 100_000)]
     df = spark.createDataFrame([(i, t, None) for i, t in rows], "doc_id long, text string, posterior string")
