@@ -38,6 +38,8 @@ KEPT = 1 << 20
 LAID = 1 << 18
 #: Entries of a literal map that are found by one hash.
 ENTRIES = 2
+#: First bytes of a piece that tell which lengths to look up; three or more.
+BEGINNING = 4
 #: The character that stands for id 0; those above it are no surrogates.
 FIRST = 0x10000
 LATIN = "".join(map(chr, range(256)))
@@ -124,6 +126,12 @@ class Vocabulary:
                 merges[rank] = "".join(chr(FIRST + ranks[part]) for part in two_parts(piece, ranks))
         literal = lambda values: F.from_json(F.lit(json.dumps(values)), "array<string>")
         self.ranks = Table.of({piece.decode("latin-1"): rank for piece, rank in ranks.items() if len(piece) > 1}, "int")
+        lengths: dict[bytes, set[int]] = {}
+        for piece in ranks:
+            if len(piece) >= BEGINNING:
+                begun = (n for n in range(2, BEGINNING) if piece[:n] in ranks)
+                lengths.setdefault(piece[:BEGINNING], set()).update((len(piece), *begun))
+        self.lengths = Table.of({begin.decode("latin-1"): sorted(held) for begin, held in lengths.items()}, "array<int>")
         self.merges = literal(merges)
         self.merged = literal([chr(FIRST + i) for i in range(size)])
         self.single = "".join(chr(FIRST + ranks[bytes([b])]) for b in range(256))
@@ -137,15 +145,20 @@ class Vocabulary:
     def bound(self, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
         """``body`` of the function that folds a word, with the vocabulary in the plan only once.
 
-        All pieces that a word's bytes hold anywhere are looked up. Their
-        merges are folded over the word by rank; each takes, from the left, all places where
-        its two parts have come to stand side by side.
+        All pieces that a word's bytes hold anywhere are looked up, of the lengths that pieces with
+        the same first bytes have. Their merges are folded over the word by rank; each takes, from the
+        left, all places where its two parts have come to stand side by side.
         """
+        short = F.array(*map(F.lit, range(2, BEGINNING)))
+
+        def folded(word: Column, ranks: Table, lengths: Table, merges: Column, merged: Column) -> Column:
+            def pieces(window: Column) -> Column:
+                tried = F.coalesce(lengths.get(F.left(window, F.lit(BEGINNING))), short)
+                return F.transform(F.filter(tried, lambda n: n <= F.length(window)), lambda n: ranks.get(F.left(window, n)))
 
-        def folded(word: Column, ranks: Table, merges: Column, merged: Column) -> Column:
             def ids(read: Column) -> Column:
                 windows = F.regexp_extract_all(read, F.lit(f"(?s)(?=(.{{2,{self.longest}}}))"), F.lit(1))
-                held = F.transform(windows, lambda w: F.transform(F.sequence(F.lit(2), F.length(w)), lambda n: ranks.get(F.left(w, n))))
+                held = F.transform(windows, pieces)
                 order = F.sort_array(F.array_distinct(F.array_compact(F.flatten(held))))
                 start = F.translate(read, LATIN, self.single)
                 return F.aggregate(order, start, lambda s, r: F.replace(s, F.get(merges, r), F.get(merged, r)))
@@ -153,9 +166,11 @@ class Vocabulary:
             return _let(F.decode(word.cast("binary"), "ISO-8859-1"), ids)
 
         return self.ranks.bound(
-            lambda ranks: _let(
-                F.struct(self.merges.alias("two"), self.merged.alias("one")),
-                lambda m: body(lambda word: folded(word, ranks, m["two"], m["one"])),
+            lambda ranks: self.lengths.bound(
+                lambda lengths: _let(
+                    F.struct(self.merges.alias("two"), self.merged.alias("one")),
+                    lambda m: body(lambda word: folded(word, ranks, lengths, m["two"], m["one"])),
+                )
             )
         )
 
