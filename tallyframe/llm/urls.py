@@ -29,16 +29,20 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)", 1)
 
 
-def _keys(host: Column, path: Column) -> Column:
-    """Every pattern that covers a URL: its host's suffixes, and its host with each leading part of the path."""
+def _keys(host: Column, path: Column, depths: list[int]) -> Column:
+    """Every pattern that may cover a URL: its host's suffixes, and its host with the first parts of the path.
+
+    ``depths`` are the numbers of path parts that any pattern has; no other beginnings are built.
+    """
     labels = F.split(host, "\\.")
     domains = F.transform(
         F.sequence(F.lit(1), F.size(labels)),
         lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("pattern")),
     )
-    parts = F.filter(F.split(path, "/"), lambda p: p != "")
+    parts = F.slice(F.filter(F.split(path, "/"), lambda p: p != ""), 1, max(depths, default=0))
+    built = F.filter(F.array(*map(F.lit, depths)).cast("array<int>"), lambda n: n <= F.size(parts))
     prefixes = F.transform(
-        F.when(F.size(parts) > 0, F.sequence(F.lit(1), F.size(parts))).otherwise(F.array().cast("array<int>")),
+        built,
         lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")).alias("pattern")),
     )
     return F.when(host != "", F.concat(domains, prefixes))
@@ -76,7 +80,10 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", f
     Equal URLs of one day are judged once. Intervals are cut by month and
     joined on pattern and month, so one capture meets at most the 31 intervals
     of a pattern and month however often the pattern changed; the join is one
-    that adaptive execution may split where a host is hot.
+    that adaptive execution may split where a host is hot. Of a path only the
+    beginnings with as many parts as some pattern has are built, so a URL of very
+    many parts costs no more than its length times the few depths of the list; the
+    distinct depths, numbers below the parts of the longest pattern, reach the driver.
     """
     added = ("verdict", "decided_by", "n_active")
     names = [c for c in captures.columns if c.lower() not in added]
@@ -85,10 +92,12 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", f
     rows = rows.withColumn("_day", fetched.cast("date"))
     targets = rows.select(url.alias("u"), F.col("_day").alias("day")).where("u is not null and day is not null").distinct()
     first, last = targets.agg(F.min("day"), F.max("day")).first()
+    held = validity(entries)
+    depth = F.size(F.split("pattern", "/")) - 1
+    depths = sorted(r["n"] for r in held.where("kind = 'prefix'").select(depth.alias("n")).where("n > 0").distinct().collect())
 
-    keyed = targets.withColumn("key", F.explode(_keys(host_of(F.col("u")), path_of(F.col("u")))))
+    keyed = targets.withColumn("key", F.explode(_keys(host_of(F.col("u")), path_of(F.col("u")), depths)))
     keyed = keyed.select("u", "day", F.col("key.kind").alias("kind"), F.col("key.pattern").alias("pattern"), F.trunc("day", "month").alias("month"))
-    held = validity(entries)
     begin = F.greatest("valid_from", F.lit(first).cast(T.DateType()))
     end = F.least(F.coalesce(F.date_sub("valid_to", 1), F.lit(last).cast(T.DateType())), F.lit(last).cast(T.DateType()))
     months = F.when(begin <= end, F.sequence(F.trunc(begin, "month"), F.trunc(end, "month"), F.expr("interval 1 month")))

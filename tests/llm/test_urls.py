@@ -56,6 +56,17 @@ def test_empty_tables(spark):
     assert {(r.verdict, r.n_active) for r in urls.filter_urls(captures(spark, CASES), none).collect()} == {("allow", 0)}
 
 
+def test_very_long_paths(spark):
+    deep = "b.spam.com/" + "/".join("q" * 40)
+    entries = spark.createDataFrame([*ENTRIES, ("prefix", deep, "allow", date(2024, 1, 1))], SCHEMA)
+    long = "p/" * 400_000
+    cases = [(f"http://b.spam.com/{long}", datetime(2024, 2, 1)), (f"http://a.spam.com/good/{long}", datetime(2024, 1, 15))]
+    cases += [(f"http://{deep}/{long}", datetime(2024, 2, 1)), (f"http://{deep[:-2]}", datetime(2024, 2, 1))]
+    got = sorted(urls.filter_urls(captures(spark, cases * 50), entries).select("page_id", "decided_by", "n_active").collect())
+    wanted = [("spam.com", 1), ("a.spam.com/good", 2), (deep, 2), ("spam.com", 1)]
+    assert [tuple(r)[1:] for r in got] == wanted * 50
+
+
 def test_intervals(spark):
     held = urls.validity(spark.createDataFrame(ENTRIES[:3], SCHEMA)).orderBy("valid_from").collect()
     assert [(r.valid_from, r.valid_to) for r in held] == [(date(2024, 1, 10), date(2024, 3, 1)), (date(2024, 5, 1), None)]
