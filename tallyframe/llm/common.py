@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.operators.skew import join_splitting_hot_keys
 from tallyframe.session import scratch_path
 
 # A word is a run of anything but ASCII white space.
@@ -44,8 +45,8 @@ def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> Data
     ``nodes`` has ``node`` (long, distinct), ``links`` has ``a`` and ``b``; the
     result is one row per node with ``component``, the smallest node reachable.
     Every round shuffles the links with algebraic minima only, so a node with
-    very many links is reduced on the map side and its join is one that
-    adaptive execution may split. Each round is stored; only two numbers per
+    very many links is reduced on the map side, and its links meet the minimum in a
+    join whose both sides are shuffled, which adaptive execution splits. Each round is stored; only two numbers per
     round reach the driver.
     """
     edges = stored(
@@ -78,14 +79,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node with the smallest of its neighbours and itself."""
     both = edges.select("v", "m").union(edges.select(F.col("m").alias("v"), F.col("v").alias("m")))
     least = both.groupBy("v").agg(F.min("m").alias("low"))
-    least = least.select(F.col("v").alias("u"), F.least("v", "low").alias("low"))
-    joined = both.where("m > v").join(least, F.col("v") == F.col("u"))
+    least = least.select("v", F.least("v", "low").alias("low"))
+    joined = join_splitting_hot_keys(both.where("m > v"), least, "v")
     return joined.select(F.col("m").alias("v"), F.col("low").alias("m")).where("v <> m").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link every smaller neighbour of a node, and the node, with the smallest of them."""
-    least = edges.groupBy("v").agg(F.min("m").alias("low")).select(F.col("v").alias("u"), "low")
-    joined = edges.join(least, F.col("v") == F.col("u"))
+    least = edges.groupBy("v").agg(F.min("m").alias("low"))
+    joined = join_splitting_hot_keys(edges, least, "v")
     moved = joined.select(F.explode(F.array("m", "v")).alias("v"), F.col("low").alias("m"))
     return moved.where("v <> m").distinct()

@@ -2,9 +2,10 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
-from tallyframe.llm import simhash
+from tallyframe.llm import common, simhash
 
 
 def reference(text):
@@ -185,3 +186,26 @@ def test_pairs_right_at_the_similarity_are_found_and_no_others(spark):
     for r in simhash.near_copy_groups(df).collect():
         groups.setdefault(r.group, []).append(r.doc_id)
     assert {tuple(sorted(g)) for g in groups.values()} == want
+
+
+@pytest.mark.parametrize("star, hub", [(common._large_star, "0L as m, id as v"), (common._small_star, "id * 0 + 60000 as v, id as m")])
+def test_links_of_a_hub_are_split(spark, star, hub):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        found = star(common.stored(spark.range(1, 60_000).selectExpr(*hub.split(", ")).select("v", "m"), "hub"))
+        rows = found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan, plan
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    low = 0 if star is common._large_star else 1
+    assert {tuple(r) for r in rows} == {(i, low) for i in [*range(1, 60_000), *([60_000] if low else [])] if i != low}
