@@ -12,10 +12,13 @@ as soon as the accumulated differences exceed the bound.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,6 +104,13 @@ class GrayTree:
             query, node, differ = query[near], node[near], differ[near]
             if depth == 0:
                 return query, node
+            if depth == 1:
+                leaves = np.resize(self.codes, len(self.levels[1][0]) * FANOUT).reshape(-1, FANOUT)
+                near = np.bitwise_count(queries[query][:, None] ^ leaves[node]) <= most
+                at, leaf = np.nonzero(near)
+                leaf += node[at] * FANOUT
+                real = leaf < len(self.codes)
+                return query[at[real]], leaf[real]
             above = self.levels[depth][0]
             masks, patterns = self.levels[depth - 1]
             child = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
@@ -135,16 +145,22 @@ class _Labels:
         return np.flatnonzero(self.of != np.arange(len(self.of)))
 
 
-def linked(codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the components of distinct codes with at most ``most`` differing bits."""
-    tree = GrayTree(codes)
-    n = len(codes)
+def _joined(tree: GrayTree, most: int) -> _Labels:
+    """The components of a tree's codes with at most ``most`` differing bits."""
+    n = len(tree.codes)
     labels = _Labels(n)
     step = max(1, FRONTIER // (n + FANOUT))
     for start in range(0, n, step):
         a, b = tree.within(tree.codes[start : start + step], most)
         a = a + start
         labels.join(a[a < b], b[a < b])
+    return labels
+
+
+def linked(codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the components of distinct codes with at most ``most`` differing bits."""
+    tree = GrayTree(codes)
+    labels = _joined(tree, most)
     moved = labels.moved()
     return tree.codes[moved], tree.codes[labels.of[moved]]
 
@@ -235,38 +251,57 @@ def simhash_groups(docs: DataFrame, most: int = 2, id_col: str = "doc_id", text_
     return coded.join(named, F.col("code") == F.col("k")).select("doc_id", "code", "component", "component_id")
 
 
+#: Bits of a fingerprint that are compared in whole before the shingles are.
 SKETCH = 512
-_SEEDS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) for k in range(SKETCH // 64)], "uint64")
+#: How likely a pair of exactly the wanted similarity is in no table of the index.
+MISSED = 1e-6
+#: The chance that such a pair shares the pattern of a table, the longest pattern,
+#: and the chance that the bits below it stay within the bound.
+SHARE, LONGEST, KEPT = 1 / 12, 14, 0.85
+#: Up to so many shingles, bits differ more than their angle says; such a text is in twice as many tables.
+FEW = 5
+#: Rows of the index that a task searches at a time, and nodes whose rows it makes at a time.
+ROWS, NODES = 1 << 17, 1 << 10
 
 
-def _majority(hashes: np.ndarray) -> np.ndarray:
-    """The majority bits over the rows of hashes, as unsigned longs."""
-    counts = np.zeros(64 * hashes.shape[1], "int64")
-    for i in range(0, len(hashes), 1 << 12):
-        block = np.ascontiguousarray(hashes[i : i + (1 << 12)])
-        counts += np.unpackbits(block.view("uint8"), axis=1, bitorder="little").sum(axis=0, dtype="int64")
-    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("uint64")
+def _bands(agree: float) -> tuple[int, int]:
+    """How many tables with patterns of how many bits leave a pair whose bits agree with this chance apart with one of ``MISSED`` at most."""
+    if agree >= 1:
+        return 1, LONGEST
+    rows = max(1, min(LONGEST, round(np.log(SHARE) / np.log(agree))))
+    return int(np.ceil(np.log(MISSED) / np.log1p(-KEPT * agree**rows))), rows
 
 
-#: How likely a pair of exactly the wanted similarity shares no band.
-MISSED = 1e-6
+@lru_cache
+def _tables(similarity: float) -> tuple[int, int, int]:
+    """The tables of the index, the bits of their patterns, and the bits that may differ below a pattern.
+
+    The cosine is least for two sets of one size; a few shingles differ in up
+    to one bit in fourteen more than their angle says.
+    """
+    apart = 15 / 14 * float(np.arccos(min(1.0, 2 * similarity / (1 + similarity)))) / np.pi
+    tables, length = _bands(1 - apart)
+    below = 64 - length
+    chances = np.cumsum([comb(below, k) * apart**k * (1 - apart) ** (below - k) for k in range(below + 1)])
+    return tables, length, int(np.argmax(chances >= KEPT))
+
 
+def _words(similarity: float) -> int:
+    """The longs of a long fingerprint, which hold every table; that of a few shingles has twice as many."""
+    tables, length, _ = _tables(similarity)
+    return max(SKETCH, 64 * (-(-length * (tables - 1) // 64) + 1)) // 64
 
-def _bands(similarity: float) -> tuple[int, int]:
-    """How many bands of how many minima leave a pair of the similarity apart with a chance of ``MISSED`` at most."""
-    if similarity >= 1:
-        return 1, 1
-    rows = max(1, round(np.log(1 / 3) / np.log(similarity)))
-    return int(np.ceil(np.log(MISSED) / np.log1p(-(similarity**rows)))), rows
 
+_SEEDS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) for k in range(256)], "uint64")
 
-def _word_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words, in order, and of the distinct ones."""
+
+def _word_hashes(text: str) -> np.ndarray:
+    """The hashes of all words, in order."""
     words = text.encode().lower().split()
     distinct = set(words)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, distinct), "uint64", len(distinct))
-    known = dict(zip(distinct, hashes.tolist(), strict=True))
-    return np.fromiter(map(known.__getitem__, words), "uint64", len(words)), hashes
+    hashes = map(xxhash.xxh64_intdigest, distinct)
+    known = dict(zip(distinct, hashes, strict=True))
+    return np.fromiter(map(known.__getitem__, words), "uint64", len(words))
 
 
 def _shingles(each: np.ndarray, size: int) -> np.ndarray:
@@ -278,44 +313,60 @@ def _shingles(each: np.ndarray, size: int) -> np.ndarray:
     return np.unique(found)
 
 
-def _minima(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """A hash of each band of ``rows`` smallest values, each value under a hash function of its own."""
-    rng = np.random.default_rng(SEED)
-    turn, times = rng.integers(0, 1 << 64, (2, bands * rows), dtype="uint64")
-    least = np.full(bands * rows, np.uint64(0xFFFFFFFFFFFFFFFF))
-    mixed = (shingles ^ (shingles >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    mixed ^= mixed >> np.uint64(32)
-    for i in range(0, len(mixed), 1 << 10):
-        block = (mixed[i : i + (1 << 10), None] ^ turn) * (times | np.uint64(1))
-        least = np.minimum(least, block.min(axis=0))
-    parts = least.reshape(bands, rows)
-    return np.fromiter((xxhash.xxh64_intdigest(part.tobytes(), k) for k, part in enumerate(parts)), "uint64", bands)
+def _long_fingerprint(shingles: np.ndarray, similarity: float) -> np.ndarray:
+    """The SimHash of a set of shingles with as many bits as its tables need, as unsigned longs."""
+    seeds = _SEEDS[: _words(similarity) * (2 if len(shingles) <= FEW else 1)]
+    counts = np.zeros(64 * len(seeds), "int64")
+    for i in range(0, len(shingles), 255):
+        mixed = shingles[i : i + 255, None] * seeds
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+        counts += np.unpackbits(mixed.view("uint8"), axis=1, bitorder="little").sum(axis=0, dtype="uint8")
+    return np.packbits(counts * 2 > len(shingles), bitorder="little").view("uint64")
+
+
+def _table_codes(bits: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of a matrix of long fingerprints the pattern and the code in every table.
+
+    The code of a table is 64 bits in a row; its first bits, which no other
+    table begins with, are the pattern, and the number of the table is in it.
+    """
+    tables, length, _ = _tables(similarity)
+    tables *= 2 if bits.shape[1] > _words(similarity) else 1
+    start = np.arange(tables, dtype="uint64") * np.uint64(length)
+    word, shift = (start // np.uint64(64)).astype("int64"), start % np.uint64(64)
+    after = np.minimum(word + 1, bits.shape[1] - 1)
+    codes = (bits[:, word] >> shift) | (bits[:, after] << np.uint64(1)) << (np.uint64(63) - shift)
+    number = np.arange(len(start), dtype="uint64") << np.uint64(length)
+    return (number | codes & np.uint64((1 << length) - 1)).view("int64"), codes
 
 
 def sketch(text: str, size: int = 5, similarity: float = 0.8) -> tuple[int, bytes, bytes, list[int]]:
-    """The SimHash of the distinct words, and what stands for the set of word shingles.
+    """The SimHash of the set of word shingles, and what else stands for that set.
 
-    That is a SimHash of ``SKETCH`` bits, a digest of the whole set, and the
-    bands of minima, none for a text without a word.
+    That is its first 64 bits, all bits, a digest of the whole set, and the
+    patterns of the tables of the index, none for a text without a word.
     """
-    each, hashes = _word_hashes(text)
+    each = _word_hashes(text)
     if not len(each):
-        return 0, bytes(SKETCH // 8), b"", []
-    code = int(_majority(hashes[:, None])[0])
+        return 0, b"", b"", []
     shingles = _shingles(each, size)
-    mixed = shingles[:, None] * _SEEDS
-    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    bits = _majority(mixed ^ (mixed >> np.uint64(32))).tobytes()
-    bands = _minima(shingles, *_bands(similarity)).view("int64").tolist()
-    return code, bits, xxhash.xxh3_128_digest(shingles.tobytes()), bands
+    bits = _long_fingerprint(shingles, similarity)
+    patterns = _table_codes(bits[None, :], similarity)[0][0].tolist()
+    return int(bits[0]), bits.tobytes(), xxhash.xxh3_128_digest(shingles.tobytes()), patterns
 
 
-def _spanning(bits: np.ndarray, most: int, alike=None) -> tuple[np.ndarray, np.ndarray]:
+def _spanning(bits: np.ndarray, most: int, alike=None, known=None) -> tuple[np.ndarray, np.ndarray]:
     """Links that span the components of sketches within ``most`` bits that are ``alike``, a test of two numbers.
 
-    Pairs that are already connected are not compared.
+    Pairs that are already connected are not compared, nor those that are so by
+    their ``known`` components, of which one member each is linked.
     """
-    label = np.arange(len(bits))
+    first = np.arange(len(bits))
+    if known is not None:
+        _, at, of = np.unique(known, return_index=True, return_inverse=True)
+        first = at[of]
+    label = first.copy()
     for i in range(len(bits) - 1):
         rest = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
         if not len(rest):
@@ -327,7 +378,7 @@ def _spanning(bits: np.ndarray, most: int, alike=None) -> tuple[np.ndarray, np.n
             if label[j] != label[i] and (alike is None or alike(i, j)):
                 low, high = sorted((label[i], label[j]))
                 label[label == high] = low
-    moved = np.flatnonzero(label != np.arange(len(label)))
+    moved = np.flatnonzero((label != first) & (first == np.arange(len(label))))
     return moved, label[moved]
 
 
@@ -342,11 +393,16 @@ def _generous(similarity: float) -> int:
 
 
 def _by_group(batches: Iterator[pa.RecordBatch], links) -> Iterator[pa.RecordBatch]:
-    """The links ``a``, ``b`` of each run of rows with one first value; ``links`` gives numbers of its rows."""
+    """The links ``a``, ``b`` of each run of rows with one first value; ``links`` gives numbers of its rows.
+
+    Rows are in the order of their second value, so that runs that share most
+    rows link them with the same ones.
+    """
     held: list[tuple] = []
 
     def found() -> Iterator[pa.RecordBatch]:
         if len(held) > 1:
+            held.sort(key=lambda h: h[1])
             ids = np.array([h[1] for h in held])
             bits = np.frombuffer(b"".join(h[2] for h in held), "uint64").reshape(len(held), -1)
             a, b = links(held, bits)
@@ -362,11 +418,152 @@ def _by_group(batches: Iterator[pa.RecordBatch], links) -> Iterator[pa.RecordBat
     yield from found()
 
 
+def _crowded(nodes: DataFrame, similarity: float, tile: int) -> DataFrame:
+    """Patterns that more than ``tile`` nodes may share, and in how many tiles to deal them.
+
+    A pattern with more than ``tile`` nodes has more than its share in some
+    task, so only what a task sees that often is counted.
+    """
+    tables, length, _ = _tables(similarity)
+    every = max(1, nodes.count())
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, n = np.zeros(2 * tables << length, "int64"), 0
+        for batch in batches:
+            n += len(batch)
+            for patterns, _, _ in _rows(batch, similarity):
+                counts += np.bincount(patterns.ravel(), minlength=len(counts))
+        often = np.flatnonzero(counts * every > tile * n)
+        yield pa.RecordBatch.from_arrays([pa.array(often), pa.array(counts[often])], ["crowd", "n"])
+
+    found = nodes.select("sketch", "node").mapInArrow(counted, "crowd bigint, n bigint").groupBy("crowd").agg(F.sum("n").alias("n"))
+    return found.select("crowd", (F.ceil(F.col("n") / tile) + 1).cast("int").alias("tiles"))
+
+
+def _rows(batch: pa.RecordBatch, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Patterns and codes by node and table, and the nodes, from long fingerprints and nodes."""
+    sketches, nodes = batch.column(0), batch.column(1).to_numpy()
+    sizes = pc.binary_length(sketches).to_numpy(zero_copy_only=False)
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        chosen = np.flatnonzero(sizes == size)
+        for start in range(0, len(chosen), NODES):
+            at = chosen[start : start + NODES]
+            bits = np.frombuffer(b"".join(sketches.take(pa.array(at)).to_pylist()), "uint64").reshape(len(at), -1)
+            yield *_table_codes(bits, similarity), nodes[at]
+
+
+def _met(codes: np.ndarray, groups: np.ndarray, most: int) -> np.ndarray:
+    """The smallest row that each row is joined with, over codes of one group with at most ``most`` differing bits.
+
+    Rows of a group follow each other. Groups that one node of the tree holds
+    have no level to prune and are compared together.
+    """
+    starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+    sizes = np.diff(np.r_[starts, len(groups)])
+    links = []
+    for n in range(2, FANOUT + 1):
+        rows = starts[sizes == n][:, None] + np.arange(n)
+        i, j = np.triu_indices(n, 1)
+        at, pair = np.nonzero(np.bitwise_count(codes[rows[:, i]] ^ codes[rows[:, j]]) <= most)
+        links.append((rows[at, i[pair]], rows[at, j[pair]]))
+    for start, n in zip(starts[sizes > FANOUT].tolist(), sizes[sizes > FANOUT].tolist(), strict=True):
+        order = start + np.argsort(gray_rank(codes[start : start + n]), kind="stable")
+        labels = _joined(GrayTree(codes[order]), most)
+        moved = labels.moved()
+        links.append((order[moved], order[labels.of[moved]]))
+    every = _Labels(len(codes))
+    every.join(*(np.concatenate(side) for side in zip(*links, strict=True)))
+    return every.of
+
+
+def _candidates(nodes: DataFrame, similarity: float, tile: int) -> DataFrame:
+    """Nodes by ``bucket``: those that the Gray-order index connects in one of its tables.
+
+    ``nodes`` has the long fingerprint ``sketch`` and ``node``. Every table is
+    an index of its own over 64 of the bits: nodes meet under a pattern, and
+    below it the tree links codes within the bound. A bucket of the same nodes
+    is kept once, however many tables have it.
+    """
+    _, length, most = _tables(similarity)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for patterns, codes, ids in _rows(batch, similarity):
+                columns = [patterns.ravel(), codes.ravel().view("int64"), np.repeat(ids, patterns.shape[1])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["pattern", "code", "node"])
+
+    rows = nodes.select("sketch", "node").mapInArrow(spread, "pattern bigint, code bigint, node bigint")
+    crowded = stored(_crowded(nodes, similarity, tile), "crowded")
+    rows = rows.join(crowded, F.col("pattern") == F.col("crowd"), "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")).cast("int")
+    others = F.when(F.col("tiles") > 1, F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(F.lit(0)))
+    dealt = rows.select("pattern", "code", "node", "tiles", own.alias("own"), F.explode(others).alias("other"))
+    dealt = dealt.where("own <> other or tiles = 1")
+    pair = F.least("own", "other").cast("bigint") * F.col("tiles") + F.greatest("own", "other")
+    group = F.col("pattern") + F.shiftleft(pair, (_tables(similarity)[0] * 2 << length).bit_length())
+    parts = dealt.select(group.alias("grp"), "code", "node")
+    parts = parts.repartition(shuffle_partitions(nodes.sparkSession), "grp").sortWithinPartitions("grp")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(np.stack([c.to_numpy() for c in batch.columns], axis=1))
+            n += len(batch)
+            if n >= ROWS:
+                rows = np.concatenate(held)
+                cut = np.searchsorted(rows[:, 0], rows[-1, 0])
+                yield from found(rows[:cut])
+                held, n = [rows[cut:]], len(rows) - cut
+        if n:
+            yield from found(np.concatenate(held))
+
+    def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        low = _met(rows[:, 1].copy().view("uint64"), rows[:, 0], most)
+        joined = np.flatnonzero(np.bincount(low, minlength=len(low))[low] > 1)
+        if not len(joined):
+            return
+        joined = joined[np.lexsort((rows[joined, 2], low[joined]))]
+        starts = np.flatnonzero(np.diff(low[joined], prepend=-1))
+        members = np.split(rows[joined, 2], starts[1:])
+        buckets = np.array([xxhash.xxh64_intdigest(m.tobytes()) for m in members], "uint64").view("int64")
+        columns = [np.repeat(buckets, [len(m) for m in members]), rows[joined, 2]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "node"])
+
+    return parts.mapInArrow(search, "bucket bigint, node bigint").distinct()
+
+
 def _loose_links(members: DataFrame, similarity: float, tile: int) -> DataFrame:
-    """Links that span what the sketches of the nodes of a ``bucket`` do not rule out."""
+    """Links that span what the sketches of the nodes of a ``bucket`` do not rule out, but for what ``known`` connects."""
     most = _generous(similarity)
-    parts = _dealt(members.select("bucket", "node", "sketch"), "bucket", "node", tile)
-    return parts.mapInArrow(lambda rows: _by_group(rows, lambda held, bits: _spanning(bits, most)), "a bigint, b bigint")
+    parts = _dealt(members.select("bucket", "node", "sketch", "known"), "bucket", "node", tile)
+
+    def links(held: list[tuple], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _spanning(bits, most, known=np.array([h[3] for h in held]))
+
+    return parts.mapInArrow(lambda rows: _by_group(rows, links), "a bigint, b bigint")
+
+
+def _loose(nodes: DataFrame, buckets: DataFrame, similarity: float, tile: int) -> DataFrame:
+    """Links that connect exactly what the sketches of nodes of one ``bucket`` do not rule out.
+
+    Near copies meet in most tables, so a few of the buckets connect nearly
+    all of them; the others only add what is not connected by then.
+    """
+
+    def links(chosen: DataFrame, known: DataFrame) -> DataFrame:
+        """Links of the buckets that hold nodes of several known components."""
+        known = known.select(F.col("node").alias("k"), F.col("component").alias("known"))
+        held = chosen.join(known, F.col("node") == F.col("k")).drop("k")
+        open_ = held.groupBy("bucket").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low <> high")
+        held = held.join(open_.select(F.col("bucket").alias("o")), F.col("bucket") == F.col("o")).withColumnRenamed("node", "m")
+        held = held.join(nodes.select("node", "sketch"), F.col("m") == F.col("node"))
+        return stored(_loose_links(stored(held.select("bucket", "node", "sketch", "known"), "sketched"), similarity, tile), "loose")
+
+    few = F.pmod("bucket", F.lit(16)) == 0
+    first = links(buckets.where(few), nodes.select("node", F.col("node").alias("component")))
+    known = stored(components(nodes.select("node"), first), "known")
+    rest = links(buckets.where(~few), known)
+    return known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest)
 
 
 def _true_links(texts: DataFrame, similarity: float, size: int, tile: int) -> DataFrame:
@@ -378,7 +575,7 @@ def _true_links(texts: DataFrame, similarity: float, size: int, tile: int) -> Da
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_shingles(_word_hashes(t.as_py())[0], size).tobytes() for t in batch.column(3)]
+            found = [_shingles(_word_hashes(t.as_py()), size).tobytes() for t in batch.column(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], kept.names)
 
     def links(held: list[tuple], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -396,16 +593,16 @@ def _true_links(texts: DataFrame, similarity: float, size: int, tile: int) -> Da
     return parts.mapInArrow(lambda rows: _by_group(shingled(rows), links), "a bigint, b bigint")
 
 
-def near_copy_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, most: int = 7, blocks: int = 9, tile: int = TILE) -> DataFrame:
+def near_copy_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, tile: int = TILE) -> DataFrame:
     """One row per document: ``doc_id``, ``text_key`` and ``group``, for groups of similar texts.
 
     Two texts are linked if the Jaccard similarity of their sets of
     ``size``-word shingles (64-bit hashes, ASCII letters in lower case) is
-    ``similarity`` or more, which is computed from the sets. Candidates share a
-    band of minima, which leaves out a pair of exactly the similarity with a
-    chance of one in a million whatever was changed, or have fingerprints of
-    their distinct words linked within ``most`` bits, found with the Gray-order
-    index. Sketches of 512 bits rule out candidates that are far apart, nine
+    ``similarity`` or more, which is computed from the sets. All candidates
+    come from the Gray-order index: a long SimHash of the set is cut into
+    tables of 64 bits, enough of them that a pair of exactly the similarity is
+    linked in none with a chance of about one in a million, whatever was
+    changed. The first 512 bits rule out candidates that are far apart, nine
     standard deviations beyond the similarity. Texts with equal sets are one
     node. Nulls, copies and empty tables as in ``simhash_groups``.
     """
@@ -415,29 +612,19 @@ def near_copy_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, mo
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [sketch(t, size, similarity) for t in batch.column(1).to_pylist()]
-            codes = pa.array(np.array([f[0] for f in found], "uint64").view("int64"))
             digests, bits = (pa.array([f[k] for f in found], pa.binary()) for k in (2, 1))
-            columns = [batch.column(0), batch.column(2), digests, codes, bits, pa.array([f[3] for f in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "digest", "code", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), digests, bits], ["doc_id", "text_key", "digest", "sketch"])
 
     kind = picked.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, text_key bigint, digest binary, code bigint, sketch binary, bands array<bigint>"
-    coded = stored(picked.mapInArrow(sketches, schema), "sketches")
-    # Code, sketch and bands follow from the digest; one document stands for all with it.
-    nodes = coded.groupBy("digest", "code", "sketch", "bands")
+    coded = stored(picked.mapInArrow(sketches, f"doc_id {kind}, text_key bigint, digest binary, sketch binary"), "sketches")
+    # The sketch follows from the digest; one document stands for all with it.
+    nodes = coded.groupBy("digest", "sketch")
     nodes = nodes.agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("one"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    codes = stored(nodes.select("code").distinct(), "codes")
-    candidates = components(codes.select(F.col("code").alias("node")), near_links(codes, most, tile, blocks))
-    candidates = candidates.withColumnRenamed("node", "c")
-    near = nodes.select("node", "code").join(candidates, F.col("code") == F.col("c"))
-    buckets = near.select(F.xxhash64(F.lit("code"), "component").alias("bucket"), "node")
-    buckets = buckets.union(nodes.select(F.explode("bands").alias("bucket"), "node"))
-    met = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("bucket").alias("met"))
-    shared = buckets.join(met, F.col("bucket") == F.col("met")).select("bucket", F.col("node").alias("m"))
-    sketched = shared.join(nodes.select("node", "sketch"), F.col("m") == F.col("node")).select("bucket", "node", "sketch")
-    loose = stored(_loose_links(stored(sketched, "buckets"), similarity, tile), "loose")
+    buckets = stored(_candidates(nodes, similarity, tile), "buckets")
+    nodes = nodes.withColumn("sketch", F.substring("sketch", 1, SKETCH // 8))
+    loose = stored(_loose(nodes, buckets, similarity, tile), "loose")
 
     linked_nodes = components(nodes.select("node"), loose).select(F.col("node").alias("l"), "component")
     many = linked_nodes.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("component").alias("many"))

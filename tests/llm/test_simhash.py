@@ -209,3 +209,52 @@ def test_links_of_a_hub_are_split(spark, star, hub):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     low = 0 if star is common._large_star else 1
     assert {tuple(r) for r in rows} == {(i, low) for i in [*range(1, 60_000), *([60_000] if low else [])] if i != low}
+
+
+def codes_of(texts):
+    bits = np.stack([np.frombuffer(simhash.sketch(" ".join(t))[1], "uint64") for t in texts])
+    return simhash._table_codes(bits, 0.8)
+
+
+def test_the_index_alone_links_every_pair_at_the_similarity():
+    """Other texts lie under the same patterns; sets of four and five shingles too."""
+    most = simhash._tables(0.8)[2]
+    pairs = [(w, just_alike(w, CHANGES[g % 3](g))[0]) for g, w in enumerate(story(5000 + g, 240 if g % 2 else 90) for g in range(120))]
+    short = [(w, w + ["more"]) for w in (story(9000 + g, 8) for g in range(60))]
+    for texts in (pairs, short):
+        patterns, codes = codes_of([t for pair in texts for t in pair])
+        order = np.argsort(patterns.ravel(), kind="stable")
+        low = simhash._met(codes.ravel()[order], patterns.ravel()[order], most)
+        owner = np.repeat(np.arange(2 * len(texts)), patterns.shape[1])[order]
+        met = {(a, b) for a, b in zip(owner[low].tolist(), owner.tolist(), strict=True) if a ^ 1 == b}
+        assert {min(pair) for pair in met} == set(range(0, 2 * len(texts), 2))
+
+
+def test_groups_above_a_node_of_the_tree_are_searched_like_small_ones():
+    rng = np.random.default_rng(8)
+    sizes = (1, 2, 16, 17, 300)
+    groups = np.repeat(np.arange(len(sizes)), sizes)
+    base = rng.integers(0, 1 << 63, 40, dtype="uint64")
+    codes = base[rng.integers(0, 40, len(groups))] ^ (np.uint64(1) << rng.integers(0, 64, len(groups), dtype="uint64"))
+    want = components(list(zip(groups.tolist(), codes.tolist(), strict=True)), lambda a, b: a[0] == b[0] and (a[1] ^ b[1]).bit_count() <= 2)
+    assert simhash._met(codes, groups, 2).tolist() == want
+
+
+def test_candidates_come_from_the_index_in_tiles_too(spark):
+    """A pair of alike texts shares a bucket, and near copies of one text share few links."""
+    words = story(77, 200)
+    texts = [words[:k] + [f"other{k}"] + words[k + 1 :] for k in range(0, 200, 5)] + [story(300 + k) for k in range(20)]
+    bits = [simhash.sketch(" ".join(t))[1] for t in texts]
+    nodes = common.stored(spark.createDataFrame([(bytearray(b), i) for i, b in enumerate(bits)], "sketch binary, node long"), "nodes")
+    for tile in (4096, 3):
+        buckets = {}
+        for r in simhash._candidates(nodes, 0.8, tile).collect():
+            buckets.setdefault(r.bucket, set()).add(r.node)
+        for a in range(40):
+            assert all(any({a, b} <= m for m in buckets.values()) for b in range(a))
+        assert not any(n >= 40 for m in buckets.values() for n in m)
+    buckets = common.stored(simhash._candidates(nodes, 0.8, 4096), "buckets")
+    links = simhash._loose(nodes.selectExpr("substring(sketch, 1, 64) as sketch", "node"), buckets, 0.8, 4096)
+    assert links.distinct().count() < 3 * 40
+    found = simhash.components(nodes.select("node"), links).collect()
+    assert {(r.node, r.component) for r in found} == {(i, 0 if i < 40 else i) for i in range(60)}
