@@ -145,15 +145,16 @@ class _Labels:
         return np.flatnonzero(self.of != np.arange(len(self.of)))
 
 
-def _joined(tree: GrayTree, most: int) -> _Labels:
-    """The components of a tree's codes with at most ``most`` differing bits."""
+def _joined(tree: GrayTree, most: int, known: np.ndarray | None = None) -> _Labels:
+    """The components of a tree's codes with at most ``most`` differing bits, by pairs of two ``known`` components alone."""
     n = len(tree.codes)
     labels = _Labels(n)
     step = max(1, FRONTIER // (n + FANOUT))
     for start in range(0, n, step):
         a, b = tree.within(tree.codes[start : start + step], most)
         a = a + start
-        labels.join(a[a < b], b[a < b])
+        new = a < b if known is None else (a < b) & (known[a] != known[b])
+        labels.join(a[new], b[new])
     return labels
 
 
@@ -260,6 +261,8 @@ MISSED = 1e-6
 SHARE, LONGEST, KEPT = 1 / 12, 14, 0.85
 #: Up to so many shingles, bits differ more than their angle says; such a text is in twice as many tables.
 FEW = 5
+#: One table in so many is searched first, and the others only between what these leave apart.
+FIRST = 16
 #: Rows of the index that a task searches at a time, and nodes whose rows it makes at a time.
 ROWS, NODES = 1 << 17, 1 << 10
 
@@ -440,23 +443,29 @@ def _crowded(nodes: DataFrame, similarity: float, tile: int) -> DataFrame:
     return found.select("crowd", (F.ceil(F.col("n") / tile) + 1).cast("int").alias("tiles"))
 
 
-def _rows(batch: pa.RecordBatch, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Patterns and codes by node and table, and the nodes, from long fingerprints and nodes."""
-    sketches, nodes = batch.column(0), batch.column(1).to_numpy()
+def _rows(batch: pa.RecordBatch, similarity: float, first: bool | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Patterns and codes by node and table, and the places of the nodes, from long fingerprints in the first column.
+
+    All tables, or only the first ones to be searched, or only the others.
+    """
+    sketches = batch.column(0)
     sizes = pc.binary_length(sketches).to_numpy(zero_copy_only=False)
     for size in np.unique(sizes[sizes > 0]).tolist():
         chosen = np.flatnonzero(sizes == size)
         for start in range(0, len(chosen), NODES):
             at = chosen[start : start + NODES]
             bits = np.frombuffer(b"".join(sketches.take(pa.array(at)).to_pylist()), "uint64").reshape(len(at), -1)
-            yield *_table_codes(bits, similarity), nodes[at]
+            patterns, codes = _table_codes(bits, similarity)
+            tables = slice(None) if first is None else (np.arange(patterns.shape[1]) % FIRST == 0) == first
+            yield patterns[:, tables], codes[:, tables], at
 
 
-def _met(codes: np.ndarray, groups: np.ndarray, most: int) -> np.ndarray:
+def _met(codes: np.ndarray, groups: np.ndarray, most: int, known: np.ndarray | None = None) -> np.ndarray:
     """The smallest row that each row is joined with, over codes of one group with at most ``most`` differing bits.
 
     Rows of a group follow each other. Groups that one node of the tree holds
-    have no level to prune and are compared together.
+    have no level to prune and are compared together. Where ``known`` components
+    are given, only pairs of two of them count.
     """
     starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
     sizes = np.diff(np.r_[starts, len(groups)])
@@ -464,11 +473,15 @@ def _met(codes: np.ndarray, groups: np.ndarray, most: int) -> np.ndarray:
     for n in range(2, FANOUT + 1):
         rows = starts[sizes == n][:, None] + np.arange(n)
         i, j = np.triu_indices(n, 1)
-        at, pair = np.nonzero(np.bitwise_count(codes[rows[:, i]] ^ codes[rows[:, j]]) <= most)
+        near = np.bitwise_count(codes[rows[:, i]] ^ codes[rows[:, j]]) <= most
+        if known is not None:
+            near &= known[rows[:, i]] != known[rows[:, j]]
+        at, pair = np.nonzero(near)
         links.append((rows[at, i[pair]], rows[at, j[pair]]))
     for start, n in zip(starts[sizes > FANOUT].tolist(), sizes[sizes > FANOUT].tolist(), strict=True):
         order = start + np.argsort(gray_rank(codes[start : start + n]), kind="stable")
-        labels = _joined(GrayTree(codes[order]), most)
+        tree = GrayTree(codes[order])
+        labels = _joined(tree, most, None if known is None else known[order])
         moved = labels.moved()
         links.append((order[moved], order[labels.of[moved]]))
     every = _Labels(len(codes))
@@ -476,60 +489,114 @@ def _met(codes: np.ndarray, groups: np.ndarray, most: int) -> np.ndarray:
     return every.of
 
 
-def _candidates(nodes: DataFrame, similarity: float, tile: int) -> DataFrame:
-    """Nodes by ``bucket``: those that the Gray-order index connects in one of its tables.
+def _met_by_table(nodes: DataFrame, similarity: float, tile: int, first: bool | None, crowded: DataFrame, found, schema: str) -> DataFrame:
+    """What ``found`` gives of the rows of the index that the trees of the ``first``, the other or all tables join.
 
-    ``nodes`` has the long fingerprint ``sketch`` and ``node``. Every table is
-    an index of its own over 64 of the bits: nodes meet under a pattern, and
-    below it the tree links codes within the bound. A bucket of the same nodes
-    is kept once, however many tables have it.
+    ``nodes`` has the long fingerprint ``sketch``, ``node`` and one more column,
+    which goes with every row. Every table is an index of its own over 64 of
+    the bits: nodes meet under a pattern, and below it the tree links codes
+    within the bound. ``found`` takes the smallest row that each row is joined
+    with, the nodes, and the further column, of the joined rows alone, by that
+    row and node. If that column is ``known``, only pairs of two known
+    components are joined.
     """
     _, length, most = _tables(similarity)
+    more = nodes.columns[2]
+    kind = nodes.schema[more].dataType.simpleString()
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for patterns, codes, ids in _rows(batch, similarity):
-                columns = [patterns.ravel(), codes.ravel().view("int64"), np.repeat(ids, patterns.shape[1])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["pattern", "code", "node"])
+            for patterns, codes, at in _rows(batch, similarity, first):
+                each = pa.array(np.repeat(at, patterns.shape[1]))
+                columns = [pa.array(patterns.ravel()), pa.array(codes.ravel().view("int64")), batch.column(1).take(each), batch.column(2).take(each)]
+                yield pa.RecordBatch.from_arrays(columns, ["pattern", "code", "node", more])
 
-    rows = nodes.select("sketch", "node").mapInArrow(spread, "pattern bigint, code bigint, node bigint")
-    crowded = stored(_crowded(nodes, similarity, tile), "crowded")
+    rows = nodes.mapInArrow(spread, f"pattern bigint, code bigint, node bigint, {more} {kind}")
     rows = rows.join(crowded, F.col("pattern") == F.col("crowd"), "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("tiles")).cast("int")
     others = F.when(F.col("tiles") > 1, F.sequence(F.lit(0), F.col("tiles") - 1)).otherwise(F.array(F.lit(0)))
-    dealt = rows.select("pattern", "code", "node", "tiles", own.alias("own"), F.explode(others).alias("other"))
+    dealt = rows.select("pattern", "code", "node", more, "tiles", own.alias("own"), F.explode(others).alias("other"))
     dealt = dealt.where("own <> other or tiles = 1")
     pair = F.least("own", "other").cast("bigint") * F.col("tiles") + F.greatest("own", "other")
     group = F.col("pattern") + F.shiftleft(pair, (_tables(similarity)[0] * 2 << length).bit_length())
-    parts = dealt.select(group.alias("grp"), "code", "node")
+    parts = dealt.select(group.alias("grp"), "code", "node", more)
     parts = parts.repartition(shuffle_partitions(nodes.sparkSession), "grp").sortWithinPartitions("grp")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            held.append(np.stack([c.to_numpy() for c in batch.columns], axis=1))
+            held.append(batch)
             n += len(batch)
             if n >= ROWS:
-                rows = np.concatenate(held)
-                cut = np.searchsorted(rows[:, 0], rows[-1, 0])
-                yield from found(rows[:cut])
-                held, n = [rows[cut:]], len(rows) - cut
+                rows = pa.Table.from_batches(held).combine_chunks()
+                groups = rows.column(0).to_numpy()
+                cut = int(np.searchsorted(groups, groups[-1]))
+                yield from joined(rows.slice(0, cut))
+                held, n = rows.slice(cut).to_batches(), len(rows) - cut
         if n:
-            yield from found(np.concatenate(held))
+            yield from joined(pa.Table.from_batches(held).combine_chunks())
 
-    def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        low = _met(rows[:, 1].copy().view("uint64"), rows[:, 0], most)
-        joined = np.flatnonzero(np.bincount(low, minlength=len(low))[low] > 1)
-        if not len(joined):
-            return
-        joined = joined[np.lexsort((rows[joined, 2], low[joined]))]
-        starts = np.flatnonzero(np.diff(low[joined], prepend=-1))
-        members = np.split(rows[joined, 2], starts[1:])
+    def joined(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        groups, codes, ids = (rows.column(k).to_numpy() for k in range(3))
+        low = _met(codes.view("uint64"), groups, most, rows.column(3).to_numpy() if more == "known" else None)
+        at = np.flatnonzero(np.bincount(low, minlength=len(low))[low] > 1)
+        if len(at):
+            at = at[np.lexsort((ids[at], low[at]))]
+            yield from found(low[at], ids[at], rows.column(3).take(pa.array(at)))
+
+    return parts.mapInArrow(search, schema)
+
+
+def _first_links(nodes: DataFrame, similarity: float, tile: int, crowded: DataFrame) -> DataFrame:
+    """Links that connect exactly what the first tables join and the sketches do not rule out.
+
+    The rows of these few tables hold the sketches, so a task compares what its
+    trees join and gives spanning links alone, however many tables join it.
+    """
+    most = _generous(similarity)
+
+    def links(low: np.ndarray, ids: np.ndarray, sketches: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(b"".join(sketches.to_pylist()), "uint64").reshape(len(ids), -1)
+        starts = np.flatnonzero(np.diff(low, prepend=-1))
+        sizes = np.diff(np.r_[starts, len(ids)])
+        first = np.repeat(starts, sizes)
+        near = np.bitwise_count(bits ^ bits[first]).sum(axis=1, dtype="int32") <= most
+        star = np.repeat(np.logical_and.reduceat(near, starts), sizes)
+        a = np.flatnonzero(star & (first != np.arange(len(ids))))
+        found = [(a, first[a])]
+        for start, n in zip(starts[~star[starts]].tolist(), sizes[~star[starts]].tolist(), strict=True):
+            found.append(tuple(start + side for side in _spanning(bits[start : start + n], most)))
+        a, b = (ids[np.concatenate(side)] for side in zip(*found, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    rows = nodes.select("sketch", "node", F.substring("sketch", 1, SKETCH // 8).alias("start"))
+    return _met_by_table(rows, similarity, tile, True, crowded, links, "a bigint, b bigint")
+
+
+def _candidates(nodes: DataFrame, similarity: float, tile: int, known: DataFrame | None = None, crowded: DataFrame | None = None) -> DataFrame:
+    """Nodes by ``bucket``: those that the Gray-order index connects in one of its tables.
+
+    ``nodes`` has the long fingerprint ``sketch`` and ``node``. With the ``known``
+    components of ``_first_links``, the first tables are left out, and only nodes
+    that another table connects with one of another component are in a bucket,
+    so that a large group of near copies is not listed once a table. A bucket
+    of the same nodes is kept once, however many tables have it.
+    """
+
+    def listed(low: np.ndarray, ids: np.ndarray, _: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
+        members = np.split(ids, np.flatnonzero(np.diff(low)) + 1)
         buckets = np.array([xxhash.xxh64_intdigest(m.tobytes()) for m in members], "uint64").view("int64")
-        columns = [np.repeat(buckets, [len(m) for m in members]), rows[joined, 2]]
+        columns = [np.repeat(buckets, [len(m) for m in members]), ids]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "node"])
 
-    return parts.mapInArrow(search, "bucket bigint, node bigint").distinct()
+    if crowded is None:
+        crowded = stored(_crowded(nodes, similarity, tile), "crowded")
+    if known is None:
+        rows = nodes.select("sketch", "node", F.col("node").alias("known"))
+    else:
+        known = known.withColumnRenamed("node", "k")
+        rows = nodes.join(known, F.col("node") == F.col("k")).select("sketch", "node", "known")
+    return _met_by_table(rows, similarity, tile, None if known is None else False, crowded, listed, "bucket bigint, node bigint").distinct()
 
 
 def _loose_links(members: DataFrame, similarity: float, tile: int) -> DataFrame:
@@ -543,16 +610,19 @@ def _loose_links(members: DataFrame, similarity: float, tile: int) -> DataFrame:
     return parts.mapInArrow(lambda rows: _by_group(rows, links), "a bigint, b bigint")
 
 
-def _loose(nodes: DataFrame, buckets: DataFrame, similarity: float, tile: int) -> DataFrame:
+def _loose(nodes: DataFrame, buckets: DataFrame, similarity: float, tile: int, known: DataFrame | None = None) -> DataFrame:
     """Links that connect exactly what the sketches of nodes of one ``bucket`` do not rule out.
 
     Near copies meet in most tables, so a few of the buckets connect nearly
-    all of them; the others only add what is not connected by then.
+    all of them; the others only add what is not connected by then. The
+    ``known`` components of nodes, if given, are connected too.
     """
+    if known is None:
+        known = nodes.select("node", F.col("node").alias("known"))
 
     def links(chosen: DataFrame, known: DataFrame) -> DataFrame:
         """Links of the buckets that hold nodes of several known components."""
-        known = known.select(F.col("node").alias("k"), F.col("component").alias("known"))
+        known = known.select(F.col("node").alias("k"), "known")
         held = chosen.join(known, F.col("node") == F.col("k")).drop("k")
         open_ = held.groupBy("bucket").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low <> high")
         held = held.join(open_.select(F.col("bucket").alias("o")), F.col("bucket") == F.col("o")).withColumnRenamed("node", "m")
@@ -560,10 +630,12 @@ def _loose(nodes: DataFrame, buckets: DataFrame, similarity: float, tile: int) -
         return stored(_loose_links(stored(held.select("bucket", "node", "sketch", "known"), "sketched"), similarity, tile), "loose")
 
     few = F.pmod("bucket", F.lit(16)) == 0
-    first = links(buckets.where(few), nodes.select("node", F.col("node").alias("component")))
-    known = stored(components(nodes.select("node"), first), "known")
-    rest = links(buckets.where(~few), known)
-    return known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest)
+    def with_known(more: DataFrame) -> DataFrame:
+        return known.where("node <> known").select(F.col("node").alias("a"), F.col("known").alias("b")).union(more)
+
+    joined = with_known(links(buckets.where(few), known))
+    known = stored(components(nodes.select("node"), joined).withColumnRenamed("component", "known"), "known")
+    return with_known(links(buckets.where(~few), known))
 
 
 def _true_links(texts: DataFrame, similarity: float, size: int, tile: int) -> DataFrame:
@@ -622,9 +694,12 @@ def near_copy_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, ti
     nodes = nodes.agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("one"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    buckets = stored(_candidates(nodes, similarity, tile), "buckets")
+    crowded = stored(_crowded(nodes, similarity, tile), "crowded")
+    first = components(nodes.select("node"), _first_links(nodes, similarity, tile, crowded))
+    known = stored(first.withColumnRenamed("component", "known"), "known")
+    buckets = stored(_candidates(nodes, similarity, tile, known, crowded), "buckets")
     nodes = nodes.withColumn("sketch", F.substring("sketch", 1, SKETCH // 8))
-    loose = stored(_loose(nodes, buckets, similarity, tile), "loose")
+    loose = stored(_loose(nodes, buckets, similarity, tile, known), "loose")
 
     linked_nodes = components(nodes.select("node"), loose).select(F.col("node").alias("l"), "component")
     many = linked_nodes.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("component").alias("many"))

@@ -258,3 +258,36 @@ def test_candidates_come_from_the_index_in_tiles_too(spark):
     assert links.distinct().count() < 3 * 40
     found = simhash.components(nodes.select("node"), links).collect()
     assert {(r.node, r.component) for r in found} == {(i, 0 if i < 40 else i) for i in range(60)}
+
+
+def test_known_components_leave_only_pairs_of_two_of_them():
+    rng = np.random.default_rng(9)
+    groups = np.repeat(np.arange(4), (2, 9, 16, 200))
+    base = rng.integers(0, 1 << 63, 30, dtype="uint64")
+    codes = base[rng.integers(0, 30, len(groups))] ^ (np.uint64(1) << rng.integers(0, 64, len(groups), dtype="uint64"))
+    known = rng.integers(0, 12, len(groups))
+    values = list(zip(groups.tolist(), codes.tolist(), known.tolist(), strict=True))
+    want = components(values, lambda a, b: a[0] == b[0] and a[2] != b[2] and (a[1] ^ b[1]).bit_count() <= 2)
+    assert simhash._met(codes, groups, 2, known).tolist() == want
+
+
+@pytest.mark.parametrize("tile", [4096, 60])
+def test_rows_of_a_large_group_of_near_copies_do_not_grow_with_tables_or_tiles(spark, monkeypatch, tile):
+    kept = {}
+
+    def stored(df, label, *partition_by):
+        found = common.stored(df, label, *partition_by)
+        kept.setdefault(label, []).append(found)
+        return found
+
+    monkeypatch.setattr(simhash, "stored", stored)
+    words, n = story(78, 200), 150
+    rows = [(k, " ".join([*words[:k], f"other{k}", *words[k + 1 :]])) for k in range(n)]
+    rows += [(1000 + k, " ".join(story(400 + k))) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {}
+    for r in simhash.near_copy_groups(docs, tile=tile).collect():
+        groups.setdefault(r.group, set()).add(r.doc_id)
+    assert sorted(map(len, groups.values())) == [1] * 30 + [n] and set(range(n)) in groups.values()
+    for label in ("buckets", "sketched"):
+        assert sum(df.count() for df in kept[label]) < 2 * n, label
