@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,25 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
+#: Rows of an Arrow batch that a task turns into Python objects at a time.
+SLICE = 512
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``.
+
+    An Arrow batch may hold ten thousand texts, and a worker keeps for its next
+    tasks much of what it once took for them. What Arrow no longer uses is given
+    back before the first batch and after the last.
+    """
+    pool = pa.default_memory_pool()
+    pool.release_unused()
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+    pool.release_unused()
+
+
 def stored(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 

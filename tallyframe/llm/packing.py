@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import col, stored
+from tallyframe.llm.common import col, sliced, stored
 
 #: Pieces that one task packs, on average; what a group wastes is a sequence or two.
 GROUP = 30_000
@@ -106,7 +106,7 @@ def tokenized_pieces(
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
-        for batch in batches:
+        for batch in sliced(batches):
             which, numbers, starts, lengths, sums, kept = [], [], [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 ids = np.array([*encode(text), end_id], dtype="<u4")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import col, components, shuffle_partitions, stored
+from tallyframe.llm.common import col, components, shuffle_partitions, sliced, stored
 
 SEED = 42
 FANOUT = 16
@@ -350,13 +350,21 @@ def sketch(text: str, size: int = 5, similarity: float = 0.8) -> tuple[int, byte
     That is its first 64 bits, all bits, a digest of the whole set, and the
     patterns of the tables of the index, none for a text without a word.
     """
+    found, digest = _sketched(text, size, similarity)
+    if not found:
+        return 0, b"", b"", []
+    bits = np.frombuffer(found, "uint64")
+    patterns = _table_codes(bits[None, :], similarity)[0][0].tolist()
+    return int(bits[0]), found, digest, patterns
+
+
+def _sketched(text: str, size: int, similarity: float) -> tuple[bytes, bytes]:
+    """All bits of the SimHash of the set of word shingles, and a digest of the whole set; nothing without a word."""
     each = _word_hashes(text)
     if not len(each):
-        return 0, b"", b"", []
+        return b"", b""
     shingles = _shingles(each, size)
-    bits = _long_fingerprint(shingles, similarity)
-    patterns = _table_codes(bits[None, :], similarity)[0][0].tolist()
-    return int(bits[0]), bits.tobytes(), xxhash.xxh3_128_digest(shingles.tobytes()), patterns
+    return _long_fingerprint(shingles, similarity).tobytes(), xxhash.xxh3_128_digest(shingles.tobytes())
 
 
 def _spanning(bits: np.ndarray, most: int, alike=None, known=None) -> tuple[np.ndarray, np.ndarray]:
@@ -431,13 +439,14 @@ def _crowded(nodes: DataFrame, similarity: float, tile: int) -> DataFrame:
     every = max(1, nodes.count())
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = np.zeros(2 * tables << length, "int64"), 0
+        # One array a task, and only the pages of patterns that occur are touched.
+        counts, n = np.zeros(2 * tables << length, "uint32"), 0
         for batch in batches:
             n += len(batch)
             for patterns, _, _ in _rows(batch, similarity):
-                counts += np.bincount(patterns.ravel(), minlength=len(counts))
-        often = np.flatnonzero(counts * every > tile * n)
-        yield pa.RecordBatch.from_arrays([pa.array(often), pa.array(counts[often])], ["crowd", "n"])
+                np.add.at(counts, patterns.ravel(), np.uint32(1))
+        often = np.flatnonzero(counts > tile * n // every)
+        yield pa.RecordBatch.from_arrays([pa.array(often), pa.array(counts[often].astype("int64"))], ["crowd", "n"])
 
     found = nodes.select("sketch", "node").mapInArrow(counted, "crowd bigint, n bigint").groupBy("crowd").agg(F.sum("n").alias("n"))
     return found.select("crowd", (F.ceil(F.col("n") / tile) + 1).cast("int").alias("tiles"))
@@ -646,7 +655,7 @@ def _true_links(texts: DataFrame, similarity: float, size: int, tile: int) -> Da
     kept = T.StructType([f for f in parts.schema.fields if f.name != "text"] + [T.StructField("shingles", T.BinaryType())])
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [_shingles(_word_hashes(t.as_py()), size).tobytes() for t in batch.column(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.binary())], kept.names)
 
@@ -682,9 +691,9 @@ def near_copy_groups(docs: DataFrame, similarity: float = 0.8, size: int = 5, ti
     picked = picked.withColumn("text_key", F.xxhash64("text"))
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [sketch(t, size, similarity) for t in batch.column(1).to_pylist()]
-            digests, bits = (pa.array([f[k] for f in found], pa.binary()) for k in (2, 1))
+        for batch in sliced(batches):
+            found = [_sketched(t.as_py(), size, similarity) for t in batch.column(1)]
+            digests, bits = (pa.array([f[k] for f in found], pa.binary()) for k in (1, 0))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), digests, bits], ["doc_id", "text_key", "digest", "sketch"])
 
     kind = picked.schema["doc_id"].dataType.simpleString()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import col, shuffle_partitions, stored
+from tallyframe.llm.common import col, shuffle_partitions, sliced, stored
 
 GROUP = 5
 #: Words of one automaton; the passages of one shard are never cut by it.
@@ -130,7 +130,7 @@ def _compressed(docs: DataFrame, text_at: int) -> DataFrame:
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
+        for batch in sliced(batches):
             blocks = [pack((t or "").encode()) for t in batch.column(text_at).to_pylist()]
             columns = list(batch.columns)
             columns[text_at] = pa.array(blocks, pa.binary())
@@ -148,7 +148,7 @@ def _held_anchors(texts: DataFrame, window: int) -> DataFrame:
     """``anchor`` and ``k1`` for the distinct anchors of each text."""
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [np.unique(anchors(t.encode().split(), window)) for t in batch.column(0).to_pylist()]
             sizes = [len(f) for f in found]
             for i in range(0, len(found), 500):
@@ -166,7 +166,7 @@ def _passages(candidates: DataFrame, window: int, text_at: int) -> DataFrame:
     """
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keys1, keys2 = batch.column(batch.num_columns - 5).to_pylist(), batch.column(batch.num_columns - 4).to_pylist()
             repeated = batch.column(batch.num_columns - 3)
             hot, firsts = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1).to_pylist()
@@ -203,7 +203,7 @@ def _lowest_ids(references: DataFrame, window: int) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
-        for batch in batches:
+        for batch in sliced(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if size >= SHARD_WORDS and row[0] != held[-1][0]:
                     yield through_automaton(held)
@@ -281,7 +281,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = len(names)
-        for batch in batches:
+        for batch in sliced(batches):
             numbers, firsts = (batch.column(i).to_pylist() for i in (width, width + 1))
             out, n_words, n_removed = [], [], []
             for r, (words, own, earliest) in enumerate(zip(_words(batch.column(text_at)), numbers, firsts, strict=True)):

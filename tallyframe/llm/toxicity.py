@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.llm.common import col, stored
+from tallyframe.llm.common import col, sliced, stored
 
 DECAY = 0.6
 LETTERS = 32
@@ -121,7 +121,9 @@ def linear_scores(runs: list[str], weights: np.ndarray) -> np.ndarray:
     scores = np.zeros(len(runs))
     for where, codes in _by_length(runs):
         first, second, third, decay = _subsequences(codes.shape[1])
-        at = (codes * LETTERS**2)[:, first] + (codes * LETTERS)[:, second] + codes[:, third]
+        at = (codes * LETTERS**2).astype("int32")[:, first]
+        at += (codes * LETTERS).astype("int32")[:, second]
+        at += codes.astype("int32")[:, third]
         scores[where] = (weights[at] @ decay) / _norms(codes)
     return scores
 
@@ -200,7 +202,7 @@ def _counted(sample: DataFrame, parts, name: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Counter(), Counter()
-        for batch in batches:
+        for batch in sliced(batches):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held[toxic].update({p for w in words_of(text) for r in runs_of(w) for p in parts(r)})
         every = list(held[0].keys() | held[1].keys())
@@ -296,7 +298,7 @@ def fit_toxicity(
 
     def worst(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(0).to_pylist()
             margins = np.concatenate([model.margins(part, cache) for part in _batches(texts)]) if texts else np.zeros(0)
             yield pa.RecordBatch.from_pydict({"margin": margins, "toxic": batch.column(1).cast(pa.int32())})
@@ -361,7 +363,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(text).to_pylist()]
             if model.weights is None:
                 scores = np.zeros(len(texts))

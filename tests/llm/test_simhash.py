@@ -1,7 +1,9 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -291,3 +293,55 @@ def test_rows_of_a_large_group_of_near_copies_do_not_grow_with_tables_or_tiles(s
     assert sorted(map(len, groups.values())) == [1] * 30 + [n] and set(range(n)) in groups.values()
     for label in ("buckets", "sketched"):
         assert sum(df.count() for df in kept[label]) < 2 * n, label
+
+
+@pytest.fixture
+def task_peak(spark, monkeypatch):
+    """Run a step's Python function over batches here: its rows, and the MB it held at most."""
+    frame, taken = type(spark.range(0)), []
+    real = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a, **b: (taken.append(f), real(self, f, *a, **b))[1])
+
+    def run(batches):
+        tracemalloc.start()
+        try:
+            n = sum(len(b) for b in taken[0](iter(batches)))
+            return n, tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+
+    return run
+
+
+def test_a_task_sketches_a_batch_of_many_texts_in_little_memory(spark, monkeypatch, task_peak):
+    class Stop(Exception):
+        pass
+
+    def stop(*_):
+        raise Stop
+
+    monkeypatch.setattr(simhash, "stored", stop)
+    with pytest.raises(Stop):
+        simhash.near_copy_groups(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    texts = [f"few words of text {i}" for i in range(4000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(4000), "text": texts, "text_key": range(4000)})
+    n, peak = task_peak([batch])
+    assert n == 4000 and peak < 10
+
+
+def test_a_task_counts_patterns_without_a_copy_of_its_counts(spark, task_peak):
+    bits = simhash.sketch(" ".join(story(79)))[1]
+    nodes = spark.createDataFrame([(bytearray(bits), i, i) for i in range(8)], "sketch binary, node long, known long")
+    found = {tuple(r) for r in simhash._crowded(nodes, 0.8, 4).collect()}
+    patterns = simhash._table_codes(np.frombuffer(bits, "uint64")[None, :], 0.8)[0][0].tolist()
+    assert found == {(p, 3) for p in patterns}
+    batch = pa.RecordBatch.from_pydict({"sketch": [bits] * 3000, "node": range(3000)})
+    n, peak = task_peak([batch])
+    assert n == len(patterns) and peak < 75
+
+
+def test_slices_have_the_rows_of_their_batches():
+    batches = [pa.RecordBatch.from_pydict({"a": range(n)}) for n in (0, 1, 1200, 512)]
+    parts = list(common.sliced(iter(batches)))
+    assert [len(p) for p in parts] == [1, 512, 512, 176, 512]
+    assert [x for p in parts for x in p.column(0).to_pylist()] == [x for b in batches for x in b.column(0).to_pylist()]
